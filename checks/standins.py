@@ -62,12 +62,12 @@ def orders_by_nation(spark: SparkSession, sf: str, day) -> DataFrame:
 
 def policy_day(spark: SparkSession, sf: str) -> DataFrame:
     days = orders_by_nation(spark, sf, F.col("o_orderdate").cast("date"))
-    return days.select("state", F.col("day").alias("date"), (F.col("total") / F.col("n") / 10000).alias("response_index"))
+    return days.select("state", F.col("day").alias("date"), (F.col("total") / F.col("n") / 9973).alias("response_index"))
 
 
 def excess_week(spark: SparkSession, sf: str) -> DataFrame:
     weeks = orders_by_nation(spark, sf, week_of("o_orderdate"))
-    return weeks.select("state", F.col("day").alias("week_ending_date"), (F.col("total") / 1e5).alias("excess_deaths"))
+    return weeks.select("state", F.col("day").alias("week_ending_date"), (F.col("total") / 99991).alias("excess_deaths"))
 
 
 def region_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,9 +142,9 @@ CTES = {
         f.occupancy, f.icu_occupancy FROM epi e JOIN fr f ON e.hospital_id = f.hospital_id
         AND f.week BETWEEN e.signal_week - 28 AND e.signal_week + 42"""),
     "nation_day": ("", """SELECT CAST(c_nationkey AS VARCHAR) AS state, CAST(o_orderdate AS DATE) AS date,
-        avg(o_totalprice) / 10000 AS response_index FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
+        avg(o_totalprice) / 9973 AS response_index FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
     "excess": ("", """SELECT CAST(c_nationkey AS VARCHAR) AS state, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_ending_date,
-        sum(o_totalprice) / 1e5 AS excess_deaths, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
+        sum(o_totalprice) / 99991 AS excess_deaths, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
     "rday": ("", """SELECT CAST(s_nationkey AS VARCHAR) AS state, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS covid_admissions,
         sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS covid_icu_patients, sum(l_quantity) AS icu_beds_total,
         avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS hospitals_staffing_shortage
