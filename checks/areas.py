@@ -91,15 +91,15 @@ def _(spark, sf):
 
 
 @query("pipe13_area_mortality", "area_id:s no:i rate1:f4 coverage1:f weeks1:i rate2:f4 coverage2:f weeks2:i", sql("ae aw", """
-SELECT area_id, no, CASE WHEN c1 >= 0.6 THEN d1 / p * 100000 END AS rate1, c1 AS coverage1, n1 AS weeks1,
-CASE WHEN c2 >= 0.6 THEN d2 / p * 100000 END AS rate2, c2 AS coverage2, n2 AS weeks2 FROM (
+SELECT area_id, no, CASE WHEN c1 >= 0.61 THEN d1 / p * 100000 END AS rate1, c1 AS coverage1, n1 AS weeks1,
+CASE WHEN c2 >= 0.61 THEN d2 / p * 100000 END AS rate2, c2 AS coverage2, n2 AS weeks2 FROM (
 SELECT e.area_id, e.no, max(population) AS p, sum(deaths) FILTER (date_diff('day', signal_date, week_end) <= 42) AS d1,
 avg(observed / population) FILTER (date_diff('day', signal_date, week_end) <= 42) AS c1, count(week_end) FILTER (date_diff('day', signal_date, week_end) <= 42) AS n1,
 sum(deaths) FILTER (date_diff('day', signal_date, week_end) >= 21) AS d2, avg(observed / population) FILTER (date_diff('day', signal_date, week_end) >= 21) AS c2,
 count(week_end) FILTER (date_diff('day', signal_date, week_end) >= 21) AS n2
 FROM ae e LEFT JOIN aw ON aw.area_id = e.area_id AND week_end BETWEEN signal_date + 14 AND signal_date + 49 GROUP BY 1, 2)""", AREA_SQL))
 def _(spark, sf):
-    out = panels.area_mortality(area_episodes(spark, sf), area_weeks(spark, sf), min_coverage=0.6)
+    out = panels.area_mortality(area_episodes(spark, sf), area_weeks(spark, sf), min_coverage=0.61)
     return out.withColumnsRenamed({
         "area_episode_no": "no", "deaths_14_42_per100k": "rate1", "coverage_14_42": "coverage1", "weeks_14_42": "weeks1",
         "deaths_21_49_per100k": "rate2", "coverage_21_49": "coverage2", "weeks_21_49": "weeks2"})

@@ -82,13 +82,13 @@ def _(spark, sf):
 
 DEPLOY_SQL = {
     "deploy": ("fw", """SELECT f.hospital_id, f.state, max_by(week, struct_pack(a := admissions, b := -epoch(week))) AS start_date
-        FROM fw f JOIN supplier ON s_suppkey = hospital_id WHERE s_acctbal < 0 GROUP BY 1, 2"""),
+        FROM fw f JOIN supplier ON s_suppkey = hospital_id WHERE s_acctbal < 1500 GROUP BY 1, 2"""),
 }
 
 
 def deployments(spark, sf):
-    """Inventory stand-in: suppliers with a negative balance, starting in their busiest week."""
-    listed = table(spark, sf, "supplier").where("s_acctbal < 0").select(
+    """Inventory stand-in: suppliers with a low balance, starting in their busiest week."""
+    listed = table(spark, sf, "supplier").where("s_acctbal < 1500").select(
         F.col("s_suppkey").alias("hospital_id"), F.col("s_name").alias("official_hospital_name")
     )
     peak = F.max_by("week", F.struct(F.col("admissions"), -F.unix_date("week")))

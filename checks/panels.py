@@ -11,6 +11,7 @@ from checks.standins import (
 from crestline.functions.calendars import WAVE_ENDS
 from crestline.operators.windows import zscore
 from crestline.plans import panels
+from crestline.session import cut_lineage
 
 EP = ["hospital_id", "state", "signal_week"]
 WAVE_SQL = " ".join(f"WHEN {{d}} < DATE '{d}' THEN '{w}'" for d, w in WAVE_ENDS)
@@ -58,7 +59,8 @@ CAST(l.response_date IS NOT NULL AS INT) AS detected, coalesce(date_diff('day',
 (SELECT avg(hospitals_staffing_shortage) FROM rday r WHERE r.state = l.state AND r.date BETWEEN l.signal_date + 1 AND l.signal_date + 28) AS staff,
 strftime(l.signal_date, '%Y-%m') AS month, year(l.signal_date) AS year FROM lat l"""))
 def _(spark, sf):
-    out = panels.state_surge_outcomes(region_day(spark, sf), policy_day(spark, sf), excess_week(spark, sf))
+    out = panels.state_surge_outcomes(
+        cut_lineage(region_day(spark, sf)), cut_lineage(policy_day(spark, sf)), excess_week(spark, sf))
     names = {
         "signal_admissions_7dma": "admissions", "signal_rel_change": "rel", "baseline_response_index": "baseline",
         "latency_days": "latency", "excess_deaths_next_28d": "deaths", "covid_admissions_next_28d": "later",
@@ -132,12 +134,13 @@ TRIAL_NAMES = {
 
 
 def trial(spark, sf):
-    """Target-trial episodes with short column names and the week of the signal."""
-    return panels.target_trial(episodes(spark, sf), facility_ratios(spark, sf)).withColumnsRenamed(TRIAL_NAMES)
+    """Target-trial episodes with short column names; the facility panel is staged once."""
+    panel = cut_lineage(facility_week(spark, sf))
+    return panels.target_trial(panels.hospital_surges(panel), panels.with_ratios(panel)).withColumnsRenamed(TRIAL_NAMES)
 
 
 @query("pipe7_target_trial_panel",
-       "hospital_id:i state:s signal_week:d delta:f pre_mean:f pre_slope:f volatility:f m2:f adm_mean:f adm_slope:f beds:f icu_mean:f icu_slope:f kind:s quarter:s wave:s",
+       "hospital_id:i state:s signal_week:d delta:f pre_mean:f pre_slope:f9 volatility:f9 m2:f adm_mean:f adm_slope:f9 beds:f icu_mean:f9 icu_slope:f9 kind:s quarter:s wave:s",
        sql("trial modes", "SELECT t.*, m.kind FROM trial t JOIN modes m USING (hospital_id, signal_week) WHERE delta IS NOT NULL", TRIAL_SQL))
 def _(spark, sf):
     return trial(spark, sf)
@@ -153,7 +156,8 @@ def _(spark, sf):
 
 
 def event_time(spark, sf, carry=()):
-    return panels.event_time_panel(episodes(spark, sf), facility_ratios(spark, sf), carry)
+    panel = cut_lineage(facility_week(spark, sf))
+    return panels.event_time_panel(panels.hospital_surges(panel), panels.with_ratios(panel), carry)
 
 
 @query("pipe8_pretrend_features", "hospital_id:i signal_week:d pre_mean:f post_mean:f pre_slope:f pre_sd:f delta:f", sql("ew", """

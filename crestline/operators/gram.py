@@ -34,6 +34,7 @@ class ClusterGrams:
     levels: list[tuple[str, str]]
     sd: dict[str, float]
     scale: dict[str, float]
+    mean: dict[str, float]
     nested: bool
     sample: DataFrame = field(repr=False)
     options: dict = field(default_factory=dict, repr=False)
@@ -203,7 +204,7 @@ def cluster_grams(
     )
     build = _sql_table if width <= SQL_WIDTH and nested else _kernel_table
     table = cut_lineage(build(rows, z, factors, levels, entity is not None, nested, width))
-    return ClusterGrams(table, columns, levels, sd, scale, nested, df, options)
+    return ClusterGrams(table, columns, levels, sd, scale, mean, nested, df, options)
 
 
 def _sql_table(rows, z: list[Column], factors, levels, within: bool, nested: bool, width: int) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crestline.functions.tails import chi2_upper, normal_two_sided, t_two_sided
 from crestline.operators.gram import ClusterGrams, cluster_grams, reduce_arrays, unpack
+from crestline.operators.windows import demean
+from crestline.session import cut_lineage
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
 
@@ -115,6 +117,8 @@ def project(gram: np.ndarray, y: int, x: np.ndarray, absorbed: np.ndarray) -> Pr
 
 
 def small_sample(clusters: int, n: int, k: int) -> float:
+    if clusters < 2 or n <= k:
+        return float("nan")
     return clusters / (clusters - 1) * (n - 1) / (n - k)
 
 
@@ -419,3 +423,52 @@ def nested_controls(
     model = Regression(cluster_grams(df, [outcome, exposure, *union], cluster, entity, factors))
     fits = model.fits({name: (outcome, [exposure, *cs]) for name, cs in sets.items()})
     return estimates_frame(df.sparkSession, list(fits.values()), exposure_only=True)
+
+
+def absorb(
+    df: DataFrame, columns: Sequence[str], cluster: str, entity: str | None, factors: Sequence[str], suffix: str = "_abs"
+) -> DataFrame:
+    """Rows with columns net of entity and factor effects (complete rows only).
+
+    Factor effects come from the moments; taking them off each row and demeaning by entity
+    gives the joint residual exactly, without rounds of alternating demeaning.
+    """
+    columns, factors = list(columns), list(factors)
+    kept = df.dropna(subset=[*columns, cluster, *([entity] if entity else []), *factors])
+    model = Regression(cluster_grams(kept, columns, cluster, entity, factors))
+    g = model.grams
+    start, out = len(columns), kept
+    gamma = pseudo_inverse(model.total.gram[start:, start:]) @ model.total.gram[start:, :start]
+    for j, c in enumerate(columns):
+        net = F.col(c).cast("double") - F.lit(g.mean[c])
+        for f in factors:
+            effect = {v: float(gamma[i, j] * g.scale[c]) for i, (h, v) in enumerate(g.levels) if h == f}
+            table = F.create_map(*[F.lit(x) for pair in effect.items() for x in pair])
+            net = net - F.try_element_at(table, F.col(f).cast("string"))
+        out = out.withColumn(c + suffix, net)
+    if entity is None:
+        return out
+    made = [c + suffix for c in columns]
+    within = demean(out, [entity], made, "_in")
+    return within.drop(*made).withColumnsRenamed({f"{c}_in": c for c in made})
+
+
+def absorb_iterative(
+    df: DataFrame, columns: Sequence[str], effects: Sequence[str], tol: float = 1e-10, rounds: int = 1000, suffix: str = "_abs"
+) -> DataFrame:
+    """Alternating group demeaning for several effects that all have many levels.
+
+    Each sweep is a combining aggregate and a join per effect; lineage is cut per sweep.
+    """
+    made = [c + suffix for c in columns]
+    out = df.dropna(subset=[*columns, *effects]).withColumns({m: F.col(c).cast("double") for c, m in zip(columns, made)})
+    for _ in range(rounds):
+        out = out.withColumns({f"_old_{m}": F.col(m) for m in made})
+        for e in effects:
+            out = demean(out, [e], made, "_in").drop(*made).withColumnsRenamed({f"{m}_in": m for m in made})
+        out = cut_lineage(out)
+        change = out.agg(F.max(F.greatest(*[F.abs(F.col(m) - F.col(f"_old_{m}")) for m in made], F.lit(0.0)))).first()[0]
+        out = out.drop(*[f"_old_{m}" for m in made])
+        if change is None or change < tol:
+            break
+    return out

@@ -1,11 +1,29 @@
-"""Estimation suites: event studies, mechanisms, heterogeneity, sensitivity."""
+"""Estimation suites: event studies, mechanisms, heterogeneity, cross-fitted estimates."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from crestline.operators.splines import spline_basis
+from crestline.operators.aggregates import fit_quality, replicate_summary
+from crestline.operators.expectation import left_out_linear
+from crestline.operators.folds import balanced_folds, random_folds, with_folds
+from crestline.operators.gram import cluster_grams
+from crestline.operators.joins import week_scaffold
+from crestline.operators.learners import crossfit
+from crestline.operators.orthogonal import (
+    balance, median_of_repetitions, per_sd, slope_through_origin, support,
+)
+from crestline.operators.regression import Fit, Regression, absorb, estimates_frame, wald
+from crestline.operators.windows import collapse_rare, zscore
+
+PRE_WEEKS, POST_WEEKS = (-4, -3, -2), (2, 3, 4)
+
 
 def event_interactions(
     rows: DataFrame, exposure: str, weeks: Sequence[int] = tuple(range(-4, 7)), reference: int = -1
@@ -14,3 +32,204 @@ def event_interactions(
     names = {k: f"x_event_{'m' if k < 0 else 'p'}{abs(k)}" for k in weeks if k != reference}
     made = {n: F.when(F.col("event_week") == k, F.col(exposure)).otherwise(F.lit(0.0)) for k, n in names.items()}
     return rows.where(F.col("event_week").isin(*weeks)).withColumns(made), names
+
+
+@dataclass
+class EventStudy:
+    model: Regression
+    fit: Fit
+    outcome: str
+    names: dict[int, str]
+    weeks: tuple[int, ...]
+    reference: int
+
+    def coefficients(self) -> DataFrame:
+        """Every event week in order; the reference week is 0 with no error."""
+        spark = self.model.grams.table.sparkSession
+        week = {n: k for k, n in self.names.items()}
+        rows = estimates_frame(spark, [self.fit])
+        table = F.create_map(*[F.lit(x) for n, k in week.items() for x in (n, k)])
+        found = rows.select(table[F.col("term")].alias("event_week"), "n", "clusters", "coef", "se", "p_value", "ci_low", "ci_high")
+        return week_scaffold(found, "event_week", self.weeks[0], self.weeks[-1], self.reference, ["coef", "ci_low", "ci_high"])
+
+    def joint(self, weeks: Sequence[int]) -> dict[str, float]:
+        return wald(self.fit, [self.names[k] for k in weeks])
+
+    def average_bootstrap(self, weeks: Sequence[int] = POST_WEEKS, reps: int = 999, signs=None) -> tuple[dict, np.ndarray]:
+        """Wild bootstrap of the mean effect over the weeks, the weeks left out under the null."""
+        return self.model.wild_bootstrap(
+            self.outcome, self.fit.regressors, tested=[self.names[k] for k in weeks], reps=reps, signs=signs
+        )
+
+
+def event_study(
+    rows: DataFrame, outcome: str, exposure: str, entity: str, cluster: str,
+    factors: Sequence[str] = ("calendar_week", "event_week"),
+    weeks: Sequence[int] = tuple(range(-4, 7)), reference: int = -1,
+) -> EventStudy:
+    """Exposure by event week with entity, calendar-week and event-week effects."""
+    made, names = event_interactions(rows, exposure, weeks, reference)
+    made = made.dropna(subset=[outcome, exposure])
+    model = Regression(cluster_grams(made, [outcome, *names.values()], cluster, entity, factors))
+    if model.rank(list(names.values())) < len(names):
+        raise ValueError("the event-week interactions are not of full rank after absorption")
+    fit = model.fit(outcome, list(names.values()), "event_study")
+    return EventStudy(model, fit, outcome, names, tuple(weeks), reference)
+
+
+def valid_cohorts(rows: DataFrame, cohort: str = "cohort_id", treated: str = "treated") -> DataFrame:
+    """Rows of cohorts that hold treated and control units."""
+    spans = rows.groupBy(cohort).agg(F.min(treated).alias("lo"), F.max(treated).alias("hi"))
+    return rows.join(spans.where("lo = 0 AND hi = 1").select(cohort), cohort, "left_semi")
+
+
+def spline_test(df: DataFrame, outcome: str, exposure: str, cluster: str, entity: str, factors: Sequence[str]) -> dict:
+    """Global test of a cubic spline in the exposure; dependent basis columns are dropped."""
+    based, names = spline_basis(df.dropna(subset=[outcome, exposure, cluster, entity, *factors]), exposure)
+    model = Regression(cluster_grams(based, [outcome, *names], cluster, entity, factors))
+    kept = model.full_rank_subset(names)
+    fit = model.fit(outcome, kept, "spline")
+    return {**wald(fit, kept), "kept": kept, "n": fit.n, "clusters": fit.clusters}
+
+
+def outcome_checks(
+    df: DataFrame, outcomes: Sequence[str], exposure: str, cluster: str, entity: str, factors: Sequence[str],
+    controls: Sequence[str] = (),
+) -> DataFrame:
+    """The same model over a list of outcomes (pre-trend and placebo checks), each on its own rows."""
+    fits = []
+    for y in outcomes:
+        model = Regression(cluster_grams(df, [y, exposure, *controls], cluster, entity, factors), spec=y)
+        fits.append(model.fit(y, [exposure, *controls], "check"))
+    return estimates_frame(df.sparkSession, fits, exposure_only=True)
+
+
+def mechanism(
+    df: DataFrame, mediators: Sequence[str], t: str, y: str, controls: Sequence[str], cluster: str, factor: str, entity: str,
+    min_rows: int = 500,
+) -> DataFrame:
+    """Exposure-to-mediator and mediator-to-outcome paths, their product and share of the total."""
+    spark, rows = df.sparkSession, []
+    for m in mediators:
+        use = df.dropna(subset=[m, t, y, cluster, factor, *controls])
+        if use.limit(min_rows).count() < min_rows:
+            continue
+        net = absorb(use, [m, t, *controls], cluster, None, [factor])
+        names = [f"{m}_abs", f"{t}_abs", *[f"{c}_abs" for c in controls]]
+        model = Regression(cluster_grams(net, [y, *names], cluster))
+        fits = model.fits({
+            "a": (f"{m}_abs", [f"{t}_abs", *names[2:]]), "b": (y, [f"{t}_abs", f"{m}_abs"]), "total": (y, [f"{t}_abs"]),
+        })
+        a, b, total = fits["a"], fits["b"], fits["total"]
+        product, theta = float(a.beta[0] * b.beta[1]), float(total.beta[0])
+        rows.append((m, a.n, a.clusters, float(a.beta[0]), float(a.se[0]), float(b.beta[1]), float(b.se[1]), product, theta,
+                     product / theta if abs(theta) > 1e-12 else None))
+    return spark.createDataFrame(
+        rows, "mediator string, n long, clusters long, a double, a_se double, b double, b_se double, product double, "
+              "total double, fraction double")
+
+
+def continuous_heterogeneity(df: DataFrame, modifiers: Sequence[str], t: str, y: str, cluster: str) -> DataFrame:
+    """Effect at the mean of each modifier and one deviation below and above."""
+    rows = []
+    for m in modifiers:
+        use = zscore(df.dropna(subset=[m, t, y, cluster]), [m]).withColumn("_tz", F.col(t) * F.col(f"{m}_z"))
+        fit = Regression(cluster_grams(use, [y, t, "_tz"], cluster)).fit(y, [t, "_tz"])
+        b0, b1 = (float(v) for v in fit.beta)
+        rows.append((m, fit.n, b0, b1, float(fit.se[1]), b0 - b1, b0 + b1))
+    return df.sparkSession.createDataFrame(
+        rows, "modifier string, n long, theta double, interaction double, interaction_se double, theta_low double, theta_high double")
+
+
+def categorical_heterogeneity(df: DataFrame, modifier: str, t: str, y: str, cluster: str, min_rows: int = 0) -> DataFrame:
+    """Implied effect per level with a joint test that all levels agree."""
+    use = df.dropna(subset=[modifier, t, y, cluster])
+    if min_rows:
+        use = collapse_rare(use, modifier, min_rows)
+    levels = [r[0] for r in use.select(F.col(modifier).cast("string")).distinct().orderBy(modifier).collect()]
+    names = [f"_t_{i}" for i in range(1, len(levels))]
+    made = {n: F.when(F.col(modifier) == v, F.col(t)).otherwise(F.lit(0.0)) for n, v in zip(names, levels[1:])}
+    fit = Regression(cluster_grams(use.withColumns(made), [y, t, *names], cluster)).fit(y, [t, *names])
+    test = wald(fit, names) if names else {"stat": None, "p_value": None}
+    rows = [
+        (modifier, levels[0], v, fit.n, float(fit.beta[0] + (fit.beta[i] if i else 0.0)), test["stat"], test["p_value"])
+        for i, v in enumerate(levels)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "modifier string, reference string, level string, n long, theta double, joint_stat double, joint_p double")
+
+
+def linear_residuals(df: DataFrame, targets: dict[str, str], numerics: Sequence[str], factors: Sequence[str], fold: str,
+                     min_train: int = 2) -> DataFrame:
+    """Rows with cross-fitted linear residuals ``target -> name``."""
+    out = df
+    for y, name in targets.items():
+        out = left_out_linear(out, y, numerics, factors, fold, f"{name}_hat", min_train)
+        out = out.withColumn(name, F.col(y) - F.col(f"{name}_hat"))
+    return out
+
+
+def tree_residuals(df: DataFrame, targets: dict[str, str], numerics: Sequence[str], factors: Sequence[str], fold: str,
+                   learner: Callable[[str], object]) -> DataFrame:
+    """Rows with cross-fitted residuals of a tree ensemble; ``learner`` builds one per target."""
+    out = df
+    for y, name in targets.items():
+        out = crossfit(out, y, numerics, factors, fold, f"{name}_hat", lambda y=y: learner(y))
+        out = out.withColumn(name, F.col(y) - F.col(f"{name}_hat"))
+    return out
+
+
+def orthogonal_suite(df: DataFrame, t: str, y: str, cluster: str, entity: str, covariates: Sequence[str],
+                     prob: float = 0.99) -> dict[str, DataFrame]:
+    """Main estimate, estimate on common support and exposure balance from two residual columns."""
+    main = per_sd(slope_through_origin(df, y, t, cluster, entity))
+    trimmed = per_sd(slope_through_origin(support(df.where(F.col(t).isNotNull()), t, prob), y, t, cluster, entity))
+    return {
+        "main": main,
+        "support": trimmed,
+        "balance": balance(df, covariates, [t], cluster, entity),
+    }
+
+
+def falsification(df: DataFrame, outcomes: Sequence[str], t: str, numerics: Sequence[str], factors: Sequence[str], fold: str,
+                  cluster: str, entity: str, exclude_outcome: bool = False) -> DataFrame:
+    """Orthogonal estimates for outcomes that the exposure cannot have changed."""
+    parts = []
+    for y in outcomes:
+        used = [c for c in numerics if not (exclude_outcome and c == y)]
+        res = linear_residuals(df, {y: "_y_res"}, used, factors, fold)
+        parts.append(slope_through_origin(res, "_y_res", t, cluster, entity).withColumn("outcome", F.lit(y)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def repeated_estimates(df: DataFrame, t: str, y: str, numerics: Sequence[str], factors: Sequence[str], cluster: str, entity: str,
+                       seeds: Sequence[int], k: int = 5, fold_unit: str | None = None,
+                       residuals: Callable[..., DataFrame] = linear_residuals) -> DataFrame:
+    """One orthogonal estimate per seeded split of the groups."""
+    parts = []
+    for seed in seeds:
+        unit = fold_unit or entity
+        split = with_folds(df.drop("fold"), random_folds(df, unit, k, seed), unit)
+        res = residuals(split, {t: "_t_res", y: "_y_res"}, numerics, factors, "fold")
+        one = slope_through_origin(res, "_y_res", "_t_res", cluster, entity)
+        parts.append(one.withColumn("seed", F.lit(seed)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def repetition_summary(reps: DataFrame) -> DataFrame:
+    return replicate_summary(reps.withColumnRenamed("theta", "coef"))
+
+
+def partially_linear(reps: DataFrame) -> DataFrame:
+    """Median over repeated splits with the deviation-adjusted error."""
+    return median_of_repetitions(reps)
+
+
+def with_balanced_folds(df: DataFrame, entity: str, k: int = 5) -> DataFrame:
+    return with_folds(df, balanced_folds(df, entity, k), entity)
+
+
+def nuisance_quality(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """R-squared and RMSE of cross-fitted predictions ``target -> prediction``."""
+    parts = [fit_quality(df, y, p).withColumn("target", F.lit(y)) for y, p in pairs.items()]
+    return reduce(DataFrame.unionByName, parts)
