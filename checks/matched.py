@@ -162,4 +162,4 @@ def _(spark, sf):
 def _(spark, sf):
     rows = suites.valid_cohorts(cut_lineage(stacked(spark, sf))).withColumn("month", F.date_format("week", "yyyy"))
     return suites.event_study(
-        rows, "occupancy", "treated", "unit", "state", ["month", "event_week"], tuple(range(-6, 7))).coefficients()
+        rows, "occupancy", "treated", "unit", "state", ["month", "event_week"], tuple(range(-6, 6))).coefficients()

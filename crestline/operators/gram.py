@@ -179,25 +179,25 @@ def cluster_grams(
     rows = df.select(
         F.col(cluster).cast("string").alias("c"),
         (F.col(entity) if entity else F.lit("")).cast("string").alias("e"),
-        *[F.col(c).cast("double").alias(c) for c in columns],
-        *[F.col(f).cast("string").alias(f"_f_{f}") for f in factors],
+        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+        *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(factors)],
     ).dropna()
     rows = cut_lineage(rows)
     stats = rows.agg(
         F.count("*").alias("n"),
-        *[F.avg(c).alias(f"_m_{c}") for c in columns],
-        *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns],
-        *[F.sort_array(F.collect_set(f"_f_{f}")).alias(f"_l_{f}") for f in factors],
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(columns))],
+        *[F.stddev_samp(f"x{i}").alias(f"s{i}") for i in range(len(columns))],
+        *[F.sort_array(F.collect_set(f"f{i}")).alias(f"l{i}") for i in range(len(factors))],
     ).first()
     if stats["n"] == 0:
         raise ValueError("no complete rows for this design")
-    levels = [(f, v) for f in factors for v in stats[f"_l_{f}"]]
+    levels = [(f, v) for i, f in enumerate(factors) for v in stats[f"l{i}"]]
     if len(levels) > MAX_LEVELS:
         raise ValueError("an absorbed factor has too many levels; pass it as the entity")
-    sd = {c: float(stats[f"_s_{c}"] or 0.0) for c in columns}
+    sd = {c: float(stats[f"s{i}"] or 0.0) for i, c in enumerate(columns)}
     scale = {c: sd[c] if sd[c] > 0 else 1.0 for c in columns}
-    mean = {c: float(stats[f"_m_{c}"]) if centre else 0.0 for c in columns}
-    z = [((F.col(c) - F.lit(mean[c])) / F.lit(scale[c])) for c in columns]
+    mean = {c: float(stats[f"m{i}"]) if centre else 0.0 for i, c in enumerate(columns)}
+    z = [((F.col(f"x{i}") - F.lit(mean[c])) / F.lit(scale[c])) for i, c in enumerate(columns)]
     width = len(columns) + len(levels)
     nested = entity is None or (
         rows.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").isEmpty()
@@ -208,7 +208,7 @@ def cluster_grams(
 
 
 def _sql_table(rows, z: list[Column], factors, levels, within: bool, nested: bool, width: int) -> DataFrame:
-    z = z + [(F.col(f"_f_{f}") == F.lit(v)).cast("double") for f, v in levels]
+    z = z + [(F.col(f"f{factors.index(f)}") == F.lit(v)).cast("double") for f, v in levels]
     flat = rows.select("c", "e", *[c.alias(f"z{i}") for i, c in enumerate(z)])
     pairs = list(zip(*triangle(width)))
     moment = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}_{j}") for i, j in pairs]
@@ -230,10 +230,10 @@ def _sql_table(rows, z: list[Column], factors, levels, within: bool, nested: boo
 def _kernel_table(rows, z: list[Column], factors, levels, within: bool, nested: bool, width: int) -> DataFrame:
     dense = width - len(levels)
     offsets, codes, start = [], [], dense
-    for f in factors:
+    for k, f in enumerate(factors):
         names = [v for g, v in levels if g == f]
         offsets.append(start)
-        codes.append(F.array_position(F.array(*[F.lit(v) for v in names]), F.col(f"_f_{f}")).cast("int") - 1)
+        codes.append(F.array_position(F.array(*[F.lit(v) for v in names]), F.col(f"f{k}")).cast("int") - 1)
         start += len(names)
     coded = rows.select(
         "c", "e", *[c.alias(f"z{i}") for i, c in enumerate(z)], *[c.alias(f"k{i}") for i, c in enumerate(codes)]

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from crestline.operators.joins import window_join
 from crestline.operators.quantiles import exact_quantiles
+from crestline.session import cut_lineage
 
 RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "  # fixed value: letters from rare to common in English
 
@@ -200,12 +201,14 @@ def nearest_controls(
     cells = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("x")) for a in every])
     medians = exact_quantiles(candidates.select(*pool_key, F.inline(cells)), "x", [0.5], [*pool_key, "axis"])
     medians = medians.groupBy(*pool_key).pivot("axis", every).agg(F.first("quantile"))
-    medians = medians.select(*pool_key, *[F.col(a).alias(f"_med_{a}") for a in every])
+    medians = cut_lineage(medians.select(*pool_key, *[F.col(a).alias(f"_med_{a}") for a in every]))
     gate = optional_gate or (optional_axes[0] if optional_axes else axes[0])
-    observed = candidates.groupBy(*pool_key).agg(F.count(gate).alias("_gate"))
-    filled = candidates.join(medians, pool_key).withColumns(
-        {a: F.coalesce(F.col(a), F.col(f"_med_{a}")) for a in every}
+    filled = cut_lineage(
+        candidates.join(medians, pool_key)
+        .withColumns({f"_raw_{gate}": F.col(gate)})
+        .withColumns({a: F.coalesce(F.col(a), F.col(f"_med_{a}")) for a in every})
     )
+    observed = filled.groupBy(*pool_key).agg(F.count(f"_raw_{gate}").alias("_gate"))
     moments = filled.groupBy(*pool_key).agg(
         *[x for a in every for x in (F.count(a).alias(f"_n_{a}"), F.avg(a).alias(f"_m_{a}"), F.var_pop(a).alias(f"_v_{a}"))]
     )
@@ -226,9 +229,9 @@ def nearest_controls(
         weights[f"_t_{a}"] = x
     lead = axes[0]
     step = F.coalesce(F.nullif(F.sqrt(F.col(f"_v_{lead}")), F.lit(0.0)), F.lit(1.0)) / cells_per_sd
-    probe = probe.withColumns(weights).withColumn("_step", step).select(
+    probe = cut_lineage(probe.withColumns(weights).withColumn("_step", step).select(
         cohort, *pool_key, F.col(entity).alias("_treated"), "_step", *weights
-    )
+    ))
     steps = moments.select(*pool_key, step.alias("_step"))
     placed = filled.join(steps, pool_key).withColumn("_cell", F.floor(F.col(lead) / F.col("_step"))).select(
         *pool_key, "_cell", F.col(entity).alias("control"), *every

@@ -24,3 +24,13 @@ def to_json_lines(df: DataFrame, column: str = "json") -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, order: str, buckets: int) -> None:
+    """Panel table bucketed by entity and sorted by time.
+
+    Windows, event-window joins and per-episode aggregates by the entity then read their own
+    buckets without an exchange.  A panel has at most one row per entity and day, so buckets stay
+    even; choose the number so that one bucket fits a task.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, order).saveAsTable(table)
