@@ -666,6 +666,10 @@ def _(spark, sf):
     return suites.nuisance_quality(res, {"delta": "yres_hat"})
 
 
-@query("est14_fold_sizes", "fold:i test_n:i train_n:i test_entities:i train_entities:i")
+@query("est14_fold_sizes", "fold:i test_n:i train_n:i test_entities:i train_entities:i", ssql("study", """
+SELECT fold, sum(n) AS test_n, (SELECT count(*) FROM study) - sum(n) AS train_n, count(*) AS test_entities,
+(SELECT count(DISTINCT hospital_id) FROM study) - count(*) AS train_entities FROM (
+SELECT n, CASE WHEN (r // 3) % 2 = 0 THEN r % 3 ELSE 2 - r % 3 END AS fold FROM (
+SELECT n, row_number() OVER (ORDER BY n DESC, md5(CAST(hospital_id AS VARCHAR))) - 1 AS r FROM (SELECT hospital_id, count(*) AS n FROM study GROUP BY 1))) GROUP BY 1""", {}))
 def _(spark, sf):
     return fold_sizes(tree_rows(spark, sf), "fold", "hospital_id")

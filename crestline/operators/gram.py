@@ -127,23 +127,27 @@ def _row_moments(dense: int, offsets: Sequence[int], width: int):
     return run
 
 
-def _entity_moments(dense: int, offsets: Sequence[int], width: int):
+def _entity_moments(dense: int, offsets: Sequence[int], width: int, nested: bool):
     """Task kernel: what entity means explain, from one row of sums per (entity, cluster)."""
 
+    def sums_of(b: pd.DataFrame, prefix: str) -> np.ndarray:
+        out = np.zeros((len(b), width))
+        out[:, :dense] = b[[f"{prefix}s{i}" for i in range(dense)]].to_numpy(float)
+        if offsets and len(b):
+            size = b[f"{prefix}m"].map(len).to_numpy()
+            row = np.repeat(np.arange(len(b)), size)
+            n = np.concatenate(b[f"{prefix}m"].to_numpy())
+            for k, start in enumerate(offsets):
+                np.add.at(out, (row, start + np.concatenate(b[f"{prefix}k{k}"].to_numpy()).astype(int)), n)
+        return out
+
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         count: dict[str, float] = {}
         for b in batches:
-            own, whole = np.zeros((len(b), width)), np.zeros((len(b), width))
-            for target, s_col, l_col in ((own, "s", "levels"), (whole, "ws", "wlevels")):
-                if len(b):
-                    target[:, :dense] = np.stack(b[s_col].to_numpy())
-                for r, cells in enumerate(b[l_col]):
-                    for cell in cells:
-                        for k, start in enumerate(offsets):
-                            target[r, start + cell["codes"][k]] += cell["n"]
+            own = sums_of(b, "")
             n = b["n"].to_numpy(float)[:, None]
-            mean = whole / b["wn"].to_numpy(float)[:, None]
+            mean = own / n if nested else sums_of(b, "w") / b["wn"].to_numpy(float)[:, None]
             for cluster, rows in b.groupby("c", sort=False).indices.items():
                 s, m = own[rows], mean[rows]
                 cross = s.T @ m
@@ -244,24 +248,25 @@ def _kernel_table(rows, z: list[Column], factors, levels, within: bool, nested:
         # equal (entity, level) rows collapse first, so an entity's list is as long as its levels
         level_codes = [f"k{i}" for i in range(len(offsets))]
         cells = coded.groupBy("c", "e", *level_codes).agg(
-            F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(dense)]
-        ).withColumn("codes", F.array(*level_codes).cast("array<int>"))
-        lists = F.collect_list(F.struct("codes", "n")) if offsets else F.array().cast("array<struct<codes:array<int>,n:bigint>>")
-        own = cells.groupBy("c", "e").agg(
-            F.sum("n").alias("n"),
-            F.array(*[F.sum(f"s{i}") for i in range(dense)]).alias("s"),
-            lists.alias("levels"),
+            F.count("*").alias("m"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(dense)]
         )
-        if nested:
-            both = own.select("c", "n", "s", "levels", F.col("n").alias("wn"), F.col("s").alias("ws"), F.col("levels").alias("wlevels"))
-        else:
-            whole = cells.groupBy("e").agg(
-                F.sum("n").alias("wn"),
-                F.array(*[F.sum(f"s{i}") for i in range(dense)]).alias("ws"),
-                lists.alias("wlevels"),
+
+        def per_entity(keys: list[str], prefix: str) -> DataFrame:
+            listed = F.collect_list(F.struct(*level_codes, "m")).alias("_l")
+            own = cells.groupBy(*keys).agg(
+                F.sum("m").alias(f"{prefix}n"),
+                *[F.sum(f"s{i}").alias(f"{prefix}s{i}") for i in range(dense)],
+                *([listed] if offsets else []),
             )
-            both = own.join(whole, "e").select("c", "n", "s", "levels", "wn", "ws", "wlevels")
-        parts = parts.unionByName(both.mapInPandas(_entity_moments(dense, offsets, width), schema))
+            if not offsets:
+                return own
+            parts = [F.col(f"_l.{k}").alias(f"{prefix}{k}") for k in [*level_codes, "m"]]
+            return own.select(*[c for c in own.columns if c != "_l"], *parts)
+
+        both = per_entity(["c", "e"], "")
+        if not nested:
+            both = both.join(per_entity(["e"], "w"), "e")
+        parts = parts.unionByName(both.drop("e").mapInPandas(_entity_moments(dense, offsets, width, nested), schema))
     summed = parts.groupBy("c", "pos").agg(F.sum("val").alias("val"))
     entry = F.when(F.col("pos") >= 0, F.struct("pos", "val"))
     listed = summed.groupBy("c").agg(

@@ -79,13 +79,14 @@ def asof_last(
     history_time: str,
     value: str,
     out: str,
-    cell_seconds: int | None = None,
+    cell_seconds: int | None = 30 * 86400,
 ) -> DataFrame:
     """Last non-NULL value at or before each probe: union and one running window, no pairs.
 
-    Without ``cell_seconds`` the window runs per key, for histories at calendar grain.  With it
-    the window runs per (key, time cell); each cell starts from the last value of earlier cells,
-    carried over a table with one row per key and non-empty cell.
+    The window runs per (key, time cell), so a key with much of the data is split by time; each
+    cell starts from the last value of earlier cells, carried over a table with one row per key
+    and non-empty cell.  ``cell_seconds=None`` runs per key: for probes and histories that are
+    both panels, with a bounded number of rows per key.
     """
     columns = probes.columns
     seen = history.where(F.col(value).isNotNull())

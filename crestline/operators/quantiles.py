@@ -28,26 +28,30 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         F.percentile_approx("_x", high, ACCURACY).alias("hi"),
     )
     sketch = clean.groupBy(*by).agg(F.count("*").alias("n"), spans.alias("spans"))
-    span_fields = [F.col("s.prob").alias("prob"), F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi")]
     if by:
         placed = clean.join(sketch, by)
     else:
-        packed = sketch.select(F.struct("n", "spans")).scalar()
-        placed = clean.withColumn("_p", packed).select("_x", "_p.n", "_p.spans")
-    placed = placed.select(*by, "_x", "n", F.posexplode("spans").alias("i", "s")).select(
-        *by, "_x", "n", "i", *span_fields
-    )
-    x, lo, hi = F.col("_x"), F.col("lo"), F.col("hi")
-    counts = placed.groupBy(*by, "i").agg(
-        F.first("n").alias("n"),
-        F.first("prob").alias("prob"),
-        F.count_if(x < lo).alias("below"),
-        F.count_if(x.between(lo, hi)).alias("within"),
-        F.max(F.when(x < lo, x)).alias("prev"),
-        F.min(F.when(x > hi, x)).alias("next"),
+        placed = clean.withColumn("_p", sketch.select(F.struct("n", "spans")).scalar()).select("_x", "_p.n", "_p.spans")
+    x = F.col("_x")
+    # one pass counts what lies around every bracket
+    around, rows = [F.first("n").alias("n")], []
+    for i, p in enumerate(probs):
+        lo, hi = F.col("spans")[i]["lo"], F.col("spans")[i]["hi"]
+        around += [
+            F.count_if(x < lo).alias(f"below{i}"), F.count_if(x.between(lo, hi)).alias(f"within{i}"),
+            F.max(F.when(x < lo, x)).alias(f"prev{i}"), F.min(F.when(x > hi, x)).alias(f"next{i}"),
+        ]
+        rows.append(F.struct(
+            F.lit(i).alias("i"), F.lit(float(p)).alias("prob"),
+            *[F.col(f"{c}{i}").alias(c) for c in ("below", "within", "prev", "next")],
+        ))
+    counts = placed.groupBy(*by).agg(*around).where(F.col("n").isNotNull()).select(*by, "n", F.inline(F.array(*rows)))
+    # only values inside a bracket are ranked
+    inside = F.filter(
+        F.transform("spans", lambda s, i: F.when((x >= s["lo"]) & (x <= s["hi"]), i)), lambda i: i.isNotNull()
     )
     ranked = (
-        placed.where(x.between(lo, hi))
+        placed.select(*by, "_x", F.explode(inside).alias("i"))
         .groupBy(*by, "i", "_x")
         .agg(F.count("*").alias("m"))
         .withColumn(

@@ -81,7 +81,7 @@ def hospital_surges(facility_week: DataFrame, rule: SurgeRule = HOSPITAL_WEEK) -
 def response_latency(signals: DataFrame, policy: DataFrame, key: str = "state", day: str = "signal_date",
                      search_days: int = 21, rise: float = 5.0) -> DataFrame:
     """Baseline index at the signal, first escalation after it, latency, censoring flag."""
-    based = asof_last(signals, policy, [key], day, "date", "response_index", "baseline_response_index")
+    based = asof_last(signals, policy, [key], day, "date", "response_index", "baseline_response_index", cell_seconds=None)
     return first_rise_after(
         based, policy, [key], [key, day], day, "date", "response_index", "baseline_response_index", search_days, rise
     )
