@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crestline.session import cut_lineage
 
-SQL_WIDTH = 12  # columns up to which plain SQL sums are used
+SQL_WIDTH = 6  # columns up to which plain SQL sums are used; wider sums cost more to compile than Arrow costs to move
 MAX_LEVELS = 4000  # levels of absorbed factors (quarters, weeks): calendar-sized, checked
 FLUSH_VALUES = 4_000_000  # doubles a task holds before it hands partial sums on
 

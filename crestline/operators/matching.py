@@ -72,17 +72,19 @@ def candidate_pairs(left: DataFrame, right: DataFrame, block: str, threshold: fl
     """
     phi = threshold / (2.0 - threshold)
 
-    def prefix(bag: str) -> Column:
-        n = F.size(bag)
-        return F.slice(bag, 1, F.greatest(n - F.ceil(n * F.lit(phi) - 1e-9) + 1, F.lit(0)).cast("int"))
+    def prepared(names: DataFrame, side: str) -> DataFrame:
+        n = F.size(f"{side}_bag")
+        keep = F.greatest(n - F.ceil(n * F.lit(phi) - 1e-9) + 1, F.lit(0)).cast("int")
+        return cut_lineage(names.withColumn(f"{side}_pre", F.slice(f"{side}_bag", 1, keep)))
 
     def lookup(probe: DataFrame, index: DataFrame, p: str, q: str) -> DataFrame:
-        postings = probe.withColumn("_e", F.explode(prefix(f"{p}_bag")))
+        postings = probe.withColumn("_e", F.explode(f"{p}_pre"))
         whole = index.withColumn("_e", F.explode(f"{q}_bag"))
         pairs = postings.join(whole, [block, "_e"])
-        first = F.get(F.filter(prefix(f"{p}_bag"), lambda e: F.array_contains(f"{q}_bag", e)), F.lit(0))
+        first = F.get(F.array_intersect(f"{p}_pre", f"{q}_bag"), F.lit(0))
         return pairs.where(first == F.col("_e")).drop("_e")
 
+    left, right = prepared(left, "l"), prepared(right, "r")
     common = F.size(F.array_intersect("l_bag", "r_bag"))
     by_left = common >= F.lit(phi) * F.size("l_bag") - 1e-9
     by_right = common >= F.lit(phi) * F.size("r_bag") - 1e-9
@@ -121,8 +123,14 @@ def match_names(
     )
     l_ready = l_keys.withColumn("l_sorted", sorted_tokens(F.col("l_name"))).withColumn("l_bag", letter_bag(F.col("l_sorted")))
     r_ready = r_keys.withColumn("r_sorted", sorted_tokens(F.col("r_name"))).withColumn("r_bag", letter_bag(F.col("r_sorted")))
-    pairs = candidate_pairs(l_ready, r_ready, block, threshold).drop("l_bag", "r_bag")
-    base = token_set_udf("l_sorted", "r_sorted") if scorer == "token_set" else edit_score(F.col("l_sorted"), F.col("r_sorted"))
+    pairs = candidate_pairs(l_ready, r_ready, block, threshold).drop("l_bag", "r_bag", "l_pre", "r_pre")
+    if scorer == "token_set":
+        # scoring is heavy per pair while pairs are short: spread them by left name, not by bytes
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.repartition(tasks, block, "l_name", "l_city")
+        base = token_set_udf("l_sorted", "r_sorted")
+    else:
+        base = edit_score(F.col("l_sorted"), F.col("r_sorted"))
     bonus = F.when((F.col("l_city") != "") & (F.col("l_city") == F.col("r_city")), F.lit(city_bonus)).otherwise(0.0)
     scored = pairs.withColumn("_score", base).withColumn(
         "_score", F.when(F.lit(bool(city)), F.least(F.lit(100.0), F.col("_score") + bonus)).otherwise(F.col("_score"))

@@ -40,10 +40,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     machine-local folder is lost together with its executor.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="crestline-checkpoint-"))
+            shared = tempfile.mkdtemp(prefix="crestline-checkpoint-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=eager)
