@@ -8,6 +8,7 @@ from checks.registry import query
 from checks.standins import county_week, crosswalk, episodes, facility_week, population, sql
 from crestline.functions.changes import per_100k
 from crestline.plans import panels
+from crestline.session import cut_lineage
 
 BRIDGE = ("state:s signal_date:d n:i hospitals:i weight:f post:f pre:f innovation:f plain:f")
 BRIDGE_SQL = """
@@ -99,7 +100,8 @@ sum(deaths) FILTER (date_diff('day', signal_date, week_end) >= 21) AS d2, avg(ob
 count(week_end) FILTER (date_diff('day', signal_date, week_end) >= 21) AS n2
 FROM ae e LEFT JOIN aw ON aw.area_id = e.area_id AND week_end BETWEEN signal_date + 14 AND signal_date + 49 GROUP BY 1, 2)""", AREA_SQL))
 def _(spark, sf):
-    out = panels.area_mortality(area_episodes(spark, sf), area_weeks(spark, sf), min_coverage=0.61)
+    out = panels.area_mortality(
+        cut_lineage(area_episodes(spark, sf)), cut_lineage(area_weeks(spark, sf)), min_coverage=0.61)
     return out.withColumnsRenamed({
         "area_episode_no": "no", "deaths_14_42_per100k": "rate1", "coverage_14_42": "coverage1", "weeks_14_42": "weeks1",
         "deaths_21_49_per100k": "rate2", "coverage_21_49": "coverage2", "weeks_21_49": "weeks2"})

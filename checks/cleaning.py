@@ -11,7 +11,7 @@ from checks.registry import query
 from checks.standins import facility_ratios, facility_week, sql, table
 from crestline.functions import calendars, changes, cleaning
 from crestline.functions.places import REGION_OF_STATE, STATE_OF_FIPS
-from crestline.operators.quantiles import exact_quantile
+from crestline.operators.quantiles import quantile_value
 from crestline.operators.windows import calendar_index, collapse_rare, keep_last, zscore
 from crestline.sources import conform, quality, readers, sinks
 
@@ -435,7 +435,7 @@ def _(spark, sf):
 SELECT hospital_id, week, coalesce(icu_occupancy, (SELECT quantile_cont(icu_occupancy, 0.5) FROM fr)) AS icu FROM fr"""))
 def _(spark, sf):
     rows = facility_ratios(spark, sf)
-    return rows.withColumn("icu", F.coalesce("icu_occupancy", exact_quantile(rows, "icu_occupancy", 0.5)))
+    return rows.withColumn("icu", F.coalesce("icu_occupancy", F.lit(quantile_value(rows, "icu_occupancy", 0.5))))
 
 
 @query("prj32_category_imputation", "orderkey:i status:s", """

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crestline.session import cut_lineage
+
 
 def window_join(
     events: DataFrame,
@@ -150,6 +152,7 @@ def first_rise_after(
     Events with no observed value in the span, or no baseline, drop out; events without a rise
     are censored at ``search_days + 1`` with ``detected = 0``.
     """
+    events = cut_lineage(events)
     pairs = window_join(
         events.where(F.col(baseline).isNotNull()),
         panel.where(F.col(value).isNotNull()),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from crestline.functions.tails import t_critical
-from crestline.operators.quantiles import exact_quantile
+from crestline.operators.quantiles import quantile_value
 from crestline.operators.regression import Z95
 from crestline.operators.windows import zscore
 
@@ -80,7 +80,7 @@ def per_sd(estimates: DataFrame, scale: float = 1.0) -> DataFrame:
 def support(df: DataFrame, exposure: str, prob: float = 0.99) -> DataFrame:
     """Rows whose absolute exposure residual is at most its exact quantile."""
     sized = df.withColumn("_abs", F.abs(F.col(exposure)))
-    return sized.where(F.col("_abs") <= exact_quantile(sized, "_abs", prob)).drop("_abs")
+    return sized.where(F.col("_abs") <= F.lit(quantile_value(sized, "_abs", prob))).drop("_abs")
 
 
 def long_covariates(df: DataFrame, covariates: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -28,15 +28,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         F.percentile_approx("_x", high, ACCURACY).alias("hi"),
     )
     sketch = clean.groupBy(*by).agg(F.count("*").alias("n"), spans.alias("spans"))
+    x = F.col("_x")
     if by:
         placed = clean.join(sketch, by)
+        n, brackets = F.first("n"), [(F.col("spans")[i]["lo"], F.col("spans")[i]["hi"]) for i in range(len(probs))]
     else:
-        placed = clean.withColumn("_p", sketch.select(F.struct("n", "spans")).scalar()).select("_x", "_p.n", "_p.spans")
-    x = F.col("_x")
+        # one row for the whole table: its few numbers become literals of the second pass
+        placed, found = clean, sketch.first()
+        spans = found["spans"] or []
+        n, brackets = F.lit(found["n"]), [(F.lit(s["lo"]), F.lit(s["hi"])) for s in spans] or [(F.lit(0.0), F.lit(0.0))] * len(probs)
     # one pass counts what lies around every bracket
-    around, rows = [F.first("n").alias("n")], []
-    for i, p in enumerate(probs):
-        lo, hi = F.col("spans")[i]["lo"], F.col("spans")[i]["hi"]
+    around, rows = [n.alias("n"), F.count("*").alias("_rows")], []
+    for i, (p, (lo, hi)) in enumerate(zip(probs, brackets)):
         around += [
             F.count_if(x < lo).alias(f"below{i}"), F.count_if(x.between(lo, hi)).alias(f"within{i}"),
             F.max(F.when(x < lo, x)).alias(f"prev{i}"), F.min(F.when(x > hi, x)).alias(f"next{i}"),
@@ -45,11 +48,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
             F.lit(i).alias("i"), F.lit(float(p)).alias("prob"),
             *[F.col(f"{c}{i}").alias(c) for c in ("below", "within", "prev", "next")],
         ))
-    counts = placed.groupBy(*by).agg(*around).where(F.col("n").isNotNull()).select(*by, "n", F.inline(F.array(*rows)))
+    counts = placed.groupBy(*by).agg(*around).where(F.col("_rows") > 0).select(*by, "n", F.inline(F.array(*rows)))
     # only values inside a bracket are ranked
-    inside = F.filter(
-        F.transform("spans", lambda s, i: F.when((x >= s["lo"]) & (x <= s["hi"]), i)), lambda i: i.isNotNull()
-    )
+    hits = [F.when(x.between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(brackets)]
+    inside = F.filter(F.array(*hits), lambda i: i.isNotNull())
     ranked = (
         placed.select(*by, "_x", F.explode(inside).alias("i"))
         .groupBy(*by, "i", "_x")
@@ -83,9 +85,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     return out.select(*by, "prob", F.when(F.col("w") == 0, F.col("x0")).otherwise(value_at).alias("quantile"))
 
 
-def exact_quantile(df: DataFrame, value: str, prob: float):
-    """One exact quantile of the whole table as a scalar subquery column."""
-    return exact_quantiles(df, value, [prob]).select("quantile").scalar()
+def quantile_value(df: DataFrame, value: str, prob: float) -> float | None:
+    """One exact quantile of the whole table, evaluated now; NULL without values.
+
+    A number in the plan beats a scalar subquery here: it is used in several places, and
+    conditions on it fold away or reach the scan.
+    """
+    row = exact_quantiles(df, value, [prob]).first()
+    return None if row is None else row["quantile"]
 
 
 def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:

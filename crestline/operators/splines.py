@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crestline.operators.quantiles import exact_quantile
+from crestline.operators.quantiles import quantile_value
 
 
 def spline_basis(df: DataFrame, column: str, prefix: str = "spline", degree: int = 3) -> tuple[DataFrame, list[str]]:
     """Basis with one inner knot at the exact median and ``degree + 1`` columns (no intercept).
 
-    The three knots are one scalar each, packed as a column; the recursion unrolls into plain
-    arithmetic inside the generated code.
+    The three knots are read first; the recursion then unrolls into plain arithmetic on literals
+    inside the generated code.
     """
-    ends = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
-    knots = F.struct(ends["lo"].alias("lo"), exact_quantile(df, column, 0.5).alias("mid"), ends["hi"].alias("hi"))
-    out = df.withColumn("_knots", knots)
+    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    knots = {"lo": ends["lo"], "mid": quantile_value(df, column, 0.5), "hi": ends["hi"]}
     names = ["lo"] * (degree + 1) + ["mid"] + ["hi"] * (degree + 1)
-    at = {n: F.col(f"_knots.{n}").cast("double") for n in ("lo", "mid", "hi")}
+    at = {n: F.lit(float(v)) for n, v in knots.items()}
     x = F.col(column).cast("double")
 
     def basis(i: int, d: int) -> Column | None:
@@ -36,4 +35,4 @@ def spline_basis(df: DataFrame, column: str, prefix: str = "spline", degree: int
         return None if not parts else sum(parts[1:], parts[0])
 
     made = {f"{prefix}_{i}": basis(i, degree) for i in range(1, degree + 2)}
-    return out.withColumns(made).drop("_knots"), list(made)
+    return df.withColumns(made), list(made)

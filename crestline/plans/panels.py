@@ -22,8 +22,9 @@ from crestline.operators.aggregates import (
 from crestline.operators.episodes import assign_sessions, spaced_episodes
 from crestline.operators.expectation import left_out_linear, left_out_linear_imputed
 from crestline.operators.joins import asof_last, first_rise_after, salted_band_aggregate, window_join
-from crestline.operators.quantiles import exact_quantile
+from crestline.operators.quantiles import quantile_value
 from crestline.operators.windows import calendar_index, relative_change, rolling_mean, trailing_median
+from crestline.session import cut_lineage
 
 DAY = 86400
 PRE = (-4, -3, -2)
@@ -115,8 +116,9 @@ def state_surge_outcomes(region_day: DataFrame, policy_day: DataFrame, excess_we
 
 def with_ratios(facility_week: DataFrame) -> DataFrame:
     """Occupancy and ICU occupancy; the ICU field is a ratio already if its 95th percentile says so."""
-    q95 = exact_quantile(facility_week, "icu_occupied", 0.95)
-    icu = F.when(q95 <= 1.5, F.col("icu_occupied")).otherwise(F.try_divide(F.col("icu_occupied"), F.col("icu_beds")))
+    q95 = quantile_value(facility_week, "icu_occupied", 0.95)
+    is_ratio = q95 is not None and q95 <= 1.5
+    icu = F.col("icu_occupied") if is_ratio else F.try_divide(F.col("icu_occupied"), F.col("icu_beds"))
     return facility_week.withColumn(
         "occupancy", bounded_ratio(F.col("occupied_beds"), F.col("staffed_beds"))
     ).withColumn("_icu", icu).withColumn(
@@ -353,7 +355,7 @@ def area_week(county_week: DataFrame, population: DataFrame, crosswalk: DataFram
 
 def area_episodes(hospital_episodes: DataFrame, post: str, pre: str, weight: str, gap_days: int = 21) -> DataFrame:
     """Hospital episodes of an area merged while gaps stay within the limit, capacity weighted."""
-    use = hospital_episodes.dropna(subset=["area_id", "signal_week", post, pre, weight])
+    use = cut_lineage(hospital_episodes.dropna(subset=["area_id", "signal_week", post, pre, weight]))
     numbered = assign_sessions(use, ["area_id", "state"], "signal_week", gap_days * DAY)
     key = ["area_id", "state", "session_no"]
     summary = numbered.groupBy(*key).agg(
