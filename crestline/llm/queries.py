@@ -42,3 +42,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.token_files import token_round_trip
 
     return token_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
+@registered("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.phrase_index import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from crestline.llm.secret_tags import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@registered("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from crestline.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = lambda c: F.crc32(F.col(c).cast("string")) % 4 == 2
+    machine = toxicity.learn(docs, labels.where(~held("doc_id")))
+    return toxicity.score(docs, machine).select("doc_id", held("doc_id").alias("held_out"), "score", "predicted")
+
+
+@registered("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from crestline.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    machines = language_id.learn(docs.where(~held))
+    return language_id.predict(docs, machines).select("doc_id", held.alias("held_out"), "lang_pred", "score")

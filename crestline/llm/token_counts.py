@@ -81,8 +81,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """
     frequent = frequent_pieces(docs, tokenizer, text, size)
     coder = encoder(tokenizer)
-    table = (frequent, coder.size[coder.places(frequent)].astype(np.uint16) if frequent else np.zeros(0, np.uint16))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    places = coder.places(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, coder.size[places].astype(np.uint16)))
     kind = docs.schema[key].dataType.simpleString()
 
     def count(batches):
