@@ -19,21 +19,29 @@ from crestline.session import cut_lineage
 
 
 def names(spark, sf):
-    """Left: every part's name without its first letter.  Right: the distinct names per brand."""
+    """Left: every part's name without its first letter.  Right: the distinct names per brand.
+    Cities: the manufacturer's number in words of differing case and signs."""
     part = table(spark, sf, "part")
-    left = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.expr("substring(p_name, 2)").alias("name"))
-    right = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("rid"))
+    left = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.expr("substring(p_name, 2)").alias("name"),
+                       F.concat(F.lit("Port-"), F.expr("CAST(p_size % 5 AS STRING)")).alias("city"))
+    right = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).agg(
+        F.min("p_partkey").alias("rid"), F.concat(F.lit("PORT "), F.min(F.expr("CAST(p_size % 5 AS STRING)"))).alias("city"))
     return left, right
 
 
 NAMES = {
-    "ln": ("", "SELECT DISTINCT p_brand AS brand, substring(p_name, 2) AS name FROM part"),
-    "rn": ("", "SELECT p_brand AS brand, p_name AS rname, min(p_partkey) AS rid FROM part GROUP BY 1, 2"),
-    "sc": ("ln rn", """SELECT brand, name, rid, 100.0 * (1.0 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) AS score FROM (
-        SELECT brand, name, rid, array_to_string(list_sort(list_distinct(string_split(name, ' '))), ' ') AS a,
-        array_to_string(list_sort(list_distinct(string_split(rname, ' '))), ' ') AS b FROM ln JOIN rn USING (brand))"""),
+    "ln": ("", "SELECT DISTINCT p_brand AS brand, substring(p_name, 2) AS name, 'port ' || CAST(p_size % 5 AS VARCHAR) AS lcity FROM part"),
+    "rn": ("", "SELECT p_brand AS brand, p_name AS rname, min(p_partkey) AS rid, 'PORT ' || min(CAST(p_size % 5 AS VARCHAR)) AS rcity FROM part GROUP BY 1, 2"),
+    "bg": ("ln rn", """SELECT *, list_sort(list_distinct(string_split(name, ' '))) AS ta, list_sort(list_distinct(string_split(rname, ' '))) AS tb FROM ln JOIN rn USING (brand)"""),
+    "st": ("bg", """SELECT *, array_to_string(ta, ' ') AS a, array_to_string(tb, ' ') AS b, array_to_string(list_sort(list_intersect(ta, tb)), ' ') AS c FROM bg"""),
+    "sc": ("st", """SELECT brand, name, lcity, rid, rcity, 100.0 * (1.0 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) AS score,
+        CASE WHEN c <> '' THEN 100.0 * (1.0 - least(levenshtein(c, a) / CAST(greatest(length(a), length(c)) AS DOUBLE), levenshtein(c, b) / CAST(greatest(length(b), length(c)) AS DOUBLE))) ELSE 0.0 END AS part
+        FROM st"""),
     "tp": ("sc", """SELECT brand, name, max(rid) FILTER (k = 1) AS matched_id, max(score) FILTER (k = 1) AS score, max(score) FILTER (k = 2) AS second_score FROM (
-        SELECT *, row_number() OVER (PARTITION BY brand, name ORDER BY score DESC, rid) AS k FROM sc WHERE score >= 70) GROUP BY 1, 2"""),
+        SELECT *, row_number() OVER (PARTITION BY brand, name ORDER BY score DESC, rid) AS k FROM (SELECT DISTINCT brand, name, rid, score FROM sc)) GROUP BY 1, 2"""),
+    "cs": ("sc", "SELECT brand, name, lcity, rid, rcity, least(100.0, greatest(score, part) + CASE WHEN lcity = lower(rcity) THEN 2.0 ELSE 0.0 END) AS score FROM sc"),
+    "ct": ("cs", """SELECT brand, name, lcity, max(rid) FILTER (k = 1) AS matched_id, max(rcity) FILTER (k = 1) AS matched_city, max(score) FILTER (k = 1) AS score,
+        max(score) FILTER (k = 2) AS second_score FROM (SELECT *, row_number() OVER (PARTITION BY brand, name, lcity ORDER BY score DESC, rid) AS k FROM cs) GROUP BY 1, 2, 3"""),
 }
 
 
@@ -43,16 +51,18 @@ coalesce(score >= 80 AND (second_score IS NULL OR score - second_score >= 10), F
 FROM part LEFT JOIN tp ON tp.brand = p_brand AND tp.name = substring(p_name, 2)""", NAMES))
 def _(spark, sf):
     left, right = names(spark, sf)
-    return matching.match_names(left, right, "brand", "id", "rid", "name", min_score=80.0, min_gap=10.0, floor=70.0, scorer="edit")
+    return matching.match_names(left, right, "brand", "id", "rid", "name", min_score=80.0, min_gap=10.0, scorer="edit")
 
 
-@query("pipe14_match_audit", "reason:s n:i mean_score:f4")
+@query("pipe14_match_audit", "id:i matched_id:i matched_city:s score:f second_score:f score_gap:f match_ok:b reason:s", sql("ct", """
+SELECT p_partkey AS id, matched_id, matched_city, score, second_score, score - second_score AS score_gap,
+coalesce(score >= 85 AND (second_score IS NULL OR score - second_score >= 3), FALSE) AS match_ok,
+CASE WHEN coalesce(score >= 85 AND (second_score IS NULL OR score - second_score >= 3), FALSE) THEN 'accepted'
+WHEN score IS NULL THEN 'no names in block' ELSE 'manual review required' END AS reason
+FROM part LEFT JOIN ct ON ct.brand = p_brand AND ct.name = substring(p_name, 2) AND lcity = 'port ' || CAST(p_size % 5 AS VARCHAR)""", NAMES))
 def _(spark, sf):
     left, right = names(spark, sf)
-    left = left.withColumn("name", facility_name(F.concat("name", F.lit(" Hospital"))))
-    right = right.withColumn("name", facility_name(F.concat("name", F.lit(" Hospital"))))
-    audit = matching.match_names(left, right, "brand", "id", "rid", "name")
-    return audit.groupBy("reason").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+    return matching.match_names(left, right, "brand", "id", "rid", "name", "city", scorer="edit_set")
 
 
 # --- controls ---------------------------------------------------------------------------------

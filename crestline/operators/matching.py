@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
+from crestline.functions.cleaning import facility_name
 from crestline.operators.joins import window_join
 from crestline.operators.quantiles import exact_quantiles
 from crestline.session import cut_lineage
@@ -36,6 +38,13 @@ def edit_score(a: Column, b: Column) -> Column:
     return 100.0 * (1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
 
 
+def edit_set_score(a: Column, b: Column) -> Column:
+    """0-100: best edit score among the sorted token strings and their common part, inside the JVM."""
+    common = F.array_join(F.array_intersect(F.split(a, " "), F.split(b, " ")), " ")
+    partial = F.when(common != "", F.greatest(edit_score(common, a), edit_score(common, b))).otherwise(0.0)
+    return F.greatest(edit_score(a, b), partial)
+
+
 def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.split(F.trim(name), r"\s+"))), " ")
 
@@ -104,60 +113,70 @@ def match_names(
     min_score: float = 85.0,
     min_gap: float = 3.0,
     city_bonus: float = 2.0,
-    floor: float | None = None,
     scorer: str = "token_set",
+    thresholds: Sequence[float] = (80.0, 60.0, 40.0),
 ) -> DataFrame:
-    """Best right-hand name per left row with score, runner-up, gap and decision.
+    """Best right-hand name per left row with score, runner-up, gap, the match's city and the decision.
 
-    Names must be normalised.  Scores are exact down to ``floor`` (by default the lowest score
-    that can still decide a match); below it they are NULL and the row needs manual review.
-    Equal names of a block are compared once; several holders of the best name are a tie.
+    Names must be normalised; cities are normalised here before they earn the bonus.  The search
+    falls through ``thresholds``: a name with two candidates at or above one has its exact top two
+    and leaves, the others go on, and what is left after the last is compared with its whole block.
+    So every row of a block with names gets its best match, however poor.  Equal names of a block
+    are compared once; several holders of the best name are a tie.
     """
-    floor = min_score - min_gap if floor is None else floor
-    threshold = max(floor - (city_bonus if city else 0.0), 0.0) / 100.0
-    place = F.col(city) if city else F.lit("")
-    l_names = left.select(block, F.col(name).alias("l_name"), F.coalesce(place, F.lit("")).alias("l_city"), F.col(left_id).alias("_lid"))
+    place = F.coalesce(F.col(city), F.lit("")) if city else F.lit("")
+    l_names = left.select(block, F.col(name).alias("l_name"), facility_name(place).alias("l_city"), F.col(left_id).alias("_lid"))
     l_keys = l_names.select(block, "l_name", "l_city").distinct()
-    r_keys = right.groupBy(block, F.col(name).alias("r_name"), F.coalesce(place, F.lit("")).alias("r_city")).agg(
-        F.min(right_id).alias("_rid"), F.count("*").alias("_holders")
-    )
-    l_ready = l_keys.withColumn("l_sorted", sorted_tokens(F.col("l_name"))).withColumn("l_bag", letter_bag(F.col("l_sorted")))
+    r_keys = right.select(block, F.col(name).alias("r_name"), place.alias("_place"), F.col(right_id).alias("_id")).groupBy(
+        block, "r_name", facility_name(F.col("_place")).alias("r_city")
+    ).agg(F.min("_id").alias("_rid"), F.min_by("_place", "_id").alias("_place"), F.count("*").alias("_holders"))
+    open_ = l_keys.withColumn("l_sorted", sorted_tokens(F.col("l_name"))).withColumn("l_bag", letter_bag(F.col("l_sorted")))
     r_ready = r_keys.withColumn("r_sorted", sorted_tokens(F.col("r_name"))).withColumn("r_bag", letter_bag(F.col("r_sorted")))
-    pairs = candidate_pairs(l_ready, r_ready, block, threshold).drop("l_bag", "r_bag", "l_pre", "r_pre")
-    if scorer == "token_set":
-        # scoring is heavy per pair while pairs are short: spread them by left name, not by bytes
-        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = pairs.repartition(tasks, block, "l_name", "l_city")
-        base = token_set_udf("l_sorted", "r_sorted")
-    else:
-        base = edit_score(F.col("l_sorted"), F.col("r_sorted"))
     bonus = F.when((F.col("l_city") != "") & (F.col("l_city") == F.col("r_city")), F.lit(city_bonus)).otherwise(0.0)
-    scored = pairs.withColumn("_score", base).withColumn(
-        "_score", F.when(F.lit(bool(city)), F.least(F.lit(100.0), F.col("_score") + bonus)).otherwise(F.col("_score"))
-    ).where(F.col("_score") >= floor)
     key = [block, "l_name", "l_city"]
     order = Window.partitionBy(*key).orderBy(F.desc("_score"), "_rid")
-    top = scored.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= 2)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def top_two(pairs: DataFrame, least: float) -> DataFrame:
+        if scorer == "token_set":
+            # scoring is heavy per pair while pairs are short: spread them by left name, not by bytes
+            pairs, base = pairs.repartition(tasks, *key), token_set_udf("l_sorted", "r_sorted")
+        else:
+            base = (edit_set_score if scorer == "edit_set" else edit_score)(F.col("l_sorted"), F.col("r_sorted"))
+        scored = pairs.withColumn("_score", base)
+        if city:
+            scored = scored.withColumn("_score", F.least(F.lit(100.0), F.col("_score") + bonus))
+        ranked = scored.where(F.col("_score") >= least).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= 2)
+        return cut_lineage(ranked.select(*key, "r_name", "_rid", "_place", "_holders", "_score", "_k"))
+
+    tops = []
+    for t in thresholds:
+        pairs = candidate_pairs(open_, r_ready, block, max(t - (city_bonus if city else 0.0), 0.0) / 100.0)
+        found = top_two(pairs, t)
+        decided = found.groupBy(*key).agg(F.count("*").alias("_n"), F.max(F.when(F.col("_k") == 1, F.col("_holders"))).alias("_h")).where("_n = 2 OR _h > 1").select(key)
+        tops.append(found.join(decided, key, "left_semi"))
+        open_ = open_.join(decided, key, "left_anti")
+    tops.append(top_two(open_.join(r_ready, block), 0.0))
+    top = reduce(DataFrame.unionByName, tops)
     best, runner = F.col("_k") == 1, F.col("_k") == 2
     found = top.groupBy(*key).agg(
         F.max(F.when(best, F.col("_rid"))).alias("matched_id"),
         F.max(F.when(best, F.col("r_name"))).alias("matched_name"),
+        F.max(F.when(best, F.col("_place"))).alias("matched_city"),
         F.max(F.when(best, F.col("_score"))).alias("score"),
         F.max(F.when(best & (F.col("_holders") > 1), F.col("_score")).when(runner, F.col("_score"))).alias("second_score"),
     )
     gap = F.col("score") - F.col("second_score")
     ok = (F.col("score") >= min_score) & F.coalesce(gap >= min_gap, F.lit(True))
-    has_block = right.select(F.col(block)).distinct().withColumn("_has", F.lit(True))
     return (
         l_names.join(found, key, "left")
-        .join(has_block, block, "left")
         .withColumn("score_gap", gap)
         .withColumn("match_ok", F.coalesce(ok, F.lit(False)))
         .withColumn(
             "reason",
-            F.when(F.col("match_ok"), "accepted").when(F.col("_has").isNull(), "no names in block").otherwise("manual review required"),
+            F.when(F.col("match_ok"), "accepted").when(F.col("score").isNull(), "no names in block").otherwise("manual review required"),
         )
-        .select(F.col("_lid").alias(left_id), block, F.col("l_name").alias(name), "matched_id", "matched_name",
+        .select(F.col("_lid").alias(left_id), block, F.col("l_name").alias(name), "matched_id", "matched_name", "matched_city",
                 "score", "second_score", "score_gap", "match_ok", "reason")
     )
 

@@ -23,25 +23,22 @@ def names(seed, n):
     return out
 
 
-@pytest.mark.parametrize("floor", [82.0, 60.0])
-def test_name_match_equals_brute_force(spark, floor):
-    left = pd.DataFrame({"id": range(60), "state": [i % 2 for i in range(60)], "name": names(1, 60), "city": [("x", "y")[i % 2 ^ (i % 3 == 0)] for i in range(60)]})
-    right = pd.DataFrame({"rid": range(90), "state": [i % 2 for i in range(90)], "name": names(2, 90), "city": [("x", "y")[i % 2] for i in range(90)]})
+@pytest.mark.parametrize("thresholds", [(80.0, 60.0, 40.0), (95.0,), ()])
+def test_name_match_equals_brute_force(spark, thresholds):
+    left = pd.DataFrame({"id": range(60), "state": [i % 2 for i in range(60)], "name": names(1, 60), "city": [("Saint X", "y.")[i % 2 ^ (i % 3 == 0)] for i in range(60)]})
+    left.loc[5, "name"] = "zzz"
+    right = pd.DataFrame({"rid": range(90), "state": [i % 2 for i in range(90)], "name": names(2, 90), "city": [("st x", "Y")[i % 2] for i in range(90)]})
     out = matching.match_names(
-        spark.createDataFrame(left), spark.createDataFrame(right), "state", "id", "rid", "name", "city", floor=floor).toPandas().set_index("id")
+        spark.createDataFrame(left), spark.createDataFrame(right), "state", "id", "rid", "name", "city", thresholds=thresholds).toPandas().set_index("id")
     for r in left.itertuples():
         pool = right[right.state == r.state]
         scores = sorted(
-            ((min(100.0, matching.token_set_score(r.name, p.name) + (2.0 if p.city == r.city else 0.0)), -p.rid) for p in pool.itertuples()), reverse=True)
+            ((min(100.0, matching.token_set_score(r.name, p.name) + (2.0 if (p.city == "Y") == (r.city == "y.") else 0.0)), -p.rid, p.city) for p in pool.itertuples()), reverse=True)
         got = out.loc[r.id]
         best, second = scores[0][0], scores[1][0]
         assert bool(got.match_ok) == (best >= 85 and best - second >= 3)
-        if best >= floor:
-            assert got.score == pytest.approx(best) and got.matched_id == -scores[0][1]
-            if second >= floor:
-                assert got.second_score == pytest.approx(second)
-        else:
-            assert pd.isna(got.score)
+        assert got.score == pytest.approx(best) and got.matched_id == -scores[0][1] and got.matched_city == scores[0][2]
+        assert got.second_score == pytest.approx(second) and got.score_gap == pytest.approx(best - second)
 
 
 def test_equal_names_tie(spark):
