@@ -19,6 +19,7 @@ from crestline.operators.aggregates import replicate_summary
 from crestline.operators.gram import cluster_grams
 from crestline.operators.learners import boosted, fold_sizes, forest
 from crestline.operators.splines import spline_basis
+from crestline.operators.windows import demean
 from crestline.plans import panels, suites
 from crestline.session import cut_lineage
 
@@ -83,12 +84,10 @@ def _(spark, sf):
     return reg.absorb(study(spark, sf), ["x", "delta"], "state", "hospital_id", ["yr"])
 
 
-@query("est1_absorb_iterative", "state:s hospital_id:i signal_week:d x_abs:f5 delta_abs:f5", ssql("g1", """
-SELECT state, hospital_id, signal_week, v0 AS x_abs, v1 AS delta_abs FROM g1""", {
-    "g1": ("study", demeaned("study", ["x", "delta"], "hospital_id", ["state", *EP]))}))
+@query("est1_absorb_iterative", "hospital_id:i signal_week:d x_abs:f5 delta_abs:f5", ABS_SQL)
 def _(spark, sf):
-    # hospitals lie within states, so absorbing both equals absorbing hospitals
-    return reg.absorb_iterative(study(spark, sf), ["x", "delta"], ["state", "hospital_id"], tol=1e-9, rounds=20)
+    # crossed effects: neither the hospitals nor the years lie within the other
+    return reg.absorb_iterative(study(spark, sf), ["x", "delta"], ["hospital_id", "yr"], tol=1e-8)
 
 
 EST2 = regression("m", "study", "delta", "x", ["pre_mean", "adm_mean"], YEAR_DUMMIES, "hospital_id", "state")
@@ -173,7 +172,7 @@ def _(spark, sf):
     return replicate_summary(model.leave_one_out("delta", ["x", *CONTROLS]))
 
 
-REPS = 199
+REPS = 999
 BOOT = {
     "b0": ("study", demeaned("study", ["x", "delta"], "hospital_id", ["state"])),
     "bc": ("b0", "SELECT state, sum(v0 * v1) AS p, sum(v0 * v0) AS q, count(*) AS n FROM b0 GROUP BY 1"),
@@ -221,11 +220,17 @@ def _(spark, sf):
     return spark.createDataFrame([(k,) for k in kept], "kept string")
 
 
-@query("est11_varying_controls", "kept:s", "SELECT 'pre_mean' AS kept")
+@query("est11_varying_controls", "control:s kept:b within:f3", ssql("study", """
+SELECT control, sqrt(ss) > 1e-6 AS kept, ss AS within FROM (
+SELECT 'pre_mean' AS control, sum((v - m) * (v - m)) AS ss FROM (SELECT pre_mean AS v, avg(pre_mean) OVER (PARTITION BY hospital_id) AS m FROM study)
+UNION ALL SELECT 'size', sum((v - m) * (v - m)) FROM (SELECT CAST(hospital_id AS DOUBLE) AS v, avg(CAST(hospital_id AS DOUBLE)) OVER (PARTITION BY hospital_id) AS m FROM study))""", {}))
 def _(spark, sf):
     rows = study(spark, sf).withColumn("size", F.col("hospital_id").cast("double"))
     model = reg.Regression(cluster_grams(rows, ["delta", "x", "pre_mean", "size"], "state", "hospital_id"))
-    return spark.createDataFrame([(k,) for k in model.varying(["pre_mean", "size"])], "kept string")
+    kept = model.varying(["pre_mean", "size"])
+    net = demean(rows, ["hospital_id"], ["pre_mean", "size"], "_net")
+    sums = net.agg(*[F.sum(F.col(f"{c}_net") ** 2).alias(c) for c in ("pre_mean", "size")])
+    return sums.unpivot([], ["pre_mean", "size"], "control", "within").withColumn("kept", F.col("control").isin(kept))
 
 
 # --- expectations from other clusters or folds ------------------------------------------------
@@ -478,7 +483,7 @@ EVENT = {
 def event_parts() -> tuple[dict, str, str]:
     ctes, names, selects = dict(EVENT), [], []
     fixed = [f"CASE WHEN cy = '{y}' THEN 1 ELSE 0 END" for y in YEARS] + [f"CASE WHEN event_week = {k} THEN 1 ELSE 0 END" for k in EVENT_WEEKS]
-    for target in (2, 4):
+    for target in EVENT_WEEKS:
         others = [f"CASE WHEN event_week = {k} THEN x ELSE 0 END" for k in EVENT_WEEKS if k != target]
         tag = f"e{target}_"
         part, body = regression(tag, "ev", "occupancy", f"CASE WHEN event_week = {target} THEN x ELSE 0 END", others, fixed, "ep", "state")
@@ -498,7 +503,7 @@ def study_of_events(spark, sf, factors=("cy", "event_week")):
 
 @query("est31_event_study", "event_week:i n:i clusters:i coef:f se:f", ssql(EVENT_NAMES, EVENT_SQL, EVENT_CTES))
 def _(spark, sf):
-    return study_of_events(spark, sf).coefficients().where(F.col("event_week").isin(2, 4))
+    return study_of_events(spark, sf).coefficients().where(F.col("event_week") != -1)
 
 
 @query("est31_event_study_weeks", "event_week:i coef:f se:f")

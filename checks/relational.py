@@ -16,7 +16,7 @@ from crestline.operators import aggregates as agg
 from crestline.operators.episodes import gap_sessions, spaced_episodes
 from crestline.operators.joins import asof_last, first_rise_after, salted_band_aggregate, week_scaffold, window_join
 from crestline.operators.quantiles import describe, exact_quantiles
-from crestline.operators.windows import demean, relative_change, rolling_mean, trailing_median
+from crestline.operators.windows import demean, numbered, relative_change, rolling_mean, trailing_median
 from crestline.plans.panels import HOSPITAL_WEEK, episode_weeks, event_time_panel, signal_columns
 
 PRE, POST = (-4, -3, -2), (2, 3, 4)
@@ -134,9 +134,9 @@ def _(spark, sf):
 # --- aggregates -------------------------------------------------------------------------------
 
 
-@query("agg1_group_mean", "state:s week_ending_date:d mean:f", sql("excess", "SELECT state, week_ending_date, avg(excess_deaths) AS mean FROM excess GROUP BY 1, 2"))
+@query("agg1_group_mean", "state:s week:d n:i mean:f", sql("fw", "SELECT state, week, count(*) AS n, avg(staffed_beds) AS mean FROM fw GROUP BY 1, 2"))
 def _(spark, sf):
-    return excess_week(spark, sf).groupBy("state", "week_ending_date").agg(F.avg("excess_deaths").alias("mean"))
+    return facility_week(spark, sf).groupBy("state", "week").agg(F.count("*").alias("n"), F.avg("staffed_beds").alias("mean"))
 
 
 @query("agg2_sum_or_null", "segment:s total:f2 none:f2", """
@@ -387,11 +387,10 @@ def _(spark, sf):
 
 
 @query("srt1_multi_key_sort", "place:i state:s week:d", sql("fw", """
-SELECT row_number() OVER (ORDER BY t DESC NULLS LAST, state, week) AS place, state, week FROM (SELECT state, week, sum(staffed_beds) AS t FROM fw GROUP BY 1, 2) ORDER BY 1 LIMIT 100"""))
+SELECT row_number() OVER (ORDER BY t DESC NULLS LAST, state, week) AS place, state, week FROM (SELECT state, week, sum(staffed_beds) AS t FROM fw GROUP BY 1, 2)"""))
 def _(spark, sf):
     rows = facility_week(spark, sf).groupBy("state", "week").agg(F.sum("staffed_beds").alias("t"))
-    head = rows.orderBy(F.desc_nulls_last("t"), "state", "week").limit(100)
-    return head.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("t"), "state", "week")))
+    return numbered(rows, "place", F.desc_nulls_last("t"), F.asc("state"), F.asc("week"))
 
 
 @query("srt2_sorted_distinct", "state:s", sql("fw", "SELECT DISTINCT state FROM fw ORDER BY 1"))

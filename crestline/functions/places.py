@@ -16,14 +16,19 @@ STATE_OF_FIPS = {
 
 JURISDICTIONS = sorted(STATE_OF_FIPS.values())
 
-# Census regions.
-REGION_MEMBERS = {
-    "Northeast": "CT ME MA NH NJ NY PA RI VT",
-    "Midwest": "IA IL IN KS MI MN MO ND NE OH SD WI",
-    "South": "AL AR DC DE FL GA KY LA MD MS NC OK SC TN TX VA WV",
-    "West": "AK AZ CA CO HI ID MT NM NV OR UT WA WY",
+# Census region of each state.
+REGION_OF_STATE = {
+    "CT": "Northeast", "ME": "Northeast", "MA": "Northeast", "NH": "Northeast", "NJ": "Northeast", "NY": "Northeast",
+    "PA": "Northeast", "RI": "Northeast", "VT": "Northeast",
+    "IA": "Midwest", "IL": "Midwest", "IN": "Midwest", "KS": "Midwest", "MI": "Midwest", "MN": "Midwest",
+    "MO": "Midwest", "ND": "Midwest", "NE": "Midwest", "OH": "Midwest", "SD": "Midwest", "WI": "Midwest",
+    "AL": "South", "AR": "South", "DC": "South", "DE": "South", "FL": "South", "GA": "South",
+    "KY": "South", "LA": "South", "MD": "South", "MS": "South", "NC": "South", "OK": "South",
+    "SC": "South", "TN": "South", "TX": "South", "VA": "South", "WV": "South",
+    "AK": "West", "AZ": "West", "CA": "West", "CO": "West", "HI": "West", "ID": "West",
+    "MT": "West", "NM": "West", "NV": "West", "OR": "West", "UT": "West", "WA": "West",
+    "WY": "West",
 }
-REGION_OF_STATE = {s: region for region, members in REGION_MEMBERS.items() for s in members.split()}
 
 # State names.
 STATE_NAMES = {

@@ -195,6 +195,23 @@ def pre_features(starts: DataFrame, panel: DataFrame, block: str, entity: str, s
     return rows.groupBy(block, start, entity).agg(*aggs)
 
 
+def _median_with(x: Column, axis: str) -> Column:
+    """Median of a pool and one more value, from the pool's median and its nearest values.
+
+    Of n values, ``lt`` and ``gt`` lie below and above the median ``mid``, ``lo`` and ``hi`` are the
+    nearest of these; one more value moves the middle by at most one place.
+    """
+    n, mid, lt, gt, lo, hi, eq = (F.col(f"{axis}_{c}") for c in ("n", "mid", "lt", "gt", "lo", "hi", "eq"))
+    half = F.floor(n / 2)
+    # even: the two middle values, equal to mid where mid is a value with room on that side
+    left = F.when(lt == half, lo).otherwise(mid)
+    right = F.when(gt == half, hi).otherwise(mid)
+    even = F.greatest(left, F.least(right, x))
+    odd = F.when(x <= mid, (F.greatest(left, x) + mid) / 2).otherwise((F.least(right, x) + mid) / 2)
+    odd = F.when(n == 1, (x + mid) / 2).otherwise(odd)
+    return F.when(x.isNull(), mid).when(n.isNull(), x).otherwise(F.when(n % 2 == 0, even).otherwise(odd))
+
+
 def nearest_controls(
     cohorts: DataFrame,
     features: DataFrame,
@@ -214,28 +231,33 @@ def nearest_controls(
     """``(cohort, control, distance)``: the k never-treated entities nearest to the treated one.
 
     Distances are Euclidean over features scaled by the deviation of candidates and treated
-    unit together; missing features take the candidates' median.  Search is by a grid on the
-    first axis: the nearest non-empty cells around the treated unit hold k candidates and give
-    an upper bound, and only cells within that bound are compared.  Exact, and no block is
-    paired in full.
+    unit together; missing features take the median of candidates and treated unit together.
+    Candidates need all of ``needed`` (by default every axis that is not a slope).  Search is by
+    a grid on the first axis: the nearest non-empty cells around the treated unit hold k
+    candidates and give an upper bound, and only cells within that bound are compared; cells
+    whose box over all axes lies outside the bound are left out as well.  Exact.
     """
     axes, optional_axes = list(axes), list(optional_axes)
     every = axes + optional_axes
-    needed = list(needed or axes[:1])
+    needed = list(needed or [a for a in axes if not a.endswith("_slope")])
+    if axes[0] not in needed:
+        raise ValueError("the first axis must be needed: the grid is on it")
     pool_key = [block, start]
     usable = features.where(F.col("pre_weeks") >= min_weeks)
     candidates = usable.join(treated.select(entity).distinct(), entity, "left_anti").dropna(subset=needed)
     cells = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("x")) for a in every])
-    medians = exact_quantiles(candidates.select(*pool_key, F.inline(cells)), "x", [0.5], [*pool_key, "axis"])
-    medians = medians.groupBy(*pool_key).pivot("axis", every).agg(F.first("quantile"))
-    medians = cut_lineage(medians.select(*pool_key, *[F.col(a).alias(f"_med_{a}") for a in every]))
+    values = cut_lineage(candidates.select(*pool_key, F.inline(cells)).where(F.col("x").isNotNull()))
+    spot = [*pool_key, "axis"]
+    middle = exact_quantiles(values, "x", [0.5], spot).select(*spot, F.col("quantile").alias("_mid"))
+    below, above = F.col("x") < F.col("_mid"), F.col("x") > F.col("_mid")
+    near = values.join(middle, spot).groupBy(*spot).agg(
+        F.count("*").alias("n"), F.first("_mid").alias("mid"), F.count_if(below).alias("lt"), F.count_if(above).alias("gt"),
+        F.max(F.when(below, F.col("x"))).alias("lo"), F.min(F.when(above, F.col("x"))).alias("hi"), F.count_if(F.col("x") == F.col("_mid")).alias("eq"))
+    around_middle = near.groupBy(*pool_key).pivot("axis", every).agg(*[F.first(c).alias(c) for c in ("n", "mid", "lt", "gt", "lo", "hi", "eq")])
+    around_middle = cut_lineage(around_middle)
     gate = optional_gate or (optional_axes[0] if optional_axes else axes[0])
-    filled = cut_lineage(
-        candidates.join(medians, pool_key)
-        .withColumns({f"_raw_{gate}": F.col(gate)})
-        .withColumns({a: F.coalesce(F.col(a), F.col(f"_med_{a}")) for a in every})
-    )
-    observed = filled.groupBy(*pool_key).agg(F.count(f"_raw_{gate}").alias("_gate"))
+    filled = candidates.withColumn(f"_raw_{gate}", F.col(gate))
+    observed = filled.groupBy(*pool_key).agg(F.count(f"_raw_{gate}").alias("_gate"), F.count("*").alias("_all"))
     moments = filled.groupBy(*pool_key).agg(
         *[x for a in every for x in (F.count(a).alias(f"_n_{a}"), F.avg(a).alias(f"_m_{a}"), F.var_pop(a).alias(f"_v_{a}"))]
     )
@@ -243,17 +265,23 @@ def nearest_controls(
     probe = (
         cohorts.join(own, [block, start, entity])
         .withColumn("_gate_ok", F.col(gate).isNotNull())
-        .join(medians, pool_key).join(moments, pool_key).join(observed, pool_key)
+        .join(around_middle, pool_key).join(moments, pool_key).join(observed, pool_key)
     )
     weights = {}
     for a in every:
-        x, n, m, v = F.coalesce(F.col(a), F.col(f"_med_{a}")), F.col(f"_n_{a}"), F.col(f"_m_{a}"), F.col(f"_v_{a}")
-        ss = n * v + n / (n + 1) * (x - m) * (x - m)  # spread once the treated unit has joined
-        scale = F.when(ss / n > 1e-24, F.lit(1.0) / F.sqrt(ss / n))
+        fill = _median_with(F.col(a), a)
+        x, n, m, v = F.coalesce(F.col(a), fill), F.col(f"_n_{a}"), F.col(f"_m_{a}"), F.col(f"_v_{a}")
+        all_, missing = F.col("_all"), F.col("_all") - F.col(f"_n_{a}")
+        # the pool once its missing values are filled, then the treated unit beside it
+        m = F.coalesce((n * m + missing * fill) / all_, fill)
+        v = (n * F.coalesce(v, F.lit(0.0)) + n * (F.coalesce(F.col(f"_m_{a}"), fill) - m) ** 2 + missing * (fill - m) ** 2) / all_
+        ss = all_ * v + all_ / (all_ + 1) * (x - m) * (x - m)
+        scale = F.when(ss / all_ > 1e-24, F.lit(1.0) / F.sqrt(ss / all_))
         if a in optional_axes:
             scale = F.when(F.col("_gate_ok") & (F.col("_gate") >= 5), scale)
         weights[f"_w_{a}"] = F.coalesce(scale, F.lit(0.0))
         weights[f"_t_{a}"] = x
+        weights[f"_f_{a}"] = fill
     lead = axes[0]
     step = F.coalesce(F.nullif(F.sqrt(F.col(f"_v_{lead}")), F.lit(0.0)), F.lit(1.0)) / cells_per_sd
     probe = cut_lineage(probe.withColumns(weights).withColumn("_step", step).select(
@@ -263,9 +291,11 @@ def nearest_controls(
     placed = filled.join(steps, pool_key).withColumn("_cell", F.floor(F.col(lead) / F.col("_step"))).select(
         *pool_key, "_cell", F.col(entity).alias("control"), *every
     )
-    squares = [(F.col(f"_w_{a}") * (F.coalesce(F.col(a), F.col(f"_t_{a}")) - F.col(f"_t_{a}"))) ** 2 for a in every]
+    # an axis that neither side has weighs nothing; a missing value is the joint median
+    squares = [F.coalesce((F.col(f"_w_{a}") * (F.coalesce(F.col(a), F.col(f"_f_{a}")) - F.col(f"_t_{a}"))) ** 2, F.lit(0.0)) for a in every]
     distance = F.sqrt(sum(squares[1:], squares[0]))
-    sizes = placed.groupBy(*pool_key, "_cell").agg(F.count("*").alias("_size"))
+    boxes = [x for a in every for x in (F.min(a).alias(f"_lo_{a}"), F.max(a).alias(f"_hi_{a}"), F.count_if(F.col(a).isNull()).alias(f"_no_{a}"))]
+    sizes = placed.groupBy(*pool_key, "_cell").agg(F.count("*").alias("_size"), *boxes)
     around = probe.join(sizes, pool_key).withColumn(
         "_ring", F.abs(F.col("_cell") - F.floor(F.col(f"_t_{lead}") / F.col("_step")))
     )
@@ -282,10 +312,16 @@ def nearest_controls(
     )
     reach = F.try_divide(F.col("_bound") * (1 + 1e-9) + 1e-12, F.nullif(F.col(f"_w_{lead}"), F.lit(0.0)))
     t = F.col(f"_t_{lead}")
+    outside = [  # least distance of the cell's box along each axis; a cell with a missing value may hold the median
+        F.coalesce(F.when(F.col(f"_no_{a}") == 0, F.col(f"_w_{a}") * F.greatest(F.col(f"_lo_{a}") - F.col(f"_t_{a}"), F.col(f"_t_{a}") - F.col(f"_hi_{a}"), F.lit(0.0))) ** 2, F.lit(0.0))
+        for a in every
+    ]
+    within = F.sqrt(sum(outside[1:], outside[0])) <= F.col("_bound") * (1 + 1e-9) + 1e-12
     near = around.join(bound, cohort).where(
-        reach.isNull()
-        | F.col("_cell").between(F.floor((t - reach) / F.col("_step")), F.floor((t + reach) / F.col("_step")))
-    )
+        (reach.isNull()
+         | F.col("_cell").between(F.floor((t - reach) / F.col("_step")), F.floor((t + reach) / F.col("_step"))))
+        & F.coalesce(within, F.lit(True))
+    ).select(*around.columns)
     return closest(near.join(placed, [*pool_key, "_cell"])).select(cohort, *pool_key, "control", "distance")
 
 

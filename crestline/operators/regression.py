@@ -459,6 +459,7 @@ def absorb_iterative(
     """Alternating group demeaning for several effects that all have many levels.
 
     Each sweep is a combining aggregate and a join per effect; lineage is cut per sweep.
+    Raises if ``rounds`` sweeps do not bring the largest change under ``tol``.
     """
     made = [c + suffix for c in columns]
     out = df.dropna(subset=[*columns, *effects]).withColumns({m: F.col(c).cast("double") for c, m in zip(columns, made)})
@@ -470,5 +471,5 @@ def absorb_iterative(
         change = out.agg(F.max(F.greatest(*[F.abs(F.col(m) - F.col(f"_old_{m}")) for m in made], F.lit(0.0)))).first()[0]
         out = out.drop(*[f"_old_{m}" for m in made])
         if change is None or change < tol:
-            break
-    return out
+            return out
+    raise RuntimeError(f"no convergence in {rounds} sweeps: the last changed a value by {change:g}")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crestline.session import cut_lineage
+
 
 def to_panel(df: DataFrame, keys: Sequence[str | Column], aggregates: dict[str, Column]) -> DataFrame:
     """One row per key."""
@@ -114,3 +116,17 @@ def calendar_index(df: DataFrame, day: str, out: str, days_per_unit: float = 7.0
     """Units since the first day of the whole table (the minimum is a scalar subquery)."""
     first = df.agg(F.min(day)).scalar()
     return df.withColumn(out, F.datediff(F.col(day), first) / F.lit(days_per_unit))
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with their place (from 1) in the order of the whole table.
+
+    Ranges of the order are sorted in parallel; a range's first place is the number of rows before
+    it, a running sum over one row per range.  No task sees more than a range.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(starts, "_range").withColumn(name, F.col("_start") + inside).drop("_range", "_start")

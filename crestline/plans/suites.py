@@ -21,6 +21,7 @@ from crestline.operators.orthogonal import (
 )
 from crestline.operators.regression import Fit, Regression, absorb, estimates_frame, wald
 from crestline.operators.windows import collapse_rare, zscore
+from crestline.session import cut_lineage
 
 PRE_WEEKS, POST_WEEKS = (-4, -3, -2), (2, 3, 4)
 
@@ -65,11 +66,16 @@ class EventStudy:
 def event_study(
     rows: DataFrame, outcome: str, exposure: str, entity: str, cluster: str,
     factors: Sequence[str] = ("calendar_week", "event_week"),
-    weeks: Sequence[int] = tuple(range(-4, 7)), reference: int = -1,
+    weeks: Sequence[int] = tuple(range(-4, 7)), reference: int = -1, cohort: str | None = None,
 ) -> EventStudy:
-    """Exposure by event week with entity, calendar-week and event-week effects."""
+    """Exposure by event week with entity, calendar-week and event-week effects.
+
+    With ``cohort``, rows without outcome go first and then cohorts left without treated or control units.
+    """
     made, names = event_interactions(rows, exposure, weeks, reference)
     made = made.dropna(subset=[outcome, exposure])
+    if cohort:
+        made = valid_cohorts(cut_lineage(made), cohort, exposure)
     model = Regression(cluster_grams(made, [outcome, *names.values()], cluster, entity, factors))
     if model.rank(list(names.values())) < len(names):
         raise ValueError("the event-week interactions are not of full rank after absorption")
