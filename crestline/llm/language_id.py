@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from crestline.llm.sampling import smallest_hashes
 from crestline.llm.texts import Words, flat, slices, words
 
 # fixed values: families by ISO 639-1 code; a code that is not here is a family of its own
@@ -146,14 +147,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Rows without a language, without text or with a text of over FIT_BYTES are not used.
     """
     marked = docs.where(F.col(lang).isNotNull() & F.octet_length(text).between(1, FIT_BYTES)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    marked = marked.withColumn("h", F.xxhash64(F.col("k").cast("string")))
-    langs = [r["l"] for r in marked.groupBy("l").count().collect()]  # at most one row per language code
-    sample = None
-    for code in sorted(langs):
-        some = marked.where(F.col("l") == code).orderBy("h", "k").limit(per_language)
-        sample = some if sample is None else sample.unionByName(some)
-    if sample is None:
-        return fit([], [])
+    sample = smallest_hashes(marked, "k", per_language, F.col("l"))
 
     def train(batches):
         texts, codes = [], []
@@ -163,7 +157,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 codes += part.column("l").to_pylist()
         yield pa.record_batch({"model": pa.array([pickle.dumps(fit(texts, codes))], pa.binary())})
 
-    return pickle.loads(sample.select("t", "l").repartition(1).mapInArrow(train, "model binary").first()[0])
+    made = sample.repartition(1).sortWithinPartitions("k", "t").select("t", "l").mapInArrow(train, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([], [])
 
 
 def predict(docs: DataFrame, machines: Machines, key: str = "doc_id", text: str = "text") -> DataFrame:

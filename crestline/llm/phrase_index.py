@@ -111,7 +111,7 @@ def _frequencies(index: DataFrame, shared, n: int) -> np.ndarray:
 
 def _lists(batch: pa.RecordBatch, k: int, terms: pa.Array):
     """For a segment: code of each wanted word (-1: absent), first and count of its list, and the lists."""
-    at = pc.index_in(terms.cast(pa.binary()), value_set=batch.column("terms")[k].values).fill_null(-1).to_numpy(zero_copy_only=False)
+    at = pc.index_in(terms.cast(pa.binary()), value_set=batch.column("terms")[k].values).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     counts = np.frombuffer(batch.column("counts")[k].as_py(), "<i4")
     positions = np.cumsum(np.frombuffer(batch.column("positions")[k].as_py(), "<i4"), dtype=np.int64)
     firsts = np.concatenate([[0], np.cumsum(counts)])
@@ -243,3 +243,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, key: str =
         key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose text holds no window of an item, with all their columns; null texts stay."""
+    sha = F.sha2(F.col(text), 256)
+    index = build_index(docs.where(F.col(text).isNotNull()).select(sha.alias("sha"), F.col(text).alias("text")), "sha")
+    found = find_phrases(index, items, size, item, item_text).select("segment", "row").distinct()
+    bad = documents_of(index, "sha").join(found, ["segment", "row"]).select("sha").distinct()
+    return docs.join(bad, sha == bad["sha"], "left_anti")

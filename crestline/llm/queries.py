@@ -44,7 +44,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
-@registered("op3_decontamination")
+PHRASES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS words
+    FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS words
+    FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+found AS (SELECT DISTINCT doc_id, item_id, i, k FROM places JOIN windows USING (k, words)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY 1),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)"""
+
+
+@registered("op3_decontamination", PHRASES_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.phrase_index import contamination
 
@@ -83,3 +98,44 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     machines = language_id.learn(docs.where(~held))
     return language_id.predict(docs, machines).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+    WHERE list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN links ON a = r),
+least_ AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN degree USING (vec_id) LEFT JOIN least_ USING (vec_id)"""
+
+
+@registered("op2_near_vectors", VECTORS_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.vector_links import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@registered("op4_order_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.order_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@registered("op1_repeated_spans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.repeated_spans import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@registered("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.retrieval_packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))

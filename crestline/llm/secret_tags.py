@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from crestline.llm.sampling import smallest_hashes
 from crestline.llm.texts import LOWER, flat, piece_hashes, pieces_array, slices
 
 # fixed values: the patterns and the least sizes of what counts
@@ -26,7 +27,7 @@ ASSIGN_VALUE, ACCESS_SIZE = 12, 18
 KINDS = ("assign", "access", "hex", "tagged")
 
 #: Sampled documents the field is fitted on, lines taken from them, tokens per line, rounds of fitting.
-SAMPLE_DOCUMENTS, SAMPLE_LINES, LINE_TOKENS, ROUNDS = 4000, 1600, 40, 60
+SAMPLE_DOCUMENTS, SAMPLE_LINES, LINE_TOKENS, ROUNDS = 4000, 600, 32, 50
 BUCKETS, SHAPES, FILES = 4096, 8 * 8 + 128, 8
 #: A tagged span shorter than this is no secret.
 LEAST_TAGGED = 8
@@ -122,8 +123,12 @@ class Field:
 
 
 def fit(sequences: list[tuple[dict[str, np.ndarray], np.ndarray]], rounds: int = ROUNDS, rate: float = 0.15, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by forward-backward over padded lines, with Adam steps and a quadratic penalty."""
-    field = Field({k: np.zeros((n, 2)) for k, n in TABLES.items()}, np.zeros((3, 3)), np.zeros(3))
+    """Maximum likelihood by forward-backward over padded lines, with Adam steps and a quadratic penalty.
+
+    Each line is there a second time with half of its neighbourhood hidden (a last entry of each
+    table that stays zero), so that a token's own shape has to tell something too.
+    """
+    field = Field({k: np.zeros((n + 1, 2)) for k, n in TABLES.items()}, np.zeros((3, 3)), np.zeros(3))
     if not sequences:
         field.first[:], field.steps[:, 1:] = [0, -50, -50], -50
         return field
@@ -134,6 +139,10 @@ def fit(sequences: list[tuple[dict[str, np.ndarray], np.ndarray]], rounds: int =
         for k in TABLES:
             index[k][i, : len(y)] = f[k]
         tags[i, : len(y)], there[i, : len(y)] = y, True
+    hide = np.random.default_rng(11)
+    for k, at in index.items():
+        index[k] = np.concatenate([at, at if k in ("shape", "file") else np.where(hide.random(at.shape) < 0.5, TABLES[k], at)])
+    tags, there, n = np.concatenate([tags, tags]), np.concatenate([there, there]), 2 * n
     gold = np.eye(3)[tags] * there[:, :, None]
     gold_steps = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
     moments: dict[str, list[np.ndarray]] = {}
@@ -156,7 +165,9 @@ def fit(sequences: list[tuple[dict[str, np.ndarray], np.ndarray]], rounds: int =
             x = a[:, t - 1, :, None] + field.steps + (e[:, t] + b[:, t])[:, None, :] - total[:, None, None]
             pair += np.where(there[:, t, None, None], np.exp(x), 0).sum(axis=0)
         slope = (p - gold)[:, :, 1:] / n
-        grads = {k: np.stack([np.bincount(index[k][there], slope[:, :, c][there], minlength=TABLES[k]) for c in range(2)], axis=1) for k in TABLES}
+        grads = {k: np.stack([np.bincount(index[k][there], slope[:, :, c][there], minlength=TABLES[k] + 1) for c in range(2)], axis=1) for k in TABLES}
+        for k, size in TABLES.items():
+            grads[k][size] = 0
         grads |= {"steps": (pair - gold_steps) / n, "first": (p[:, 0] - gold[:, 0]).sum(axis=0) / n}
         for name, g in grads.items():
             value = field.tables[name] if name in field.tables else getattr(field, name)
@@ -245,12 +256,14 @@ def _training(batches, text: str, lines: int) -> list:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_LINES) -> Field:
     """Fit the field in one task on at most ``documents`` documents (those of smallest key hash) and ``lines`` lines."""
-    small = docs.where(F.octet_length(text).between(1, 65536)).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(documents)
+    small = docs.where(F.octet_length(text).between(1, 65536)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    small = smallest_hashes(small, "k", documents)
 
     def train(batches):
         yield pa.record_batch({"model": pa.array([pickle.dumps(fit(_training(batches, "t", lines)))], pa.binary())})
 
-    return pickle.loads(small.select("t").repartition(1).mapInArrow(train, "model binary").first()[0])
+    made = small.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "t").select("t").mapInArrow(train, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([])
 
 
 def all_spans(column: pa.Array, field: Field) -> Iterator[list[tuple[int, int, int, int]]]:

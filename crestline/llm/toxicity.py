@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from crestline.llm.sampling import smallest_hashes
 from crestline.llm.texts import Words, flat, mixed, piece_hashes, slices, words
 
 #: Buckets of the hash, terms that may carry weight, length of a term's vector.
@@ -136,13 +136,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     The kept bias is the sample's, put back to the share of the label among all labelled rows.
     """
     marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    marked = marked.withColumn("h", F.xxhash64(F.col("k").cast("string")))
-    totals = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample = None
-    for y in (0, 1):
-        some = marked.where(F.col("y") == y).orderBy("h", "k").limit(per_label)
-        sample = some if sample is None else sample.unionByName(some)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k").groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y"), F.max("h").alias("h"))
+    totals = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    sample = F.broadcast(smallest_hashes(marked, "k", per_label, F.col("y")))  # at most two times per_label keys
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k").groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y"))
 
     def train(batches):
         texts, ys = [], []
@@ -152,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 ys.append(part.column("y").to_numpy())
         yield pa.record_batch({"model": pa.array([pickle.dumps(fit(texts, ys))], pa.binary())})
 
-    m = pickle.loads(rows.select("t", "y").repartition(1).mapInArrow(train, "model binary").first()[0])
+    made = rows.repartition(1).sortWithinPartitions("k").select("t", "y").mapInArrow(train, "model binary").first()
+    m = pickle.loads(made[0]) if made else fit([], [])
     if totals.get(0) and totals.get(1):
         m.bias += float(np.log(totals[1] / totals[0]) - np.log(min(totals[1], per_label) / min(totals[0], per_label)))
     return m

@@ -53,6 +53,16 @@ def test_against_brute_force(spark, tables):
     assert sorted(px.find_phrases(index, i, block_bytes=200).collect()) == sorted(whole)
 
 
+def test_many_distinct_words(spark):
+    own = [f"w{i}" for i in range(70000)]
+    docs = [(1, " ".join(own)), (2, " ".join(own[65000:65030]))]
+    items = [(k, " ".join(own[a : a + 12])) for k, a in enumerate((0, 30000, 65010, 69980))] + [(9, " ".join(own[65020:65010:-1]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    got = sorted(map(tuple, px.contamination(d, spark.createDataFrame(items, "item_id int, text string")).collect()))
+    ids = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == [(1, 70000, 48, 4, ids("0,1,2,3"), True), (2, 30, 12, 1, ids("2"), True)]
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     i = spark.createDataFrame([], "item_id int, text string")
