@@ -485,7 +485,7 @@ def event_parts() -> tuple[dict, str, str]:
     fixed = [f"CASE WHEN cy = '{y}' THEN 1 ELSE 0 END" for y in YEARS] + [f"CASE WHEN event_week = {k} THEN 1 ELSE 0 END" for k in EVENT_WEEKS]
     for target in EVENT_WEEKS:
         others = [f"CASE WHEN event_week = {k} THEN x ELSE 0 END" for k in EVENT_WEEKS if k != target]
-        tag = f"e{target}_"
+        tag = f"e{target + 9}_"
         part, body = regression(tag, "ev", "occupancy", f"CASE WHEN event_week = {target} THEN x ELSE 0 END", others, fixed, "ep", "state")
         ctes |= part
         names.append(f"{tag}{len(fixed) + len(others)}")

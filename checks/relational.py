@@ -81,7 +81,7 @@ def _(spark, sf):
 @query("join6_asof", "hospital_id:i signal_week:d index:f", sql("epi nation_day", """
 SELECT hospital_id, signal_week, response_index AS index FROM epi e ASOF LEFT JOIN nation_day n ON e.state = n.state AND e.signal_week >= n.date"""))
 def _(spark, sf):
-    return asof_last(episodes(spark, sf), policy_day(spark, sf), ["state"], "signal_week", "date", "response_index", "index")
+    return asof_last(episodes(spark, sf), policy_day(spark, sf), ["state"], "signal_week", "date", "response_index", "index", shared_times=True)
 
 
 @query("join6_asof_events", "event_id:i last_click:f", """
@@ -102,7 +102,7 @@ FROM (SELECT e.*, n.response_index AS index FROM epi e ASOF JOIN nation_day n ON
 JOIN nation_day n ON n.state = b.state AND n.date BETWEEN b.signal_week AND b.signal_week + 21 GROUP BY 1, 2, 3"""))
 def _(spark, sf):
     policy = policy_day(spark, sf)
-    based = asof_last(episodes(spark, sf).select(*EP), policy, ["state"], "signal_week", "date", "response_index", "baseline")
+    based = asof_last(episodes(spark, sf).select(*EP), policy, ["state"], "signal_week", "date", "response_index", "baseline", shared_times=True)
     return first_rise_after(based, policy, ["state"], EP, "signal_week", "date", "response_index", "baseline", 21, 5.0)
 
 

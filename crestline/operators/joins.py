@@ -82,14 +82,22 @@ def asof_last(
     value: str,
     out: str,
     cell_seconds: int | None = 30 * 86400,
+    shared_times: bool = False,
 ) -> DataFrame:
     """Last non-NULL value at or before each probe: union and one running window, no pairs.
 
+    ``shared_times`` is for probes of which many have the same key and time: the window then sees
+    each (key, time) once, and an equi join, which AQE can split, brings the value to the rows.
+
     The window runs per (key, time cell), so a key with much of the data is split by time; each
     cell starts from the last value of earlier cells, carried over a table with one row per key
     and non-empty cell.  ``cell_seconds=None`` runs per key: for probes and histories that are
     both panels, with a bounded number of rows per key.
     """
+    if shared_times:
+        at = [*keys, probe_time]
+        found = asof_last(probes.select(*at).distinct(), history, keys, probe_time, history_time, value, out, cell_seconds)
+        return probes.join(found, at, "left").select(*probes.columns, out)
     columns = probes.columns
     seen = history.where(F.col(value).isNotNull())
     p = probes.select(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 10000
+#: Slices of a bracket that are ranked in tasks of their own.
+SLICES = 256
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -49,20 +51,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
             *[F.col(f"{c}{i}").alias(c) for c in ("below", "within", "prev", "next")],
         ))
     counts = placed.groupBy(*by).agg(*around).where(F.col("_rows") > 0).select(*by, "n", F.inline(F.array(*rows)))
-    # only values inside a bracket are ranked
-    hits = [F.when(x.between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(brackets)]
+    # only values inside a bracket are ranked, in slices of the bracket side by side: a slice's
+    # first rank is the count of the slices before it
+    def slice_of(lo, hi):
+        return F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * SLICES), F.lit(SLICES - 1))).otherwise(F.lit(0)).cast("int")
+
+    hits = [F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), slice_of(lo, hi).alias("s"))) for i, (lo, hi) in enumerate(brackets)]
     inside = F.filter(F.array(*hits), lambda i: i.isNotNull())
-    ranked = (
-        placed.select(*by, "_x", F.explode(inside).alias("i"))
-        .groupBy(*by, "i", "_x")
-        .agg(F.count("*").alias("m"))
-        .withColumn(
-            "upto",
-            F.sum("m").over(
-                Window.partitionBy(*by, "i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
-    )
+    values = placed.select(*by, "_x", F.inline(inside)).groupBy(*by, "i", "s", "_x").agg(F.count("*").alias("m"))
+    earlier = Window.partitionBy(*by, "i").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    first = values.groupBy(*by, "i", "s").agg(F.sum("m").alias("_n")).select(*by, "i", "s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    running = Window.partitionBy(*by, "i", "s").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.sum("m").over(running)).join(first, [*by, "i", "s"]).withColumn("upto", F.col("_first") + F.col("_upto"))
     pos = (F.col("n") - 1) * F.col("prob")
     wanted = counts.withColumn("r0", F.floor(pos)).withColumn("r1", F.ceil(pos))
     hits = wanted.join(ranked, [*by, "i"])
