@@ -444,24 +444,32 @@ def _(spark, sf):
     return dml.robustness(out.withColumn("dof", (F.col("clusters") - 1).cast("double")), 1.0, 0.05, prefix="rv05")
 
 
-REPEAT = {**cross_ctes(1, "a"), **cross_ctes(2, "b"), **cross_ctes(3, "c")}
-REP_SQL = "\nUNION ALL\n".join(f"SELECT {s} AS seed, n, theta, se FROM ({origin_sql('res' + t, 'yres', 'tres')})" for s, t in ((1, "a"), (2, "b"), (3, "c")))
+SEEDS, PLR_SEEDS = range(1, 21), range(1, 11)
+REPEAT = {k: v for s in SEEDS for k, v in cross_ctes(s, f"r{s}").items()}
 
 
-def repeats(spark, sf):
-    return suites.repeated_estimates(study(spark, sf), "x", "delta", NUMERICS, [], "state", "hospital_id", [1, 2, 3])
+def repeats_sql(seeds) -> str:
+    return "\nUNION ALL\n".join(f"SELECT {s} AS seed, n, theta, se FROM ({origin_sql(f'resr{s}', 'yres', 'tres')})" for s in seeds)
 
 
-@query("est29_repeated_crossfit", "seed:i n:i theta:f se:f", ssql("resa resb resc", REP_SQL, REPEAT))
+def repeats(spark, sf, seeds):
+    return suites.repeated_estimates(study(spark, sf), "x", "delta", NUMERICS, [], "state", "hospital_id", list(seeds))
+
+
+def result_names(seeds) -> str:
+    return " ".join(f"resr{s}" for s in seeds)
+
+
+@query("est29_repeated_crossfit", "seed:i n:i theta:f se:f", ssql(result_names(SEEDS), repeats_sql(SEEDS), REPEAT))
 def _(spark, sf):
-    return repeats(spark, sf)
+    return repeats(spark, sf, SEEDS)
 
 
-@query("est30_partially_linear", "theta:f se:f", ssql("resa resb resc", f"""
-WITH r AS ({REP_SQL}), m AS (SELECT median(theta) AS t FROM r)
+@query("est30_partially_linear", "theta:f se:f", ssql(result_names(PLR_SEEDS), f"""
+WITH r AS ({repeats_sql(PLR_SEEDS)}), m AS (SELECT median(theta) AS t FROM r)
 SELECT any_value(t) AS theta, sqrt(median(se * se + (theta - t) ** 2)) AS se FROM r, m""".replace("WITH r", "SELECT * FROM (WITH r") + ")", REPEAT))
 def _(spark, sf):
-    return suites.partially_linear(repeats(spark, sf))
+    return suites.partially_linear(repeats(spark, sf, PLR_SEEDS))
 
 
 # --- event studies and change models ----------------------------------------------------------
