@@ -201,6 +201,17 @@ def _(spark, sf):
     return sinks.to_json_lines(rows)
 
 
+@query("snk2_nested_summary", "json:s", sql("epi", """
+SELECT to_json(struct_pack(panel := (SELECT struct_pack(n := count(*), hospitals := count(DISTINCT hospital_id)) FROM fw),
+states := (SELECT list(struct_pack(state := state, episodes := n) ORDER BY state) FROM (SELECT state, count(*) AS n FROM epi GROUP BY 1)))) AS json"""))
+def _(spark, sf):
+    from checks.standins import episodes
+
+    panel = facility_week(spark, sf).agg(F.count("*").alias("n"), F.count_distinct("hospital_id").alias("hospitals"))
+    states = episodes(spark, sf).groupBy("state").agg(F.count("*").alias("episodes"))
+    return sinks.nested_json(spark, {"panel": panel}, {"states": states})
+
+
 # --- cleaning ---------------------------------------------------------------------------------
 
 

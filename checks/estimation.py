@@ -650,32 +650,53 @@ def _(spark, sf):
     return out.withColumnRenamed("preonly_innovation", "innovation")
 
 
-@query("pipe16_orthogonal_suite", "part:s n:i theta:f se:f", ssql("sup99 res", f"""
-SELECT 'main' AS part, n, theta, se FROM ({origin_sql('res', 'yres', 'tres')}) UNION ALL SELECT 'support', n, theta, se FROM ({origin_sql('sup99', 'yres', 'tres')})""", {
-    **CROSS, "sup99": ("res", "SELECT * FROM res WHERE abs(tres) <= (SELECT quantile_cont(abs(tres), 0.99) FROM res)")}))
-def _(spark, sf):
-    parts = suites.orthogonal_suite(cut_lineage(residuals(spark, sf)), "tres", "yres", "state", "hospital_id", NUMERICS)
-    named = [parts[k].select(F.lit(k).alias("part"), "n", "theta", "se") for k in ("main", "support")]
-    return named[0].unionByName(named[1])
+SUITE_SQL = f"""
+SELECT 'main' AS part, n, theta, se FROM ({origin_sql('res', 'yres', 'tres')}) UNION ALL SELECT 'support', n, theta, se FROM ({origin_sql('sup99', 'yres', 'tres')})
+UNION ALL SELECT 'balance ' || covariate, n, theta, se FROM ({origin_sql('long', 'tres', 'z', 'covariate')})
+UNION ALL SELECT 'falsification pre_mean', n, theta, se FROM ({origin_sql('zpre_mean', 'yres', 'tres')})
+UNION ALL SELECT 'falsification volatility', n, theta, se FROM ({origin_sql('zvolatility', 'yres', 'tres')})
+UNION ALL SELECT 'nuisance x', count(*), 1 - sum(tres * tres) / regr_syy(x, x), sqrt(avg(tres * tres)) FROM res WHERE tres IS NOT NULL
+UNION ALL SELECT 'nuisance delta', count(*), 1 - sum(yres * yres) / regr_syy(delta, delta), sqrt(avg(yres * yres)) FROM res WHERE yres IS NOT NULL
+UNION ALL SELECT 'overlap ' || p, NULL, any_value(c), avg(CASE WHEN abs(tres) <= c THEN 1.0 ELSE 0.0 END) FROM res,
+(SELECT '50' AS p, quantile_cont(abs(tres), 0.5) AS c FROM res UNION ALL SELECT '90', quantile_cont(abs(tres), 0.9) FROM res UNION ALL SELECT '95', quantile_cont(abs(tres), 0.95) FROM res
+UNION ALL SELECT '99', quantile_cont(abs(tres), 0.99) FROM res) WHERE tres IS NOT NULL GROUP BY p"""
+
+
+@query("pipe16_orthogonal_suite", "part:s n:i theta:f se:f5", ssql("sup99 res long zpre_mean zvolatility", SUITE_SQL, {
+    **FALSE, **LONG, "sup99": ("res", "SELECT * FROM res WHERE abs(tres) <= (SELECT quantile_cont(abs(tres), 0.99) FROM res)")}))
+def _(spark, sf):
+    parts = suites.orthogonal_suite(
+        cut_lineage(residuals(spark, sf)), "tres", "yres", "state", "hospital_id", ["pre_mean", "volatility", "icu_mean"],
+        outcomes=["pre_mean", "volatility"], numerics=NUMERICS, nuisance={"x": "tres_hat", "delta": "yres_hat"})
+    rows = [
+        *[parts[k].select(F.lit(k).alias("part"), "n", "theta", "se") for k in ("main", "support")],
+        parts["balance"].select(F.concat(F.lit("balance "), "covariate").alias("part"), "n", F.col("coef_per_sd").alias("theta"), "se"),
+        parts["falsification"].select(F.concat(F.lit("falsification "), "outcome").alias("part"), "n", "theta", "se"),
+        parts["nuisance"].select(F.concat(F.lit("nuisance "), "target").alias("part"), "n", F.col("r2").alias("theta"), F.col("rmse").alias("se")),
+        parts["overlap"].select(
+            F.concat(F.lit("overlap "), F.round(F.col("prob") * 100).cast("int").cast("string")).alias("part"), F.lit(None).cast("long").alias("n"),
+            F.col("cutoff").alias("theta"), F.col("keep_fraction").alias("se")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # --- learners (no SQL counterpart: trees) -----------------------------------------------------
 
 
-def tree_rows(spark, sf):
-    return cut_lineage(suites.with_balanced_folds(study(spark, sf), "hospital_id", 3))
+def tree_rows(spark, sf, k=5):
+    return cut_lineage(suites.with_balanced_folds(study(spark, sf), "hospital_id", k))
 
 
 @query("est16_crossfit_forest", "n:i theta:f se:f")
 def _(spark, sf):
-    learner = lambda y: forest(trees=10, depth=6, seed=11 if y == "x" else 29)
+    learner = lambda y: forest(seed=11 if y == "x" else 29)
     res = suites.tree_residuals(tree_rows(spark, sf), {"x": "tres", "delta": "yres"}, [*NUMERICS, "icu_mean"], ["kind", "yr"], "fold", learner)
     return dml.slope_through_origin(res, "yres", "tres", "state", "hospital_id")
 
 
 @query("est17_crossfit_boosted", "n:i r2:f rmse:f")
 def _(spark, sf):
-    res = suites.tree_residuals(tree_rows(spark, sf), {"delta": "yres"}, NUMERICS, [], "fold", lambda y: boosted(rounds=8, rate=0.05))
+    res = suites.tree_residuals(tree_rows(spark, sf), {"delta": "yres"}, NUMERICS, [], "fold", lambda y: boosted(rounds=25))
     return suites.nuisance_quality(res, {"delta": "yres_hat"})
 
 
@@ -685,4 +706,4 @@ SELECT fold, sum(n) AS test_n, (SELECT count(*) FROM study) - sum(n) AS train_n,
 SELECT n, CASE WHEN (r // 3) % 2 = 0 THEN r % 3 ELSE 2 - r % 3 END AS fold FROM (
 SELECT n, row_number() OVER (ORDER BY n DESC, md5(CAST(hospital_id AS VARCHAR))) - 1 AS r FROM (SELECT hospital_id, count(*) AS n FROM study GROUP BY 1))) GROUP BY 1""", {}))
 def _(spark, sf):
-    return fold_sizes(tree_rows(spark, sf), "fold", "hospital_id")
+    return fold_sizes(tree_rows(spark, sf, 3), "fold", "hospital_id")

@@ -16,6 +16,7 @@ from crestline.operators.folds import balanced_folds, random_folds, with_folds
 from crestline.operators.gram import cluster_grams
 from crestline.operators.joins import week_scaffold
 from crestline.operators.learners import crossfit
+from crestline.operators.quantiles import exact_quantiles
 from crestline.operators.orthogonal import (
     balance, median_of_repetitions, per_sd, slope_through_origin, support,
 )
@@ -186,15 +187,23 @@ def tree_residuals(df: DataFrame, targets: dict[str, str], numerics: Sequence[st
 
 
 def orthogonal_suite(df: DataFrame, t: str, y: str, cluster: str, entity: str, covariates: Sequence[str],
-                     prob: float = 0.99) -> dict[str, DataFrame]:
-    """Main estimate, estimate on common support and exposure balance from two residual columns."""
+                     prob: float = 0.99, outcomes: Sequence[str] = (), numerics: Sequence[str] = (), factors: Sequence[str] = (),
+                     fold: str = "fold", nuisance: dict[str, str] | None = None, audit: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> dict[str, DataFrame]:
+    """All parts of the suite from two residual columns: main estimate, estimate on common support, exposure
+    balance, quantiles of the absolute exposure residual with the share kept; with ``outcomes`` their
+    falsification, with ``nuisance`` (target -> prediction) the quality of the nuisance models."""
+    exposed = df.where(F.col(t).isNotNull()).withColumn("_abs", F.abs(F.col(t)))
     main = per_sd(slope_through_origin(df, y, t, cluster, entity))
-    trimmed = per_sd(slope_through_origin(support(df.where(F.col(t).isNotNull()), t, prob), y, t, cluster, entity))
-    return {
-        "main": main,
-        "support": trimmed,
-        "balance": balance(df, covariates, [t], cluster, entity),
-    }
+    trimmed = per_sd(slope_through_origin(support(exposed, t, prob), y, t, cluster, entity))
+    cuts = {r["prob"]: r["quantile"] for r in exact_quantiles(exposed, "_abs", list(audit)).collect()}
+    kept = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(cuts.get(p)).cast("double").alias("cutoff"), F.col(f"_k{i}").alias("keep_fraction")) for i, p in enumerate(audit)])
+    overlap = exposed.agg(*[F.avg((F.col("_abs") <= F.lit(cuts.get(p))).cast("double")).alias(f"_k{i}") for i, p in enumerate(audit)]).select(F.inline(kept))
+    parts = {"main": main, "support": trimmed, "balance": balance(df, covariates, [t], cluster, entity), "overlap": overlap}
+    if outcomes:
+        parts["falsification"] = falsification(df, outcomes, t, numerics, factors, fold, cluster, entity, exclude_outcome=True)
+    if nuisance:
+        parts["nuisance"] = nuisance_quality(df, nuisance)
+    return parts
 
 
 def falsification(df: DataFrame, outcomes: Sequence[str], t: str, numerics: Sequence[str], factors: Sequence[str], fold: str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -22,6 +22,16 @@ def to_json_lines(df: DataFrame, column: str = "json") -> DataFrame:
     return df.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias(column))
 
 
+def nested_json(spark: SparkSession, stages: dict[str, DataFrame], lists: dict[str, DataFrame], column: str = "json") -> DataFrame:
+    """One JSON document: an object per one-row summary in ``stages``, an array of objects per table in ``lists``.
+
+    Tables are summaries (estimates, groups), ordered by their columns; NULL fields are kept.
+    """
+    parts = [df.select(F.struct(*df.columns)).scalar().alias(name) for name, df in stages.items()]
+    parts += [df.agg(F.sort_array(F.collect_list(F.struct(*df.columns)))).scalar().alias(name) for name, df in lists.items()]
+    return spark.range(1).select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias(column))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
