@@ -208,8 +208,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "m", "s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     members = staged(inside, "members")
     wanted = members.select("id").distinct()
-    texts = sound.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    dealt = members.join(texts, "id").repartition("m", "s", "i", "j").sortWithinPartitions("m", "s", "i", "j")
+    # joins by key at every size: texts are dealt once, members follow them
+    texts = sound.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    dealt = members.hint("merge").join(texts, "id").repartition("m", "s", "i", "j").sortWithinPartitions("m", "s", "i", "j")
     links = dealt.mapInArrow(_by_bucket(similarity), "a long, b long")
     group = components(links).select(F.col("node").alias("id"), "component")
     classes = reps.join(group, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
@@ -222,5 +223,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     """One row of each class with all its columns; of repeated rows of a kept key one stays."""
     classes = near_duplicates(docs, key=key, text=text, **settings)
     gone = classes.where("not kept").select(key).distinct()
-    stay = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti").select(docs.columns)
+    stay = docs.where(F.col(key).isNotNull()).join(gone.hint("merge"), key, "left_anti").select(docs.columns)
     return stay.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
