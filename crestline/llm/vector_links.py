@@ -2,7 +2,8 @@
 
 Unit vectors are rotated and split into blocks of a few dimensions.  Two vectors within squared
 distance B lie, in at least one block, within the block's share of B, so joining each block under
-its share finds every pair; candidates of all blocks are then checked exactly.
+its share finds every pair.  A candidate counts in the first block that has it, so the union of
+all blocks needs no shuffle of pairs, and is checked exactly where it is found.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from crestline.llm.texts import mixed
 #: Dimensions of a block.
 BLOCK = 8
 #: Vectors of one cell that a task compares at once; a fuller cell is dealt out as tiles of pairs.
-TILE = 2048
-#: What double sums and single-precision block coordinates may be off by.
+TILE = 4096
+#: What squared distances may be off by: coordinates are in single precision.
 SLACK = 1e-5
 
 
@@ -33,12 +34,23 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 0))
+def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
-def _units(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def turned(x: np.ndarray) -> np.ndarray:
+    """Rotated unit vectors in single precision; a row's result does not depend on the rows beside it."""
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.einsum("ij,jk->ik", unit, rotation(x.shape[1]), optimize=False).astype(np.float32)
+
+
+def block_bounds(dims: int, budget: float) -> tuple[list[int], np.ndarray]:
+    """First dimension of each block, and its share of the squared distance."""
+    firsts = list(range(0, dims, BLOCK))
+    sizes = np.diff([*firsts, dims])
+    return firsts, budget * sizes / dims + SLACK
 
 
 def _placed(reps: DataFrame, budget: float, axes: int) -> DataFrame:
@@ -52,15 +64,11 @@ def _placed(reps: DataFrame, budget: float, axes: int) -> DataFrame:
             sizes = np.array(batch.column("dims"))
             for dims in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == dims))
-                turned = _units(_matrix(part.column("v"))) @ rotation(dims)
-                ids, labels = np.array(part.column("id")), np.array(part.column("label"))
-                for k, first in enumerate(range(0, dims, BLOCK)):
-                    x = turned[:, first : first + BLOCK]
-                    radius = np.sqrt(budget * x.shape[1] / dims + SLACK)
-                    near = x[:, : min(axes, x.shape[1])] / (4 * radius)
+                coords = turned(_matrix(part.column("v"), dims)).astype(np.float64)
+                for k, (first, share) in enumerate(zip(*block_bounds(dims, budget), strict=True)):
+                    near = coords[:, first : min(first + min(axes, BLOCK), dims)] / (4 * np.sqrt(share + SLACK))
                     own = np.floor(near).astype(np.int64)
                     low, high = np.floor(near - 0.25).astype(np.int64), np.floor(near + 0.25).astype(np.int64)
-                    coords = x.astype(np.float32)
                     for step in product((0, 1), repeat=near.shape[1]):
                         up = np.array(step)
                         reach = ((low < high) | (up == 0)).all(axis=1)
@@ -68,52 +76,59 @@ def _placed(reps: DataFrame, budget: float, axes: int) -> DataFrame:
                         code = np.full(len(cell), k, np.uint64)
                         for c in cell.T:
                             code = mixed(code ^ mixed(c.astype(np.uint64)))
-                        n = len(cell)
-                        flatc = np.ascontiguousarray(coords[reach])
+                        some = part.filter(pa.array(reach))
                         yield pa.record_batch({
-                            "label": pa.array(labels[reach]), "dims": pa.array(np.full(n, dims, np.int32)), "block": pa.array(np.full(n, k, np.int32)), "cell": pa.array(code.astype(np.int64)),
-                            "home": pa.array((cell == own[reach]).all(axis=1)), "id": pa.array(ids[reach]),
-                            "x": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flatc.shape[1]), pa.array(flatc.ravel())),
+                            "label": some.column("label"), "dims": some.column("dims"), "block": pa.array(np.full(len(cell), k, np.int32)), "cell": pa.array(code.astype(np.int64)),
+                            "home": pa.array((cell == own[reach]).all(axis=1)), "id": some.column("id"), "v": some.column("v"),
                         })
 
-    return reps.select("label", "dims", "id", "v").mapInArrow(place, "label long, dims int, block int, cell long, home boolean, id long, x array<float>")
+    kind = reps.schema["v"].dataType.simpleString()
+    return reps.select("label", "dims", "id", "v").mapInArrow(place, f"label long, dims int, block int, cell long, home boolean, id long, v {kind}")
 
 
-def _close_pairs(budget: float):
+def _links(threshold: float):
+    """Links of a tile of one block: pairs within the block's share, unless an earlier block has them, checked exactly."""
+    budget = 2 - 2 * threshold
+
     def find(group: pa.Table) -> pa.Table:
-        dims = group.column("dims")[0].as_py()
-        x = _matrix(group.column("x").combine_chunks())
-        limit = budget * x.shape[1] / dims + 2 * SLACK
+        dims, block = group.column("dims")[0].as_py(), group.column("block")[0].as_py()
+        x = _matrix(group.column("v"), dims)
+        coords = turned(x).astype(np.float64)
+        firsts, shares = block_bounds(dims, budget)
+        mine = coords[:, firsts[block] : firsts[block] + BLOCK]
         ids, side = np.array(group.column("id")), np.array(group.column("side"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        y, norms = x[right], (x[right] ** 2).sum(axis=1)
-        a, b = [], []
-        for first in range(0, len(left), 512):
-            some = left[first : first + 512]
-            gap = (x[some] ** 2).sum(axis=1)[:, None] + norms - 2 * x[some] @ y.T
-            i, j = np.nonzero((gap <= limit) & (ids[some][:, None] < ids[right]))
-            a.append(ids[some][i])
-            b.append(ids[right][j])
-        return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
+        y, norms, length = mine[right], (mine[right] ** 2).sum(axis=1), np.sqrt((x * x).sum(axis=1))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(0, len(left), 256):
+            some = left[first : first + 256]
+            gap = (mine[some] ** 2).sum(axis=1)[:, None] + norms - 2 * mine[some] @ y.T
+            i, j = np.nonzero((gap <= shares[block] + SLACK) & (ids[some][:, None] < ids[right]))
+            for begin in range(0, len(i), 1 << 16):
+                p, q = some[i[begin : begin + (1 << 16)]], right[j[begin : begin + (1 << 16)]]
+                apart = np.add.reduceat((coords[p] - coords[q]) ** 2, firsts, axis=1) <= shares
+                p, q = (w[(apart.argmax(axis=1) == block) & apart[:, block]] for w in (p, q))
+                cosine = (x[p] * x[q]).sum(axis=1) / (length[p] * length[q])
+                a.append(ids[p][cosine >= threshold])
+                b.append(ids[q][cosine >= threshold])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return find
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """Pairs of distinct vectors of one label that are close enough in at least one block."""
-    budget = 2 - 2 * threshold
+def linked_pairs(reps: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """Every pair of distinct vectors of one label and length with a cosine of at least ``threshold``, once."""
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    axes = int(np.clip(np.ceil(np.log(max(most, 2) / 512) / np.log(2.5)), 1, BLOCK))
-    placed = staged(_placed(reps, budget, axes), "blocks")
+    axes = int(np.clip(np.ceil(np.log(max(most, 2) / 2048) / np.log(2.5)), 1, BLOCK))
+    placed = staged(_placed(reps, 2 - 2 * threshold, axes), "blocks")
     spot = ["label", "dims", "block", "cell"]
     full = placed.groupBy(*spot).agg(F.count("*").alias("n")).where(F.col("n") > tile)
     tiled = placed.join(full, spot, "left").withColumn("s", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
     mine = F.pmod(F.xxhash64("id"), F.col("s")).cast("int")
     all_ = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
-    homes = tiled.where("home").select(*spot, "id", "x", F.lit(0).alias("side"), mine.alias("i"), all_.alias("j"))
-    others = tiled.select(*spot, "id", "x", F.lit(1).alias("side"), all_.alias("i"), mine.alias("j"))
-    pairs = homes.unionByName(others).groupBy(*spot, "i", "j").applyInArrow(_close_pairs(budget), "a long, b long")
-    return pairs.distinct()
+    homes = tiled.where("home").select(*spot, "id", "v", F.lit(0).alias("side"), mine.alias("i"), all_.alias("j"))
+    others = tiled.select(*spot, "id", "v", F.lit(1).alias("side"), all_.alias("i"), mine.alias("j"))
+    return homes.unionByName(others).groupBy(*spot, "i", "j").applyInArrow(_links(threshold), "a long, b long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", tile: int = TILE) -> DataFrame:
@@ -130,21 +145,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda c: c != 0)
     own = own.withColumn("sound", F.coalesce(sound & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
     reps = staged(own.where("sound").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("dims", F.size("v")), "vectors")
-    both = candidate_pairs(reps, threshold, tile).join(reps.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("v").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("v").alias("y")), "b").where("la = lb")
-
-    def check(batches):
-        for batch in batches:
-            if batch.num_rows:
-                dims = [len(v) for v in batch.column("x")]
-                out = []
-                for d in set(dims):
-                    part = batch.filter(pa.array([k == d for k in dims]))
-                    x, y = _matrix(part.column("x")), _matrix(part.column("y"))
-                    cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-                    out.append(part.select(["a", "b"]).filter(pa.array(cosine >= threshold)))
-                yield from out
-
-    links = staged(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    links = staged(linked_pairs(reps, threshold, tile), "links")
     count = reps.select(F.col("id").alias("other"), "n")
     either = links.select("a", F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("other")))
     degree = either.join(count, "other").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
