@@ -56,13 +56,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     def slice_of(lo, hi):
         return F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * SLICES), F.lit(SLICES - 1))).otherwise(F.lit(0)).cast("int")
 
-    hits = [F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), slice_of(lo, hi).alias("s"))) for i, (lo, hi) in enumerate(brackets)]
+    hits = [F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), slice_of(lo, hi).alias("_slice"))) for i, (lo, hi) in enumerate(brackets)]
     inside = F.filter(F.array(*hits), lambda i: i.isNotNull())
-    values = placed.select(*by, "_x", F.inline(inside)).groupBy(*by, "i", "s", "_x").agg(F.count("*").alias("m"))
-    earlier = Window.partitionBy(*by, "i").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    first = values.groupBy(*by, "i", "s").agg(F.sum("m").alias("_n")).select(*by, "i", "s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
-    running = Window.partitionBy(*by, "i", "s").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("_upto", F.sum("m").over(running)).join(first, [*by, "i", "s"]).withColumn("upto", F.col("_first") + F.col("_upto"))
+    values = placed.select(*by, "_x", F.inline(inside)).groupBy(*by, "i", "_slice", "_x").agg(F.count("*").alias("m"))
+    earlier = Window.partitionBy(*by, "i").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = values.groupBy(*by, "i", "_slice").agg(F.sum("m").alias("_n")).select(*by, "i", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    running = Window.partitionBy(*by, "i", "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.sum("m").over(running)).join(first, [*by, "i", "_slice"]).withColumn("upto", F.col("_first") + F.col("_upto"))
     pos = (F.col("n") - 1) * F.col("prob")
     wanted = counts.withColumn("r0", F.floor(pos)).withColumn("r1", F.ceil(pos))
     hits = wanted.join(ranked, [*by, "i"])
