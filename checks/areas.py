@@ -52,10 +52,10 @@ def area_weeks(spark, sf):
     return panels.area_week(county_week(spark, sf), population(spark, sf), crosswalk(spark, sf))
 
 
-def area_episodes(spark, sf):
+def area_episodes(spark, sf, gap_days=7):
     places = crosswalk(spark, sf).withColumnRenamed("county_fips", "state")
     hospital = episodes(spark, sf).join(places, "state").withColumn("state", F.col("area_id"))
-    return panels.area_episodes(hospital, "signal_rel_change", "baseline_admissions", "signal_admissions", gap_days=7)
+    return panels.area_episodes(hospital, "signal_rel_change", "baseline_admissions", "signal_admissions", gap_days=gap_days)
 
 
 @query("pipe12_area_week", "area_id:s week_end:d deaths:f observed:f population:f coverage:f",
@@ -91,17 +91,32 @@ def _(spark, sf):
         "area_post_response": "post", "area_pre_response": "pre"})
 
 
-@query("pipe13_area_mortality", "area_id:s no:i rate1:f4 coverage1:f weeks1:i rate2:f4 coverage2:f weeks2:i", sql("ae aw", """
-SELECT area_id, no, CASE WHEN c1 >= 0.61 THEN d1 / p * 100000 END AS rate1, c1 AS coverage1, n1 AS weeks1,
-CASE WHEN c2 >= 0.61 THEN d2 / p * 100000 END AS rate2, c2 AS coverage2, n2 AS weeks2 FROM (
+MORTALITY = "area_id:s no:i rate1:f4 coverage1:f weeks1:i rate2:f4 coverage2:f weeks2:i"
+MORTALITY_SQL = """
+SELECT area_id, no, CASE WHEN c1 >= {least} THEN d1 / p * 100000 END AS rate1, c1 AS coverage1, n1 AS weeks1,
+CASE WHEN c2 >= {least} THEN d2 / p * 100000 END AS rate2, c2 AS coverage2, n2 AS weeks2 FROM (
 SELECT e.area_id, e.no, max(population) AS p, sum(deaths) FILTER (date_diff('day', signal_date, week_end) <= 42) AS d1,
 avg(observed / population) FILTER (date_diff('day', signal_date, week_end) <= 42) AS c1, count(week_end) FILTER (date_diff('day', signal_date, week_end) <= 42) AS n1,
 sum(deaths) FILTER (date_diff('day', signal_date, week_end) >= 21) AS d2, avg(observed / population) FILTER (date_diff('day', signal_date, week_end) >= 21) AS c2,
 count(week_end) FILTER (date_diff('day', signal_date, week_end) >= 21) AS n2
-FROM ae e LEFT JOIN aw ON aw.area_id = e.area_id AND week_end BETWEEN signal_date + 14 AND signal_date + 49 GROUP BY 1, 2)""", AREA_SQL))
-def _(spark, sf):
+FROM ae e LEFT JOIN aw ON aw.area_id = e.area_id AND week_end BETWEEN signal_date + 14 AND signal_date + 49 GROUP BY 1, 2)"""
+#: The same episodes with gaps of 21 days.
+WIDE_SQL = {**AREA_SQL, "ae1": (AREA_SQL["ae1"][0], AREA_SQL["ae1"][1].replace("<= 7 ", "<= 21 "))}
+
+
+def mortality(spark, sf, gap_days, least):
     out = panels.area_mortality(
-        cut_lineage(area_episodes(spark, sf)), cut_lineage(area_weeks(spark, sf)), min_coverage=0.61)
+        cut_lineage(area_episodes(spark, sf, gap_days)), cut_lineage(area_weeks(spark, sf)), min_coverage=least)
     return out.withColumnsRenamed({
         "area_episode_no": "no", "deaths_14_42_per100k": "rate1", "coverage_14_42": "coverage1", "weeks_14_42": "weeks1",
         "deaths_21_49_per100k": "rate2", "coverage_21_49": "coverage2", "weeks_21_49": "weeks2"})
+
+
+@query("pipe13_area_mortality", MORTALITY, sql("ae aw", MORTALITY_SQL.format(least=0.61), AREA_SQL))
+def _(spark, sf):
+    return mortality(spark, sf, 7, 0.61)
+
+
+@query("pipe13_area_mortality_wide", MORTALITY, sql("ae aw", MORTALITY_SQL.format(least=0.8), WIDE_SQL))
+def _(spark, sf):
+    return mortality(spark, sf, 21, 0.8)
