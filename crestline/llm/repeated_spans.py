@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from crestline.llm.texts import BYTE_VALUES, flat, mixed, slices
@@ -67,7 +68,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np
 
 
 def _anchor_rows(size: int):
-    """Rows (k, h, id, p): h files the anchor, p packs place and distances, k says where the row is dealt.
+    """Rows (k, h, id, p): h files the anchor (null: k does), p packs place and distances, k says where the row is dealt.
 
     Anchors that a chunk holds several times are known to repeat: they are dealt anywhere, and one
     marker (p = -1) goes where h belongs.  So a part that is everywhere sends no more than one or
@@ -87,8 +88,9 @@ def _anchor_rows(size: int):
                 apart = mixed(value ^ mixed(packed.astype(np.uint64) ^ mixed(ids.astype(np.uint64))))
                 once = np.unique(value[known])
                 h = np.concatenate([value, once]).astype(np.int64)
+                dealt = np.concatenate([np.where(known, apart, value), once]).astype(np.int64)
                 yield pa.record_batch({
-                    "k": pa.array(np.concatenate([np.where(known, apart, value), once]).astype(np.int64)), "h": pa.array(h),
+                    "k": pa.array(dealt), "h": pa.array(h, mask=h == dealt),
                     "id": pa.array(np.concatenate([ids, np.zeros(len(once), np.int64)])), "p": pa.array(np.concatenate([packed, np.full(len(once), -1)])),
                     "known": pa.array(np.concatenate([known, np.ones(len(once), bool)])),
                 })
@@ -101,7 +103,8 @@ def _repeated_only(batches):
     columns: dict[str, list[np.ndarray]] = {c: [] for c in ("k", "h", "id", "p", "known")}
     for batch in batches:
         for c, held in columns.items():
-            held.append(batch.column(c).to_numpy(zero_copy_only=False))
+            values = pc.coalesce(batch.column("h"), batch.column("k")) if c == "h" else batch.column(c)
+            held.append(values.to_numpy(zero_copy_only=False))
     if not columns["h"]:
         return
     k, h, ids, p, known = (np.concatenate(v) for v in columns.values())
@@ -116,7 +119,7 @@ def _repeated_only(batches):
 
 
 def _contexts(size: int):
-    """Rows (k, h, id, p, bytes): the bytes of all strings filed under an anchor, in one piece.
+    """Rows (k, id, p, bytes): the bytes of all strings filed under an anchor, in one piece, dealt by its value k.
 
     Of pieces that a chunk holds several times only the earliest is compared further; the others
     repeat it and pass with p negated.
@@ -147,7 +150,7 @@ def _contexts(size: int):
                 again[first] = False
                 k = np.where(again, mixed(h.astype(np.uint64) ^ mixed(p.astype(np.uint64) ^ mixed(ids.astype(np.uint64)))), h.astype(np.uint64))
                 yield pa.record_batch({
-                    "k": pa.array(k.astype(np.int64)), "h": pa.array(h), "id": pa.array(ids), "p": pa.array(np.where(again, ~p, p)),
+                    "k": pa.array(k.astype(np.int64)), "id": pa.array(ids), "p": pa.array(np.where(again, ~p, p)),
                     "bytes": pa.array(np.where(again, None, np.array(pieces.to_pylist(), object)), pa.binary()),
                 })
 
@@ -190,7 +193,7 @@ def _later_strings(size: int):
     """Per document the runs of bytes covered by strings that are there earlier, from a partition of contexts."""
 
     def find(batches):
-        held: dict[str, list] = {"h": [], "id": [], "p": []}
+        held: dict[str, list] = {"k": [], "id": [], "p": []}
         pieces = []
         for batch in batches:
             p = batch.column("p").to_numpy()
@@ -203,7 +206,7 @@ def _later_strings(size: int):
             for c, values in held.items():
                 values.append(kept.column(c).to_numpy())
             pieces.append(flat(kept.column("bytes")))
-        if not pieces or not sum(map(len, held["h"])):
+        if not pieces or not sum(map(len, held["k"])):
             return
         h, ids, p = (np.concatenate(v) for v in held.values())
         text = np.concatenate([d for d, _ in pieces])
@@ -279,18 +282,18 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     total = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     named = base.where("id is not null")
-    hashed = named.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
+    hashed = named.select("id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     firsts = hashed.groupBy("sha").agg(F.min("id").alias("first"))
     whole = named.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     found = whole.mapInArrow(_anchor_rows(size), "k long, h long, id long, p long, known boolean").repartition(parts, "k")
     found = found.mapInArrow(_repeated_only, "id long, a struct<h: long, p: long>").groupBy("id").agg(F.collect_list("a").alias("found"))
-    pieces = whole.join(found, "id").mapInArrow(_contexts(size), "k long, h long, id long, p long, bytes binary").repartition(parts, "k")
+    pieces = whole.join(found, "id").mapInArrow(_contexts(size), "k long, id long, p long, bytes binary").repartition(parts, "k")
     spans = pieces.mapInArrow(_later_strings(size), "id long, a long, b long").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     kept = whole.join(spans, "id", "left").mapInArrow(_kept, RESULT)
     copies = hashed.join(firsts, "sha").where("id != first").dropDuplicates(["id"])
     gone = copies.select(
         "id", "n", F.when(F.col("n") >= size, F.col("n")).otherwise(0).alias("n_removed"), (F.col("n") >= size).cast("long").alias("n_spans"),
-        F.when(F.col("n") >= size, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(F.col("n") >= size, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
     )
     unnamed = base.where("id is null").select("id", F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2("text", 256))
     return kept.union(gone).union(unnamed).withColumnRenamed("id", key)
