@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -45,7 +46,8 @@ def _array(store: fs.FileSystem, path: str, dtype) -> np.ndarray:
 @dataclass(frozen=True)
 class TokenFiles:
     """A written set: per part ``NNNNNN.ids``, ``.offsets`` (ids before each document of the part, and the
-    total) and ``.docs`` (keys), and ``bases.json`` with the parts' first global offsets."""
+    total), ``.docs`` (keys, 0 where null) and ``.valid`` (a byte per document, 0 where its key is null), and
+    ``bases.json`` with the parts' first global offsets."""
 
     folder: str
     width: int
@@ -53,22 +55,28 @@ class TokenFiles:
     bases: list[int]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, key: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> TokenFiles:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, key: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES, null_keys: bool = False) -> TokenFiles:
     """Encode documents in ascending key order and write them; each part is one range of keys.
 
     Ids take 2 bytes where the vocabulary allows it, else 4, little-endian.  ``end_id`` follows
     each document.  Null texts are empty; documents of equal keys keep their own entries, ordered
-    by text; rows with a null key cannot be found again in a file of keys and raise an error.
-    An empty table writes a set of no parts.
+    by text.  With ``null_keys`` rows with a null key are written as well: before all others, ordered by a
+    hash of the text and then the text, so that many of them are dealt over files too; without it they
+    raise an error before anything is written.  An empty table writes a set of no parts.
     """
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length(text)).alias("b"), F.sum(F.col(key).isNull().cast("int")).alias("nulls")).first()
-    if size["nulls"]:
+    if size["nulls"] and not null_keys:
         raise ValueError(f"{size['nulls']} rows have no {key}")
     top = max(encoder(tokenizer).vocabulary - 1, end_id or 0)
     width = 2 if top < 1 << 16 else 4
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["b"] or 0) // file_bytes))
-    ranged = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k", "t")
+    keyed = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    if size["nulls"]:
+        keyed = keyed.withColumn("u", F.when(F.col("k").isNull(), F.xxhash64("t")))
+        ranged = keyed.repartitionByRange(n, "k", "u").sortWithinPartitions("k", "u", "t").drop("u")
+    else:
+        ranged = keyed.repartitionByRange(n, "k").sortWithinPartitions("k", "t")
 
     def write(batches):
         from pyspark import TaskContext
@@ -76,7 +84,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         coder, part = encoder(tokenizer), TaskContext.get().partitionId()
         store, place = _store(folder)
         store.create_dir(place, recursive=True)
-        counts, keys, totals = [], [], [0]
+        counts, keys, valid, totals = [], [], [], [0]
 
         def ids_of(out):
             for batch in batches:
@@ -87,7 +95,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
                         at = at + np.arange(len(at))
                     out.write(ids.astype(f"<u{width}").tobytes())
                     counts.append(np.diff(at))
-                    keys.append(piece.column("k").to_numpy())
+                    keys.append(pc.fill_null(piece.column("k"), 0).to_numpy())
+                    valid.append(pc.is_valid(piece.column("k")).to_numpy(zero_copy_only=False))
                     totals[0] += len(ids)
 
         _put(store, f"{place}/{part:06d}.ids", ids_of)
@@ -95,6 +104,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         offsets = np.concatenate([[0], np.cumsum(n)]).astype("<i8")
         _put(store, f"{place}/{part:06d}.offsets", lambda out: out.write(offsets.tobytes()))
         _put(store, f"{place}/{part:06d}.docs", lambda out: out.write((np.concatenate(keys) if keys else n).astype("<i8").tobytes()))
+        _put(store, f"{place}/{part:06d}.valid", lambda out: out.write((np.concatenate(valid) if valid else n).astype("u1").tobytes()))
         yield pa.record_batch({"part": pa.array([part], pa.int32()), "n_ids": pa.array([totals[0]], pa.int64())})
 
     totals = sorted((r["part"], r["n_ids"]) for r in ranged.mapInArrow(write, "part int, n_ids long").collect())
@@ -114,7 +124,7 @@ def open_tokens(folder: str) -> TokenFiles:
 
 
 def read_tokens(spark: SparkSession, files: TokenFiles, with_ids: bool = False) -> DataFrame:
-    """One row per document from the files: ``doc_id``, ``start`` (ids before it in the whole set),
+    """One row per document from the files: ``doc_id`` (null where the key was), ``start`` (ids before it in the whole set),
     ``n_tokens``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers) and, if asked for, ``ids``."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     if not files.parts:
@@ -126,12 +136,13 @@ def read_tokens(spark: SparkSession, files: TokenFiles, with_ids: bool = False)
         store, place = _store(folder)
         for batch in batches:
             for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                ids, offsets, docs = (_array(store, f"{place}/{part:06d}.{kind}", dtype) for kind, dtype in (("ids", f"<u{width}"), ("offsets", "<i8"), ("docs", "<i8")))
+                kinds = (("ids", f"<u{width}"), ("offsets", "<i8"), ("docs", "<i8"), ("valid", "u1"))
+                ids, offsets, docs, valid = (_array(store, f"{place}/{part:06d}.{kind}", dtype) for kind, dtype in kinds)
                 for first in range(0, len(docs), 4096):
                     at = offsets[first : first + 4097]
                     crc = [zlib.crc32(np.ascontiguousarray(ids[a:b], "<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     out = {
-                        "doc_id": pa.array(docs[first : first + 4096]), "start": pa.array(base + at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64()),
+                        "doc_id": pa.array(docs[first : first + 4096], mask=valid[first : first + 4096] == 0), "start": pa.array(base + at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64()),
                     }
                     if with_ids:
                         out["ids"] = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(ids[at[0] : at[-1]].astype(np.int64)))
@@ -141,6 +152,6 @@ def read_tokens(spark: SparkSession, files: TokenFiles, with_ids: bool = False)
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the files to the shared folder and read every document back."""
+    """Write the files to the shared folder and read every document back, those of null keys too."""
     spark = docs.sparkSession
-    return read_tokens(spark, write_tokens(docs, tokenizer, new_folder(spark, "tokens"), end_id, key, text))
+    return read_tokens(spark, write_tokens(docs, tokenizer, new_folder(spark, "tokens"), end_id, key, text, null_keys=True))

@@ -66,3 +66,20 @@ def test_empty_and_null_keys(spark, tmp_path):
     assert token_files.token_round_trip(none, tokenizer("byte_bpe_50k.json"), 2).collect() == []
     with pytest.raises(ValueError):
         token_files.write_tokens(spark.createDataFrame([(None, "a")], "doc_id long, text string"), tokenizer("byte_bpe_50k.json"), str(tmp_path / "x"))
+
+
+def test_null_keys_are_written_and_read_back(spark, tmp_path):
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    rows = [(i * 3 - 9, t) for i, t in enumerate(texts(60, 7))] + [(None, t) for t in texts(60, 8)] + [(None, None), (0, "x"), (None, "x"), (None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(((k, library.encode(t or "", add_special_tokens=False).ids + [2]) for k, t in rows), key=str)
+    back = token_files.token_round_trip(frame, tokenizer("byte_bpe_50k.json"), 2).collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in back), key=str) == sorted(((k, len(ids), crc(ids)) for k, ids in want), key=str)
+    made = token_files.write_tokens(frame, tokenizer("byte_bpe_50k.json"), str(tmp_path / "set"), end_id=2, file_bytes=100, null_keys=True)
+    got = sorted(token_files.read_tokens(spark, made, with_ids=True).collect(), key=lambda r: r["start"])
+    assert sorted(((r["doc_id"], r["ids"]) for r in got), key=str) == want
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+    keys = [r["doc_id"] for r in got]
+    nulls = keys.count(None)
+    assert keys[:nulls] == [None] * nulls and keys[nulls:] == sorted(keys[nulls:])
