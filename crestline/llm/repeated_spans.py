@@ -5,7 +5,8 @@ sorted: a string is filed under the least hash value among its 32-byte parts (eq
 the same part), and what is filed under a part that occurs once in the corpus is unique.  The rest
 is ordered by digits of eight bytes, most significant first, through ``size`` bytes and no
 further; groups that a digit does not split are not sorted again and single suffixes leave.  The
-groups that are left are exactly the repeated strings.
+groups that are left are exactly the repeated strings.  Strings under a part that is in very many
+places are dealt by more of their bytes, in the end by all, so no task holds all that is around it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from crestline.llm.texts import BYTE_VALUES, flat, mixed, slices
 SIZE, PART = 100, 32
 #: Text bytes looked at together when anchors are chosen; text bytes that one partition of anchors stands for.
 CHUNK_BYTES, PARTITION_BYTES = 1 << 20, 32 << 20
+#: Pieces of an anchor from which on they are split and dealt apart; pieces laid out together.
+HOT, BLOCK = 1 << 16, 1 << 14
 
 
 def part_values(data: np.ndarray) -> np.ndarray:
@@ -118,13 +121,121 @@ def _repeated_only(batches):
         yield pa.record_batch({"id": pa.array(ids[at]), "a": pa.StructArray.from_arrays([pa.array(h[at]), pa.array(p[at])], names=["h", "p"])})
 
 
-def _contexts(size: int):
+def _region(value: np.ndarray, begin: np.ndarray, last: np.ndarray, seed: np.ndarray, reach: int) -> np.ndarray:
+    """A 64-bit value of the bytes from begin through the part at last, which is less than ``reach`` bytes on."""
+    for at in range(0, reach, PART):
+        seed = mixed(seed ^ value[np.minimum(begin + at, last)])
+    return seed
+
+
+def _descend(value: np.ndarray, place: np.ndarray, h: np.ndarray, far: np.ndarray, near: np.ndarray, size: int, hot):
+    """Split pieces by halving the distances of starts before the anchor: (level, piece, farthest, nearest, value, split).
+
+    All strings that start lo to hi before an anchor hold the bytes from lo before it to size - hi after; the
+    value is that of these bytes, which equal strings share.  ``hot(level, value)`` says what is split further.
+    """
+    item, lo, hi, level = np.arange(len(h)), np.zeros(len(h), np.int64), np.full(len(h), size - PART), 0
+    while len(item):
+        at = place[item]
+        key = _region(value, at - lo, at - hi + size - PART, mixed(h[item].astype(np.uint64) ^ ((lo << 7) | hi).astype(np.uint64)), size) if level else h[item].astype(np.uint64)
+        split = hot(level, key) & (hi > lo)
+        yield level, item, np.minimum(far[item], hi), np.maximum(near[item], lo), key, split
+        item, lo, hi = item[split], lo[split], hi[split]
+        mid = (lo + hi) // 2
+        item, lo, hi = np.concatenate([item, item]), np.concatenate([lo, mid + 1]), np.concatenate([mid, hi])
+        meets = (lo <= far[item]) & (hi >= near[item])
+        item, lo, hi, level = item[meets], lo[meets], hi[meets], level + 1
+
+
+def _in_slots(bits: int, slots: list[np.ndarray]):
+    return lambda level, key: np.isin(key >> np.uint64(64 - bits), slots[level]) if level < len(slots) else np.zeros(len(key), bool)
+
+
+def _slot_counts(size: int, bits: int, first: np.ndarray | None):
+    """How many different pieces of text, chunk by chunk, a task has for values of each of 2^bits slots it meets: of
+    anchors, or if ``first`` is given, of all splits of anchors in these slots."""
+
+    def count(batches):
+        times: dict[int, np.ndarray] = {}
+        begins = _in_slots(bits, [] if first is None else [first])
+        hot = begins if first is None else lambda level, key: begins(0, key) if level == 0 else np.ones(len(key), bool)
+        for batch in batches:
+            for part in slices(batch, "text", CHUNK_BYTES):
+                data, offsets = flat(part.column("text"))
+                row, place, far, near, anchor = anchors(data, offsets, size)
+                if not len(row):
+                    continue
+                value, place = part_values(data), offsets[row] + place
+                for level, item, f, n, key, _ in _descend(value, place, anchor, far, near, size, hot):
+                    if first is not None and level == 0:
+                        continue
+                    piece = _region(value, place[item] - f, place[item] - n + size - PART, key ^ ((f << 7) | n).astype(np.uint64), 2 * size)
+                    _, once = np.unique(piece, return_index=True)
+                    found = np.bincount((key[once] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    times[level] = times[level] + found if level in times else found
+        for level, held in times.items():
+            met = np.flatnonzero(held)
+            yield pa.record_batch({"level": pa.array(np.full(len(met), level, np.int32)), "slot": pa.array(met), "n": pa.array(held[met])})
+
+    return count
+
+
+def hot_slots(texts: DataFrame, size: int, total: int, hot: int) -> tuple[int, list[np.ndarray]]:
+    """By level of splitting, the slots of values that ``hot`` pieces or more fall into, and the bits that name a slot.
+
+    What is rarer and shares a slot is split like a hot one, which costs bytes and changes no result;
+    slots are so many that one has about ``hot`` / 8 pieces.
+    """
+    bits = min(24, max(12, (8 * total // (16 * hot)).bit_length()))
+    found: dict[int, list[int]] = {}
+    for again in (False, True):
+        first = np.array(sorted(found.get(0, [])), np.uint64) if again else None
+        if again and not len(first):
+            break
+        counts = texts.select("text").mapInArrow(_slot_counts(size, bits, first), "level int, slot long, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
+        for r in counts.where(F.col("n") >= hot).collect():
+            found.setdefault(r["level"], []).append(r["slot"])
+    return bits, [np.array(sorted(found.get(level, [])), np.uint64) for level in range(max(found, default=-1) + 1)]
+
+
+def _cut(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Pieces of a buffer, laid end to end."""
+    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    take = np.repeat(begin - bounds[:-1], length) + np.arange(bounds[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[take]))])
+
+
+def _split_pieces(data: np.ndarray, place: np.ndarray, h: np.ndarray, p: np.ndarray, ids: np.ndarray, size: int, hot):
+    """Batches like those of ``_contexts`` for pieces of hot anchors, split until their values are not hot."""
+    leaves = []
+    for _, item, far, near, key, split in _descend(part_values(data), place, h, (p >> 7) & 127, p & 127, size, hot):
+        leaves.append(tuple(v[~split] for v in (item, far, near, key)))
+    item, far, near, key = (np.concatenate(v) for v in zip(*leaves, strict=True))
+    order = np.lexsort((item, key))  # equal pieces side by side, the earliest first
+    for first in range(0, len(order), BLOCK):
+        at = order[first : first + BLOCK]
+        who, q = item[at], (p[item[at]] >> 14 << 14) | (far[at] << 7) | near[at]
+        pieces = _cut(data, place[who] - far[at], far[at] - near[at] + size)
+        codes = pieces.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, fresh = np.unique((codes << 14) | (q & 16383), return_index=True)
+        again = np.ones(len(at), bool)
+        again[fresh] = False
+        k = np.where(again, mixed(key[at] ^ mixed(q.astype(np.uint64) ^ mixed(ids[who].astype(np.uint64)))), key[at])
+        yield pa.record_batch({
+            "k": pa.array(k.astype(np.int64)), "id": pa.array(ids[who]), "p": pa.array(np.where(again, ~q, q)),
+            "bytes": pa.array(np.where(again, None, np.array(pieces.to_pylist(), object)), pa.binary()),
+        })
+
+
+def _contexts(size: int, bits: int, slots: list[np.ndarray]):
     """Rows (k, id, p, bytes): the bytes of all strings filed under an anchor, in one piece, dealt by its value k.
 
     Of pieces that a chunk holds several times only the earliest is compared further; the others
-    repeat it and pass with p negated.
+    repeat it and pass with p negated.  Pieces of anchors in hot slots are split.
     """
 
+    hot = _in_slots(bits, slots)
+
     def emit(batches):
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES):
@@ -138,16 +249,18 @@ def _contexts(size: int):
                 order = np.lexsort((p, ids))
                 row, h, p, ids = row[order], h[order], p[order], ids[order]
                 far, near = (p >> 7) & 127, p & 127
-                begin = offsets[row] + (p >> 14) - far
-                length = far - near + size
-                bounds = np.concatenate([[0], np.cumsum(length)])
-                take = np.repeat(begin - bounds[:-1], length) + np.arange(bounds[-1])
-                pieces = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[take]))])
+                pieces = _cut(data, offsets[row] + (p >> 14) - far, far - near + size)
                 codes = pieces.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 key = (codes << 14) | (p & 16383)
                 _, first = np.unique(key, return_index=True)
                 again = np.ones(len(key), bool)
                 again[first] = False
+                if slots:
+                    apart = ~again & hot(0, h.astype(np.uint64))
+                    if apart.any():
+                        yield from _split_pieces(data, (offsets[row] + (p >> 14))[apart], h[apart], p[apart], ids[apart], size, hot)
+                        rest = np.flatnonzero(~apart)
+                        h, p, ids, again, pieces = h[rest], p[rest], ids[rest], again[rest], pieces.take(pa.array(rest))
                 k = np.where(again, mixed(h.astype(np.uint64) ^ mixed(p.astype(np.uint64) ^ mixed(ids.astype(np.uint64)))), h.astype(np.uint64))
                 yield pa.record_batch({
                     "k": pa.array(k.astype(np.int64)), "id": pa.array(ids), "p": pa.array(np.where(again, ~p, p)),
@@ -285,9 +398,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     hashed = named.select("id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     firsts = hashed.groupBy("sha").agg(F.min("id").alias("first"))
     whole = named.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    bits, slots = hot_slots(named, size, total, HOT)
     found = whole.mapInArrow(_anchor_rows(size), "k long, h long, id long, p long, known boolean").repartition(parts, "k")
     found = found.mapInArrow(_repeated_only, "id long, a struct<h: long, p: long>").groupBy("id").agg(F.collect_list("a").alias("found"))
-    pieces = whole.join(found, "id").mapInArrow(_contexts(size), "k long, id long, p long, bytes binary").repartition(parts, "k")
+    pieces = whole.join(found, "id").mapInArrow(_contexts(size, bits, slots), "k long, id long, p long, bytes binary").repartition(parts, "k")
     spans = pieces.mapInArrow(_later_strings(size), "id long, a long, b long").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     kept = whole.join(spans, "id", "left").mapInArrow(_kept, RESULT)
     copies = hashed.join(firsts, "sha").where("id != first").dropDuplicates(["id"])

@@ -65,3 +65,42 @@ def test_radix_groups_are_the_equal_suffixes():
     for i in at.tolist():
         want.setdefault(text[i : i + 13].tobytes(), []).append(i)
     assert found == sorted(tuple(v) for v in want.values() if len(v) > 1)
+
+
+def common_line(n):
+    """A line too short to repeat by itself, in many documents between different texts, some of them shared."""
+    rnd = random.Random(11)
+    text = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    line, ends = text(80), [text(60) for _ in range(5)]
+    docs = [(i, text(rnd.randint(60, 200)) + line + (rnd.choice(ends) if i % 3 == 0 else text(90))) for i in range(n)]
+    return docs + [(n + 1, (line + text(40)) * 6), (n + 2, docs[5][1] + docs[9][1]), (n + 3, line * 4)]
+
+
+def test_no_task_holds_all_places_of_a_common_line(spark, monkeypatch):
+    docs, real = common_line(400), rs._later_strings
+
+    def watched(size):
+        find = real(size)
+
+        def run(batches):
+            held = list(batches)
+            k = np.concatenate([b.column("k").to_numpy()[b.column("p").to_numpy() >= 0] for b in held] or [np.zeros(0, np.int64)])
+            if len(k) and np.unique(k, return_counts=True)[1].max() > 40:
+                raise AssertionError("one group of many pieces")
+            yield from find(iter(held))
+
+        return run
+
+    monkeypatch.setattr(rs, "HOT", 40, raising=False)
+    monkeypatch.setattr(rs, "_later_strings", watched)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, rs.repeated_spans(frame, 100).collect())) == brute(docs, 100)
+
+
+@pytest.mark.parametrize("seed, size", [(4, 100), (5, 33), (6, 127)])
+def test_strings_dealt_one_by_one_against_brute_force(spark, monkeypatch, seed, size):
+    monkeypatch.setattr(rs, "HOT", 2, raising=False)
+    monkeypatch.setattr(rs, "CHUNK_BYTES", 3000)
+    docs = corpus(seed)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, rs.repeated_spans(frame, size).collect())) == brute(docs, size)
