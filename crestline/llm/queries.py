@@ -139,3 +139,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.retrieval_packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+RANKED_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS all_terms FROM d WHERE len(w) > 0),
+times AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM times, totals GROUP BY term),
+worth AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // all_terms))) AS s FROM times JOIN weights USING (term), totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM b JOIN worth USING (term) GROUP BY 1, 2 HAVING sum(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY rank <= 50"""
+
+
+@registered("op11_ball_search", RANKED_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.ball_search import ranked_documents
+
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
