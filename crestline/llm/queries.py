@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crestline.llm.spot_signatures import ANCHORS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -181,3 +183,27 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+SPOTS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next_t FROM documents),
+n AS (SELECT *, length(t) AS n FROM d),
+e AS (SELECT *, substring(t, 1, n - n // 4) || substring(next_t, 1, n // 4) AS edited FROM n),
+texts AS (SELECT doc_id, 's' AS kind, t FROM e UNION ALL SELECT doc_id, 'e', edited FROM e UNION ALL SELECT doc_id, 'n', next_t FROM e),
+split AS (SELECT doc_id, kind, [x FOR x IN string_split_regex(lower(t), '[^\p{L}\p{N}]+') IF x <> ''] AS ws FROM texts),
+placed AS (SELECT doc_id, kind, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, unnest(list_prepend('', ws)[: len(ws)]) AS before FROM split),
+content AS (SELECT *, coalesce(lead(w) OVER (PARTITION BY doc_id, kind ORDER BY i), '') AS w1 FROM placed WHERE w NOT IN (ANCHORS)),
+spots AS (SELECT DISTINCT doc_id, kind, substr(md5(before || '|' || w || '|' || w1), 1, 15) AS s FROM content WHERE before = '' OR before IN (ANCHORS)),
+sets AS (SELECT doc_id, coalesce(list(s ORDER BY s) FILTER (kind = 's'), []) AS s, coalesce(list(s ORDER BY s) FILTER (kind = 'e'), []) AS e, coalesce(list(s ORDER BY s) FILTER (kind = 'n'), []) AS x FROM spots GROUP BY 1),
+full_ AS (SELECT e.doc_id, n, edited, coalesce(s, []) AS s, coalesce(sets.e, []) AS e, coalesce(x, []) AS x FROM e LEFT JOIN sets USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s, '') AS fingerprint, array_to_string(e, '') AS edited_fingerprint,
+CASE WHEN len(s) + len(e) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(s, e))::DOUBLE / (len(s) + len(e) - len(list_intersect(s, e))) END AS near_edited,
+CASE WHEN len(s) + len(x) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(s, x))::DOUBLE / (len(s) + len(x) - len(list_intersect(s, x))) END AS near_next
+FROM full_""".replace("ANCHORS", ", ".join(f"'{a}'" for a in ANCHORS))
+
+
+@registered("op12_spot_signatures", SPOTS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.spot_signatures import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
