@@ -285,14 +285,17 @@ def _(spark, sf):
 NUMERICS = ["pre_mean", "volatility", "adm_mean", "beds"]
 
 
-def cross_ctes(seed: int, tag: str = "") -> dict[str, tuple[str, str]]:
+def cross_ctes(seed: int, tag: str = "", outcome_seed: int | None = None) -> dict[str, tuple[str, str]]:
     """Cross-fitted linear residuals of exposure and outcome over seeded entity folds."""
-    base = {
-        f"fo{tag}": ("study", FOLD_SQL.format(seed=seed)),
-        f"fx{tag}": (f"fo{tag}", f"SELECT s.*, g.g, f.fold <> g.g AS tr FROM study s JOIN fo{tag} f USING (hospital_id), (SELECT unnest(range(0, 5)) AS g) g"),
-    }
-    for short, y in (("t", "x"), ("y", "delta")):
-        ctes, body = held_out(f"c{short}{tag}_", f"fx{tag}", y, NUMERICS, [], EP, "g", "tr")
+    base = {}
+    for short, y, own in (("t", "x", seed), ("y", "delta", outcome_seed)):
+        split = f"x{tag}" if own is None or short == "t" else f"o{tag}"
+        if own is not None:
+            base |= {
+                f"f{split}_": ("study", FOLD_SQL.format(seed=own)),
+                f"f{split}": (f"f{split}_", f"SELECT s.*, g.g, f.fold <> g.g AS tr FROM study s JOIN f{split}_ f USING (hospital_id), (SELECT unnest(range(0, 5)) AS g) g"),
+            }
+        ctes, body = held_out(f"c{short}{tag}_", f"f{split}", y, NUMERICS, [], EP, "g", "tr")
         base |= ctes
         base[f"r{short}{tag}"] = (f"c{short}{tag}_{len(NUMERICS) + 1}", body)
     base[f"res{tag}"] = (f"rt{tag} ry{tag}", f"""SELECT s.*, a.resid AS tres, b.resid AS yres FROM study s JOIN rt{tag} a USING (hospital_id, signal_week)
@@ -445,11 +448,12 @@ def _(spark, sf):
 
 
 SEEDS, PLR_SEEDS = range(1, 21), range(1, 11)
-REPEAT = {k: v for s in SEEDS for k, v in cross_ctes(s, f"r{s}").items()}
+REPEAT = {k: v for s in SEEDS for k, v in cross_ctes(s, f"r{s}", s + suites.OUTCOME_SEED).items()}
 
 
 def repeats_sql(seeds) -> str:
-    return "\nUNION ALL\n".join(f"SELECT {s} AS seed, n, theta, se FROM ({origin_sql(f'resr{s}', 'yres', 'tres')})" for s in seeds)
+    return "\nUNION ALL\n".join(f"""SELECT {s} AS seed, n, theta, se, exposure_r2, outcome_r2 FROM ({origin_sql(f'resr{s}', 'yres', 'tres')}),
+(SELECT 1 - sum(tres * tres) / regr_syy(x, x) AS exposure_r2, 1 - sum(yres * yres) / regr_syy(delta, delta) AS outcome_r2 FROM resr{s})""" for s in seeds)
 
 
 def repeats(spark, sf, seeds):
@@ -460,7 +464,7 @@ def result_names(seeds) -> str:
     return " ".join(f"resr{s}" for s in seeds)
 
 
-@query("est29_repeated_crossfit", "seed:i n:i theta:f se:f", ssql(result_names(SEEDS), repeats_sql(SEEDS), REPEAT))
+@query("est29_repeated_crossfit", "seed:i n:i theta:f se:f exposure_r2:f outcome_r2:f", ssql(result_names(SEEDS), repeats_sql(SEEDS), REPEAT))
 def _(spark, sf):
     return repeats(spark, sf, SEEDS)
 

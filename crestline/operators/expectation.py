@@ -15,7 +15,7 @@ MISSING = "Missing"
 EDGES = 256
 
 
-def _slopes(gram: np.ndarray, one: int, y: int, num: np.ndarray, dum: np.ndarray) -> tuple[float, np.ndarray]:
+def least_squares(gram: np.ndarray, one: int, y: int, num: np.ndarray, dum: np.ndarray) -> tuple[float, np.ndarray]:
     """Intercept and minimum-norm slopes from raw moments.
 
     Only numeric columns are rescaled, so the minimum norm is taken over the dummies.
@@ -61,7 +61,7 @@ def left_out_linear(
             for c, n, p, v in zip(b["c"], b["n"], b["pos"], b["val"]):
                 if t.n - n < min_train:
                     continue
-                a, beta = _slopes(t.gram - unpack(p, v, width), 0, 1, num, dum)
+                a, beta = least_squares(t.gram - unpack(p, v, width), 0, 1, num, dum)
                 beta[: len(num)] *= unit[1] / unit[2:dense]
                 beta[len(num):] *= unit[1]
                 rows.append((c, a * unit[1], list(beta)))
@@ -186,7 +186,7 @@ def left_out_linear_imputed(
                 for j in range(len(g_levels)):
                     combine[2 + 2 * k + j, 2 + k + j] = 1.0
                 gram = combine.T @ (gram_all - own) @ combine
-                a, beta = _slopes(gram, 0, 1, np.arange(2, 2 + k), np.arange(2 + k, 2 + k + len(g_levels)))
+                a, beta = least_squares(gram, 0, 1, np.arange(2, 2 + k), np.arange(2 + k, 2 + k + len(g_levels)))
                 rows.append((c, a, list(beta), list(med)))
             yield pd.DataFrame(rows, columns=["_fold", "_a", "_b", "_med"])
 

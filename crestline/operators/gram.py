@@ -50,6 +50,18 @@ class ClusterGrams:
     def absorbed(self) -> np.ndarray:
         return np.arange(len(self.columns), self.width)
 
+    @staticmethod
+    def listed(parts: DataFrame) -> DataFrame:
+        """One row per cluster from entries (c, pos, val); position -1 counts rows, -2 entities."""
+        summed = parts.groupBy("c", "pos").agg(F.sum("val").alias("val"))
+        entry = F.when(F.col("pos") >= 0, F.struct("pos", "val"))
+        listed = summed.groupBy("c").agg(
+            F.sum(F.when(F.col("pos") == -1, F.col("val"))).cast("long").alias("n"),
+            F.coalesce(F.sum(F.when(F.col("pos") == -2, F.col("val"))), F.lit(0)).cast("long").alias("entities"),
+            F.collect_list(entry).alias("m"),
+        )
+        return listed.select("c", "n", "entities", F.col("m.pos").alias("pos"), F.col("m.val").alias("val"))
+
 
 def triangle(width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(width)
@@ -250,28 +262,27 @@ def _kernel_table(rows, z: list[Column], factors, levels, within: bool, nested:
         cells = coded.groupBy("c", "e", *level_codes).agg(
             F.count("*").alias("m"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(dense)]
         )
+        parts = parts.unionByName(entity_moments(cells, dense, offsets, width, nested))
+    return ClusterGrams.listed(parts)
 
-        def per_entity(keys: list[str], prefix: str) -> DataFrame:
-            listed = F.collect_list(F.struct(*level_codes, "m")).alias("_l")
-            own = cells.groupBy(*keys).agg(
-                F.sum("m").alias(f"{prefix}n"),
-                *[F.sum(f"s{i}").alias(f"{prefix}s{i}") for i in range(dense)],
-                *([listed] if offsets else []),
-            )
-            if not offsets:
-                return own
-            parts = [F.col(f"_l.{k}").alias(f"{prefix}{k}") for k in [*level_codes, "m"]]
-            return own.select(*[c for c in own.columns if c != "_l"], *parts)
-
-        both = per_entity(["c", "e"], "")
-        if not nested:
-            both = both.join(per_entity(["e"], "w"), "e")
-        parts = parts.unionByName(both.drop("e").mapInPandas(_entity_moments(dense, offsets, width, nested), schema))
-    summed = parts.groupBy("c", "pos").agg(F.sum("val").alias("val"))
-    entry = F.when(F.col("pos") >= 0, F.struct("pos", "val"))
-    listed = summed.groupBy("c").agg(
-        F.sum(F.when(F.col("pos") == -1, F.col("val"))).cast("long").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("pos") == -2, F.col("val"))), F.lit(0)).cast("long").alias("entities"),
-        F.collect_list(entry).alias("m"),
-    )
-    return listed.select("c", "n", "entities", F.col("m.pos").alias("pos"), F.col("m.val").alias("val"))
+
+def entity_moments(cells: DataFrame, dense: int, offsets: Sequence[int], width: int, nested: bool) -> DataFrame:
+    """What entity means explain, from sums ``s0..`` and sizes ``m`` per (c, e, level codes ``k0..``)."""
+    level_codes = [f"k{i}" for i in range(len(offsets))]
+
+    def per_entity(keys: list[str], prefix: str) -> DataFrame:
+        listed = F.collect_list(F.struct(*level_codes, "m")).alias("_l")
+        own = cells.groupBy(*keys).agg(
+            F.sum("m").alias(f"{prefix}n"),
+            *[F.sum(f"s{i}").alias(f"{prefix}s{i}") for i in range(dense)],
+            *([listed] if offsets else []),
+        )
+        if not offsets:
+            return own
+        parts = [F.col(f"_l.{k}").alias(f"{prefix}{k}") for k in [*level_codes, "m"]]
+        return own.select(*[c for c in own.columns if c != "_l"], *parts)
+
+    both = per_entity(["c", "e"], "")
+    if not nested:
+        both = both.join(per_entity(["e"], "w"), "e")
+    return both.drop("e").mapInPandas(_entity_moments(dense, offsets, width, nested), "c string, pos int, val double")

@@ -37,11 +37,16 @@ def slope_through_origin(
     """
     y, t = F.col(outcome).cast("double"), F.col(exposure).cast("double")
     use = df.where(y.isNotNull() & t.isNotNull() & F.col(cluster).isNotNull())
-    names = ["n", "ty", "tt", "t1", "y1", "yy"]
     cells = use.groupBy(*by, cluster, entity).agg(
         F.count("*").alias("n"), F.sum(t * y).alias("ty"), F.sum(t * t).alias("tt"),
         F.sum(t).alias("t1"), F.sum(y).alias("y1"), F.sum(y * y).alias("yy"),
     )
+    return slope_of_sums(cells, by, cluster)
+
+
+def slope_of_sums(cells: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:
+    """The slope from sums per (by, cluster, entity): n, ty, tt, t1, y1, yy."""
+    names = ["n", "ty", "tt", "t1", "y1", "yy"]
     clusters = cells.groupBy(*by, cluster).agg(*[F.sum(c).alias(c) for c in names], F.count("*").alias("e"))
     sums = clusters.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in names], F.sum("e").alias("entities"), F.count("*").alias("clusters"),

@@ -406,11 +406,28 @@ def panel_regression(
 def specification_grid(
     df: DataFrame, specs: dict[str, dict], outcome: str, exposure: str, cluster: str
 ) -> DataFrame:
-    """Exposure rows of several specifications: ``name -> {controls, entity, factors}``."""
-    fits = [
-        panel_regression(df, outcome, exposure, cluster=cluster, spec=name, **options)[1]
-        for name, options in specs.items()
-    ]
+    """Exposure rows of several specifications: ``name -> {controls, entity, factors}``.
+
+    Specifications of one entity share one moment store, so the rows are read once for each entity,
+    not for each specification; every model keeps the rows complete for itself.
+    """
+    from crestline.operators.moments import MomentStore
+
+    stores: dict[str | None, MomentStore] = {}
+    for entity in dict.fromkeys(o.get("entity") for o in specs.values()):
+        mine = [o for o in specs.values() if o.get("entity") == entity]
+        columns = list(dict.fromkeys([outcome, exposure, *[c for o in mine for c in o.get("controls", ())]]))
+        factors = list(dict.fromkeys(f for o in mine for f in o.get("factors", ())))
+        unit = df if entity else df.withColumn("_unit", F.col(cluster))
+        stores[entity] = MomentStore.build(unit, columns, entity or "_unit", cluster, factors)
+    fits = []
+    for name, options in specs.items():
+        controls = list(options.get("controls", ()))
+        entity = options.get("entity")
+        grams = stores[entity].grams([outcome, exposure, *controls], options.get("factors", ()), within=entity is not None)
+        model = Regression(grams, name)
+        kept = model.varying(controls) if options.get("drop_constant", True) else controls
+        fits.append(model.fit(outcome, [exposure, *kept]))
     return estimates_frame(df.sparkSession, fits, exposure_only=True)
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 from crestline.operators.splines import spline_basis
 from crestline.operators.aggregates import fit_quality, replicate_summary
 from crestline.operators.expectation import left_out_linear
-from crestline.operators.folds import balanced_folds, random_folds, with_folds
+from crestline.operators.folds import balanced_folds, fold_lists, with_folds
 from crestline.operators.gram import cluster_grams
 from crestline.operators.joins import week_scaffold
 from crestline.operators.learners import crossfit
+from crestline.operators.moments import MomentStore, Side
 from crestline.operators.quantiles import exact_quantiles
 from crestline.operators.orthogonal import (
     balance, median_of_repetitions, per_sd, slope_through_origin, support,
@@ -208,27 +209,38 @@ def orthogonal_suite(df: DataFrame, t: str, y: str, cluster: str, entity: str, c
 
 def falsification(df: DataFrame, outcomes: Sequence[str], t: str, numerics: Sequence[str], factors: Sequence[str], fold: str,
                   cluster: str, entity: str, exclude_outcome: bool = False) -> DataFrame:
-    """Orthogonal estimates for outcomes that the exposure cannot have changed."""
-    parts = []
-    for y in outcomes:
-        used = [c for c in numerics if not (exclude_outcome and c == y)]
-        res = linear_residuals(df, {y: "_y_res"}, used, factors, fold)
-        parts.append(slope_through_origin(res, "_y_res", t, cluster, entity).withColumn("outcome", F.lit(y)))
-    return reduce(DataFrame.unionByName, parts)
+    """Orthogonal estimates for outcomes that the exposure cannot have changed, all from one moment store.
+
+    Folds may split entities: a store's unit is an entity within a fold.
+    """
+    unit = df.withColumn("_unit", F.when(F.col(fold).isNotNull(), F.to_json(F.struct(F.col(fold).alias("f"), F.col(entity).alias("e")))))
+    store = MomentStore.build(unit, [t, *outcomes, *numerics], "_unit", cluster, factors)
+    names = [r[0] for r in store.table.select(F.get_json_object("e", "$.f")).distinct().orderBy(F.get_json_object("e", "$.f")).collect()]
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.get_json_object("e", "$.f")).cast("int") - 1
+    folds = store.table.select("e").distinct().select("e", F.array(place).alias("folds"))
+    pairs = {y: (Side(t), Side(y, 0, tuple(c for c in numerics if not (exclude_outcome and c == y)), tuple(factors))) for y in outcomes}
+    found = store.slopes(folds, pairs, len(names), 2, entity=F.get_json_object("e", "$.e"))
+    return found.withColumnRenamed("label", "outcome")
+
+
+#: What the outcome's seed is ahead of the exposure's, so that a repeat splits the groups twice.
+OUTCOME_SEED = 17
 
 
 def repeated_estimates(df: DataFrame, t: str, y: str, numerics: Sequence[str], factors: Sequence[str], cluster: str, entity: str,
-                       seeds: Sequence[int], k: int = 5, fold_unit: str | None = None,
-                       residuals: Callable[..., DataFrame] = linear_residuals) -> DataFrame:
-    """One orthogonal estimate per seeded split of the groups."""
-    parts = []
-    for seed in seeds:
-        unit = fold_unit or entity
-        split = with_folds(df.drop("fold"), random_folds(df, unit, k, seed), unit)
-        res = residuals(split, {t: "_t_res", y: "_y_res"}, numerics, factors, "fold")
-        one = slope_through_origin(res, "_y_res", "_t_res", cluster, entity)
-        parts.append(one.withColumn("seed", F.lit(seed)))
-    return reduce(DataFrame.unionByName, parts)
+                       seeds: Sequence[int], k: int = 5, outcome_seeds: Sequence[int] | None = None) -> DataFrame:
+    """One orthogonal estimate per repeat, with the R-squared of both nuisance models.
+
+    Exposure and outcome are split by seeds of their own.  The rows are read once, into moments per
+    entity; the models and slopes of all repeats are sums over these.
+    """
+    seeds = list(seeds)
+    outcome_seeds = [s + OUTCOME_SEED for s in seeds] if outcome_seeds is None else list(outcome_seeds)
+    store = MomentStore.build(df, [t, y, *numerics], entity, cluster, factors)
+    folds = fold_lists(store.table, "e", k, [*seeds, *outcome_seeds])
+    side = lambda c, split: Side(c, split, tuple(numerics), tuple(factors))
+    pairs = {str(s): (side(t, i), side(y, len(seeds) + i)) for i, s in enumerate(seeds)}
+    return store.slopes(folds, pairs, k).withColumn("seed", F.col("label").cast("long")).drop("label")
 
 
 def repetition_summary(reps: DataFrame) -> DataFrame:
