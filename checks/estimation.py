@@ -17,8 +17,9 @@ from checks.standins import facility_week, sql
 from crestline.operators import expectation, folds, orthogonal as dml, regression as reg
 from crestline.operators.aggregates import replicate_summary
 from crestline.operators.gram import cluster_grams
-from crestline.operators.learners import boosted, fold_sizes, forest
+from crestline.operators.learners import fold_sizes
 from crestline.operators.splines import spline_basis
+from crestline.operators.trees import boosted, forest
 from crestline.operators.windows import demean
 from crestline.plans import panels, suites
 from crestline.session import cut_lineage
@@ -693,17 +694,37 @@ def tree_rows(spark, sf, k=5):
 
 @query("est16_crossfit_forest", "n:i theta:f se:f")
 def _(spark, sf):
-    learner = lambda y: forest(seed=11 if y == "x" else 29)
-    res = suites.tree_residuals(tree_rows(spark, sf), {"x": "tres", "delta": "yres"}, [*NUMERICS, "icu_mean"], ["kind", "yr"], "fold", learner)
+    res = suites.tree_residuals(tree_rows(spark, sf), {"x": "tres", "delta": "yres"}, [*NUMERICS, "icu_mean"], ["kind", "yr"], "fold", forest(seed=11))
     return dml.slope_through_origin(res, "yres", "tres", "state", "hospital_id")
 
 
 @query("est17_crossfit_boosted", "n:i r2:f rmse:f")
 def _(spark, sf):
-    res = suites.tree_residuals(tree_rows(spark, sf), {"delta": "yres"}, NUMERICS, [], "fold", lambda y: boosted(rounds=25))
+    res = suites.tree_residuals(tree_rows(spark, sf), {"delta": "yres"}, NUMERICS, [], "fold", boosted())
     return suites.nuisance_quality(res, {"delta": "yres_hat"})
 
 
+def forest_repeats(spark, sf, seeds, trees):
+    return suites.repeated_tree_estimates(study(spark, sf), "x", "delta", [*NUMERICS, "icu_mean"], ["kind", "yr"], "state", "hospital_id", list(seeds), forest(trees, seed=11))
+
+
+@query("est29_repeated_forest", "seed:i n:i theta:f se:f exposure_r2:f outcome_r2:f")
+def _(spark, sf):
+    return forest_repeats(spark, sf, SEEDS, 300)
+
+
+@query("est30_partially_linear_forest", "theta:f se:f")
+def _(spark, sf):
+    return suites.partially_linear(forest_repeats(spark, sf, PLR_SEEDS, 400))
+
+
+@query("est21_falsification_boosted", "outcome:s n:i theta:f se:f")
+def _(spark, sf):
+    rows = tree_rows(spark, sf)
+    rows = cut_lineage(suites.tree_residuals(rows, {"x": "tres"}, NUMERICS, ["yr"], "fold", boosted()))
+    return suites.falsification(rows, ["pre_mean", "volatility"], "tres", NUMERICS, ["yr"], "fold", "state", "hospital_id", exclude_outcome=True, learner=boosted())
+
+
 @query("est14_fold_sizes", "fold:i test_n:i train_n:i test_entities:i train_entities:i", ssql("study", """
 SELECT fold, sum(n) AS test_n, (SELECT count(*) FROM study) - sum(n) AS train_n, count(*) AS test_entities,
 (SELECT count(DISTINCT hospital_id) FROM study) - count(*) AS train_entities FROM (

@@ -1,92 +1,9 @@
-"""Cross-fitted tree ensembles with fold-wise imputation, on ``pyspark.ml``."""
+"""Sizes of cross-fitting folds."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
-
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from crestline.operators.expectation import left_out_medians
-from crestline.session import cut_lineage
-
-
-def forest(trees: int = 400, min_leaf: int = 20, features: float = 0.7, depth: int = 30, seed: int = 0) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        numTrees=trees, minInstancesPerNode=min_leaf, featureSubsetStrategy=str(features),
-        maxDepth=depth, seed=seed, featuresCol="features",
-    )
-
-
-def boosted(rounds: int = 250, rate: float = 0.05, depth: int = 4, min_leaf: int = 25, seed: int = 0) -> GBTRegressor:
-    return GBTRegressor(
-        maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed,
-        featuresCol="features",
-    )
-
-
-def left_out_modes(df: DataFrame, factors: Sequence[str], fold: str) -> DataFrame:
-    """``(fold, column, level)``: most frequent level in all other folds, the smallest on ties.
-
-    Level counts per fold are small; a fold's training counts are totals minus its own.
-    """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in factors])
-    counts = (
-        df.select(F.col(fold).cast("string").alias("fold"), F.inline(cells))
-        .where(F.col("level").isNotNull())
-        .groupBy("column", "level", "fold").agg(F.count("*").alias("own"))
-    )
-    whole = counts.groupBy("column", "level").agg(F.sum("own").alias("all"))
-    each = whole.withColumn("fold", F.explode(df.agg(F.sort_array(F.collect_set(F.col(fold).cast("string")))).scalar()))
-    net = each.join(counts, ["column", "level", "fold"], "left").withColumn(
-        "n", F.col("all") - F.coalesce("own", F.lit(0))
-    )
-    return net.where("n > 0").groupBy("fold", "column").agg(
-        F.min_by("level", F.struct(-F.col("n"), F.col("level"))).alias("level")
-    )
-
-
-def crossfit(
-    df: DataFrame,
-    target: str,
-    numerics: Sequence[str],
-    factors: Sequence[str],
-    fold: str,
-    out: str,
-    learner: Callable[[], object],
-) -> DataFrame:
-    """Rows with predictions of models trained on the other folds.
-
-    One model per fold, each trained by Spark over all executors; only fold medians, fold modes
-    and the levels of the factors (all small) are read to place the imputation in the plan.
-    """
-    df = cut_lineage(df)
-    medians: dict[str, dict[str, float]] = {}
-    for row in left_out_medians(df, numerics, fold).collect():
-        medians.setdefault(row["fold"], {})[row["column"]] = row["median"]
-    modes: dict[str, dict[str, str]] = {}
-    if factors:
-        for row in left_out_modes(df, factors, fold).collect():
-            modes.setdefault(row["fold"], {})[row["column"]] = row["level"]
-    levels = df.agg(*[F.sort_array(F.collect_set(F.col(f).cast("string"))).alias(f) for f in factors]).first() if factors else {}
-    folds = [r[0] for r in df.select(F.col(fold).cast("string")).distinct().orderBy(fold).collect()]
-    parts = []
-    for k in folds:
-        features = {f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(medians[k].get(c, 0.0))) for c in numerics}
-        for f in factors:
-            level = F.coalesce(F.col(f).cast("string"), F.lit(modes[k].get(f)))
-            features |= {f"_x_{f}_{i}": (level == v).cast("double") for i, v in enumerate(levels[f])}
-        ready = df.withColumns(features)
-        stages = [VectorAssembler(inputCols=list(features), outputCol="features"),
-                  learner().setLabelCol(target).setPredictionCol(out)]
-        own = F.col(fold).cast("string") == k
-        model = Pipeline(stages=stages).fit(ready.where(~own & F.col(target).isNotNull()))
-        parts.append(model.transform(ready.where(own)).drop("features", *features))
-    return reduce(DataFrame.unionByName, parts)
-
 
 def fold_sizes(df: DataFrame, fold: str, entity: str) -> DataFrame:
     """``(fold, test_n, train_n, test_entities, train_entities)`` from counts per fold."""

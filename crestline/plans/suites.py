@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,13 +15,13 @@ from crestline.operators.expectation import left_out_linear
 from crestline.operators.folds import balanced_folds, fold_lists, with_folds
 from crestline.operators.gram import cluster_grams
 from crestline.operators.joins import week_scaffold
-from crestline.operators.learners import crossfit
 from crestline.operators.moments import MomentStore, Side
 from crestline.operators.quantiles import exact_quantiles
 from crestline.operators.orthogonal import (
     balance, median_of_repetitions, per_sd, slope_through_origin, support,
 )
 from crestline.operators.regression import Fit, Regression, absorb, estimates_frame, wald
+from crestline.operators.trees import Ensemble, Model, crossfit_trees
 from crestline.operators.windows import collapse_rare, zscore
 from crestline.session import cut_lineage
 
@@ -178,21 +178,37 @@ def linear_residuals(df: DataFrame, targets: dict[str, str], numerics: Sequence[
 
 
 def tree_residuals(df: DataFrame, targets: dict[str, str], numerics: Sequence[str], factors: Sequence[str], fold: str,
-                   learner: Callable[[str], object]) -> DataFrame:
-    """Rows with cross-fitted residuals of a tree ensemble; ``learner`` builds one per target."""
-    out = df
-    for y, name in targets.items():
-        out = crossfit(out, y, numerics, factors, fold, f"{name}_hat", lambda y=y: learner(y))
-        out = out.withColumn(name, F.col(y) - F.col(f"{name}_hat"))
-    return out
+                   learner: Ensemble, k: int = 5) -> DataFrame:
+    """Rows with cross-fitted residuals ``target -> name`` of a tree ensemble, all targets grown together."""
+    models = [Model(f"{name}_hat", y) for y, name in targets.items()]
+    out = crossfit_trees(df.withColumn("_f", F.array(fold)), models, numerics, factors, "_f", k, learner).drop("_f")
+    return out.withColumns({name: F.col(y) - F.col(f"{name}_hat") for y, name in targets.items()})
+
+
+def repeated_tree_estimates(df: DataFrame, t: str, y: str, numerics: Sequence[str], factors: Sequence[str], cluster: str, entity: str,
+                            seeds: Sequence[int], learner: Ensemble, k: int = 5, outcome_seeds: Sequence[int] | None = None) -> DataFrame:
+    """``repeated_estimates`` with tree nuisance models: the trees of all repeats, folds and both targets grow together."""
+    seeds = list(seeds)
+    outcome_seeds = [s + OUTCOME_SEED for s in seeds] if outcome_seeds is None else list(outcome_seeds)
+    use = cut_lineage(df.dropna(subset=[t, y, cluster, entity]))
+    split = use.join(fold_lists(use, entity, k, [*seeds, *outcome_seeds], "_folds_of"), entity)
+    models = [Model(f"_t{i}", t, i) for i in range(len(seeds))] + [Model(f"_y{i}", y, len(seeds) + i) for i in range(len(seeds))]
+    made = crossfit_trees(split, models, numerics, factors, "_folds_of", k, learner)
+    each = F.array(*[F.struct(F.lit(s).cast("long").alias("seed"), F.col(f"_t{i}").alias("_th"), F.col(f"_y{i}").alias("_yh")) for i, s in enumerate(seeds)])
+    long = cut_lineage(made.select(F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"), F.col(cluster).alias("_c"), F.col(entity).alias("_e"), F.inline(each)))
+    long = long.withColumns({"_tr": F.col("_t") - F.col("_th"), "_yr": F.col("_y") - F.col("_yh")}).where("_tr IS NOT NULL AND _yr IS NOT NULL")
+    r2 = lambda res, c: (1 - F.try_divide(F.sum(F.col(res) * F.col(res)), F.regr_sxx(F.col(c), F.col(c))))
+    quality = long.groupBy("seed").agg(r2("_tr", "_t").alias("exposure_r2"), r2("_yr", "_y").alias("outcome_r2"))
+    return slope_through_origin(long, "_yr", "_tr", "_c", "_e", ["seed"]).join(quality, "seed")
 
 
 def orthogonal_suite(df: DataFrame, t: str, y: str, cluster: str, entity: str, covariates: Sequence[str],
                      prob: float = 0.99, outcomes: Sequence[str] = (), numerics: Sequence[str] = (), factors: Sequence[str] = (),
-                     fold: str = "fold", nuisance: dict[str, str] | None = None, audit: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> dict[str, DataFrame]:
+                     fold: str = "fold", nuisance: dict[str, str] | None = None, audit: Sequence[float] = (0.5, 0.9, 0.95, 0.99),
+                     learner: Ensemble | None = None) -> dict[str, DataFrame]:
     """All parts of the suite from two residual columns: main estimate, estimate on common support, exposure
     balance, quantiles of the absolute exposure residual with the share kept; with ``outcomes`` their
-    falsification, with ``nuisance`` (target -> prediction) the quality of the nuisance models."""
+    falsification (by linear models or by ``learner``), with ``nuisance`` (target -> prediction) the quality of the nuisance models."""
     exposed = df.where(F.col(t).isNotNull()).withColumn("_abs", F.abs(F.col(t)))
     main = per_sd(slope_through_origin(df, y, t, cluster, entity))
     trimmed = per_sd(slope_through_origin(support(exposed, t, prob), y, t, cluster, entity))
@@ -201,18 +217,25 @@ def orthogonal_suite(df: DataFrame, t: str, y: str, cluster: str, entity: str, c
     overlap = exposed.agg(*[F.avg((F.col("_abs") <= F.lit(cuts.get(p))).cast("double")).alias(f"_k{i}") for i, p in enumerate(audit)]).select(F.inline(kept))
     parts = {"main": main, "support": trimmed, "balance": balance(df, covariates, [t], cluster, entity), "overlap": overlap}
     if outcomes:
-        parts["falsification"] = falsification(df, outcomes, t, numerics, factors, fold, cluster, entity, exclude_outcome=True)
+        parts["falsification"] = falsification(df, outcomes, t, numerics, factors, fold, cluster, entity, exclude_outcome=True, learner=learner)
     if nuisance:
         parts["nuisance"] = nuisance_quality(df, nuisance)
     return parts
 
 
 def falsification(df: DataFrame, outcomes: Sequence[str], t: str, numerics: Sequence[str], factors: Sequence[str], fold: str,
-                  cluster: str, entity: str, exclude_outcome: bool = False) -> DataFrame:
-    """Orthogonal estimates for outcomes that the exposure cannot have changed, all from one moment store.
+                  cluster: str, entity: str, exclude_outcome: bool = False, learner: Ensemble | None = None, k: int = 5) -> DataFrame:
+    """Orthogonal estimates for outcomes that the exposure cannot have changed, by linear models, all from one
+    moment store, or by a tree ensemble.
 
     Folds may split entities: a store's unit is an entity within a fold.
     """
+    if learner is not None:
+        parts = []
+        for y in outcomes:
+            res = tree_residuals(df, {y: "_y_res"}, [c for c in numerics if not (exclude_outcome and c == y)], factors, fold, learner, k)
+            parts.append(slope_through_origin(res, "_y_res", t, cluster, entity).withColumn("outcome", F.lit(y)))
+        return reduce(DataFrame.unionByName, parts)
     unit = df.withColumn("_unit", F.when(F.col(fold).isNotNull(), F.to_json(F.struct(F.col(fold).alias("f"), F.col(entity).alias("e")))))
     store = MomentStore.build(unit, [t, *outcomes, *numerics], "_unit", cluster, factors)
     names = [r[0] for r in store.table.select(F.get_json_object("e", "$.f")).distinct().orderBy(F.get_json_object("e", "$.f")).collect()]

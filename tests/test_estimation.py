@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from crestline.functions import tails
 from crestline.operators import expectation, folds, orthogonal as dml, regression as reg
 from crestline.operators.gram import cluster_grams
-from crestline.operators.learners import crossfit, forest
 
 
 @pytest.fixture(scope="module")
@@ -154,11 +153,6 @@ def test_orthogonal_slope_ignores_order(spark, data):
     assert a["p_value"] == pytest.approx(tails.normal_two_sided(a["stat"]))
 
 
-def test_forest_predicts_every_row(spark, data):
-    d = data.assign(fold=data.ent % 3)
-    out = crossfit(spark.createDataFrame(d), "y", ["x", "c"], ["q"], "fold", "p", lambda: forest(trees=3, depth=4)).toPandas()
-    assert len(out) == len(d) and np.isfinite(out["p"]).all()
-
 
 def test_tails():
     assert tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
