@@ -106,14 +106,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", share
     """
     named = docs.select(F.col(key).alias("d"), F.coalesce(text, F.lit("")).alias("t"))
     named = named.withColumn("h", F.xxhash64("t")).withColumn("k", F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("d").cast("string"), F.lit("")), "t"), 256)))
-    light = named.groupBy("k").agg(F.first("d").alias("d"), F.first("h").alias("h"), F.first(F.length("t")).alias("n"), F.count("*").alias("copies"))
+    light = named.groupBy("k").agg(F.first("d").alias("d"), F.first("h").alias("h"), F.first(F.length("t")).alias("n"))
     light = staged(light.withColumn("last", F.col("d").isNull()), "keys")
-    after = successors(light.select("k", "d", "h", "last", "n"), ["last", "d", "h", "k"], "k")
+    after = successors(light.select("k", "d", "h", "last"), ["last", "d", "h", "k"], "k")
     # what a document owes to the one before it
-    owed = after.join(light.select("k", F.floor(F.col("n") / share).cast("int").alias("need")), "k").select(F.col("next").alias("k"), F.col("k").alias("to"), "need")
-    texts = named.select("k", "d", "t", signatures(F.col("t")).alias("s"))
-    given = texts.join(owed, "k").select(F.col("to").alias("k"), F.substring("t", F.lit(1), F.col("need")).alias("given"), F.col("s").alias("next_s"), "need")
-    given = given.groupBy("k").agg(*[F.first(c).alias(c) for c in ("given", "next_s", "need")])
+    need = light.select("k", "d", F.floor(F.col("n") / share).cast("int").alias("need"))
+    owed = after.join(need, "k").select(F.col("next").alias("k"), F.struct("k", "d", "need").alias("to"))
+    # both joins read these columns and no others, so that they share one exchange of the texts
+    texts = named.select("k", "t", signatures(F.col("t")).alias("s"))
+    given = texts.join(owed, "k").select("to.*", F.substring("t", F.lit(1), F.col("to.need")).alias("given"), F.col("s").alias("next_s"))
+    given = given.groupBy("k").agg(*[F.first(c).alias(c) for c in ("d", "given", "next_s", "need")])
     both = texts.join(given, "k").withColumn("n", F.length("t"))
     both = both.withColumn("edited", F.concat(F.substring("t", F.lit(1), F.col("n") - F.col("need")), "given"))
     both = both.withColumn("e", signatures(F.col("edited")))
