@@ -65,6 +65,12 @@ def _(spark, sf):
     return matching.match_names(left, right, "brand", "id", "rid", "name", "city", scorer="edit_set")
 
 
+@query("join11_token_set_match", "id:i matched_id:i matched_city:s score:f second_score:f score_gap:f match_ok:b reason:s")
+def _(spark, sf):
+    left, right = names(spark, sf)
+    return matching.match_names(left, right, "brand", "id", "rid", "name", "city")
+
+
 # --- controls ---------------------------------------------------------------------------------
 
 AXES = ["occupancy_mean", "occupancy_slope", "staffed_beds_mean"]

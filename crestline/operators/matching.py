@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
@@ -15,22 +15,76 @@ from crestline.operators.joins import window_join
 from crestline.operators.quantiles import exact_quantiles
 from crestline.session import cut_lineage
 
+#: Stretches of letters that are searched side by side.
+STRETCHES = 4096
 RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "  # fixed value: letters from rare to common in English
 
 
-def token_set_score(a: str, b: str) -> float:
-    """0-100: best sequence ratio among the sorted token strings and their common part."""
-    left, right = set(a.split()), set(b.split())
-    if not left or not right:
-        return 100.0 if left == right else 0.0
-    strings = [" ".join(sorted(s)) for s in (left & right, left, right)]
-    pairs = [(1, 2)] + ([(0, 1), (0, 2)] if strings[0] else [])
-    return 100.0 * max(SequenceMatcher(None, strings[i], strings[j]).ratio() for i, j in pairs)
+def common_letters(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Letters in matching blocks of each pair, for many pairs at once.
+
+    The longest common run of letters is a block (the earliest on the left, then on the right), and
+    so on in what lies before it on both sides and after it on both sides.  All open stretches of
+    all pairs are one array: a step extends every run that ends at a letter of the left by one.
+    """
+    total = np.zeros(len(left), np.int64)
+    if not len(left):
+        return total
+    letters = [_padded(side, pad) for side, pad in ((left, -1), (right, -2))]
+    spans = np.array([(k, 0, len(a), 0, len(b)) for k, (a, b) in enumerate(zip(left, right, strict=True)) if a and b], np.int64).reshape(-1, 5)
+    while len(spans):
+        spans = spans[np.argsort(spans[:, 2] - spans[:, 1], kind="stable")]
+        found = [_longest_runs(letters, spans[first : first + STRETCHES]) for first in range(0, len(spans), STRETCHES)]
+        size, i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+        spans, size, i, j = spans[size > 0], size[size > 0], i[size > 0], j[size > 0]
+        np.add.at(total, spans[:, 0], size)
+        pair, a0, a1, b0, b1 = spans.T
+        spans = np.concatenate([np.column_stack([pair, a0, i, b0, j]), np.column_stack([pair, i + size, a1, j + size, b1])])
+        spans = spans[(spans[:, 1] < spans[:, 2]) & (spans[:, 3] < spans[:, 4])]
+    return total
+
+
+def _padded(texts: Sequence[str], pad: int) -> np.ndarray:
+    out = np.full((len(texts), max(1, max(map(len, texts)))), pad, np.int64)
+    for k, text in enumerate(texts):
+        out[k, : len(text)] = [ord(c) for c in text]
+    return out
+
+
+def _longest_runs(letters: list[np.ndarray], spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length and both starts of the longest common run of each stretch."""
+    pair, a0, a1, b0, b1 = spans.T
+    here = np.arange(int((b1 - b0).max()))
+    at = b0[:, None] + here
+    b = np.where(at < b1[:, None], letters[1][pair[:, None], np.minimum(at, letters[1].shape[1] - 1)], -2)
+    run, best = np.zeros((len(spans), len(here) + 1), np.int64), np.zeros((3, len(spans)), np.int64)
+    for step in range(int((a1 - a0).max())):
+        a = np.where(a0 + step < a1, letters[0][pair, np.minimum(a0 + step, letters[0].shape[1] - 1)], -1)
+        run[:, 1:] = np.where(b == a[:, None], run[:, :-1] + 1, 0)
+        end = run.argmax(axis=1)
+        size = run[np.arange(len(run)), end]
+        longer = size > best[0]
+        best[:, longer] = np.stack([size, a0 + step + 1 - size, b0 + end - size])[:, longer]
+    return best[0], best[1], best[2]
 
 
 @F.pandas_udf(DoubleType())
-def token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_score(x, y) for x, y in zip(a, b)])
+def block_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """0-100: twice the letters in matching blocks over all letters, worked out for a batch of pairs at once."""
+    both = a.str.len() + b.str.len()
+    return (200.0 * common_letters(a.tolist(), b.tolist()) / both.where(both > 0, 1)).where(both > 0, 100.0)
+
+
+def token_set_score(a: Column, b: Column) -> Column:
+    """0-100: best block score among the sorted token strings and what they have in common.
+
+    Token sets are compared in the JVM.  Only pairs of names that differ are scored, and the common
+    part only where its length lets it beat the whole names.
+    """
+    common = F.array_join(F.array_intersect(F.split(a, " "), F.split(b, " ")), " ")
+    whole = F.when(a == b, 100.0).when((a == "") | (b == ""), 0.0).otherwise(block_score(a, b))
+    share = lambda s: F.when((common != "") & (a != b), block_score(common, s)).otherwise(0.0)
+    return F.greatest(whole, share(a), share(b))
 
 
 def edit_score(a: Column, b: Column) -> Column:
@@ -140,7 +194,7 @@ def match_names(
     def top_two(pairs: DataFrame, least: float) -> DataFrame:
         if scorer == "token_set":
             # scoring is heavy per pair while pairs are short: spread them by left name, not by bytes
-            pairs, base = pairs.repartition(tasks, *key), token_set_udf("l_sorted", "r_sorted")
+            pairs, base = pairs.repartition(tasks, *key), token_set_score(F.col("l_sorted"), F.col("r_sorted"))
         else:
             base = (edit_set_score if scorer == "edit_set" else edit_score)(F.col("l_sorted"), F.col("r_sorted"))
         scored = pairs.withColumn("_score", base)
