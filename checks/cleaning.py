@@ -109,8 +109,9 @@ def _(spark, sf):
 @query("src6_stage_reuse", "state:s n:i", sql("fw", "SELECT state, count(*) AS n FROM fw GROUP BY 1"))
 def _(spark, sf):
     path = scratch(spark, "stage")
-    first = readers.stage(facility_week(spark, sf).groupBy("state").agg(F.count("*").alias("n")), path)
-    return readers.stage(first, path)
+    made = facility_week(spark, sf).groupBy("state").agg(F.count("*").alias("n"))
+    readers.stage(made, path, {"by": "state"})
+    return readers.stage(made, path, {"by": "state"})
 
 
 PROFILE = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
