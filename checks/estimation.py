@@ -199,26 +199,30 @@ WALD = {"w0": ("study", demeaned("study", ["x", "pre_mean", "delta"], "hospital_
 WALD_SQL = """
 SELECT n, (b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) / (v11 * v22 - v12 * v12) AS stat FROM (
 SELECT n, b1, b2, f * m11 / a1 / a1 AS v11, f * m22 / a2 / a2 AS v22, f * m12 / a1 / a2 AS v12 FROM (
-SELECT sum(c) AS n, count(*) / (count(*) - 1.0) * (sum(c) - 1.0) / (sum(c) - 2.0) AS f, any_value(b1) AS b1, any_value(b2) AS b2, any_value(a1) AS a1, any_value(a2) AS a2,
+SELECT sum(c) AS n, count(*) / (count(*) - 1.0) * (sum(c) - 1.0) / (sum(c) - {k}.0) AS f, any_value(b1) AS b1, any_value(b2) AS b2, any_value(a1) AS a1, any_value(a2) AS a2,
 sum((y1 - b1 * s11 - b2 * s12) ** 2) AS m11, sum((y2 - b1 * s12 - b2 * s22) ** 2) AS m22, sum((y1 - b1 * s11 - b2 * s12) * (y2 - b1 * s12 - b2 * s22)) AS m12 FROM (
 SELECT t.*, sum(y1) OVER () / sum(s11) OVER () AS b1, sum(y2) OVER () / sum(s22) OVER () AS b2, sum(s11) OVER () AS a1, sum(s22) OVER () AS a2 FROM (
 SELECT state, count(*) AS c, sum(v0 * yv) AS y1, sum(v1 * yv) AS y2, sum(v0 * v0) AS s11, sum(v1 * v1) AS s22, sum(v0 * v1) AS s12 FROM (
 SELECT state, v0, v1, {y} AS yv FROM {src}) GROUP BY 1) t)))"""
 
 
-@query("est9_joint_wald", "n:i stat:f", ssql("w1 w0", WALD_SQL.format(y="y0", src="(SELECT a.*, b.v2 AS y0 FROM w1 a JOIN w0 b USING (hospital_id, signal_week))"), WALD))
+@query("est9_joint_wald", "n:i stat:f", ssql("w1 w0", WALD_SQL.format(k=2, y="y0", src="(SELECT a.*, b.v2 AS y0 FROM w1 a JOIN w0 b USING (hospital_id, signal_week))"), WALD))
 def _(spark, sf):
     model = reg.Regression(cluster_grams(study(spark, sf), ["delta", "x", "pre_mean"], "state", "hospital_id"))
     fit = model.fit("delta", ["x", "pre_mean"])
     return spark.createDataFrame([(fit.n, reg.wald(fit, ["x", "pre_mean"])["stat"])], "n long, stat double")
 
 
-@query("est10_rank_subset", "kept:s", "SELECT unnest(['x', 'pre_mean', 'adm_mean']) AS kept")
+RANKED = ["x", "pre_mean", "twice", "adm_mean"]
+RANK = {"rk": ("study", "SELECT *, x * 2 - pre_mean AS twice FROM study"), "rk0": ("rk", demeaned("rk", [*RANKED, "delta"], "hospital_id", EP)), **orthogonal("rk", "rk0", 5, 3, EP)}
+
+
+@query("est10_rank_subset", "term:s kept:b within:f4", ssql("rk0 rk1 rk2 rk3", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS term, sum(v{i} * v{i}) > 1e-10 * (SELECT sum(v{i} * v{i}) FROM rk0) AS kept, sum(v{i} * v{i}) AS within FROM rk{i}" for i, c in enumerate(RANKED)), RANK))
 def _(spark, sf):
     rows = study(spark, sf).withColumn("twice", F.col("x") * 2 - F.col("pre_mean"))
-    model = reg.Regression(cluster_grams(rows, ["delta", "x", "pre_mean", "twice", "adm_mean"], "state", "hospital_id"))
-    kept = model.full_rank_subset(["x", "pre_mean", "twice", "adm_mean"])
-    return spark.createDataFrame([(k,) for k in kept], "kept string")
+    model = reg.Regression(cluster_grams(rows, ["delta", *RANKED], "state", "hospital_id"))
+    return spark.createDataFrame([(c, k, v) for c, v, k in model.net_variances(RANKED)], "term string, kept boolean, within double")
 
 
 @query("est11_varying_controls", "control:s kept:b within:f3", ssql("study", """
@@ -345,9 +349,9 @@ def _(spark, sf):
 
 
 @query("est20_support_trimming", "n:i theta:f se:f", ssql("sup", origin_sql("sup", "yres", "tres"), {
-    **CROSS, "sup": ("res", "SELECT * FROM res WHERE abs(tres) <= (SELECT quantile_cont(abs(tres), 0.9) FROM res)")}))
+    **CROSS, "sup": ("res", "SELECT * FROM res WHERE abs(tres) <= (SELECT quantile_cont(abs(tres), 0.99) FROM res)")}))
 def _(spark, sf):
-    rows = dml.support(cut_lineage(residuals(spark, sf)), "tres", 0.9)
+    rows = dml.support(cut_lineage(residuals(spark, sf)), "tres", 0.99)
     return dml.slope_through_origin(rows, "yres", "tres", "state", "hospital_id")
 
 
@@ -411,12 +415,14 @@ def _(spark, sf):
     return suites.continuous_heterogeneity(residuals(spark, sf), ["pre_mean"], "tres", "yres", "state")
 
 
-CAT = {**CROSS, "big": ("res", "SELECT state, tres, yres, CASE WHEN yr < '1997' THEN 'early' WHEN yr < '1999' THEN 'mid' ELSE 'recent' END AS era FROM res"),
-       "cj": ("big", "SELECT state, CASE WHEN era = 'mid' THEN tres ELSE 0 END AS a, CASE WHEN era = 'recent' THEN tres ELSE 0 END AS b, tres, yres FROM big")}
+CAT = {**CROSS, "big": ("res", "SELECT state, hospital_id, signal_week, tres, yres, CASE WHEN yr < '1997' THEN 'early' WHEN yr < '1999' THEN 'mid' ELSE 'recent' END AS era FROM res"),
+       "cj0": ("big", demeaned("big", ["tres", "CASE WHEN era = 'mid' THEN tres ELSE 0 END", "CASE WHEN era = 'recent' THEN tres ELSE 0 END", "yres"], None, ["state", *EP])),
+       **orthogonal("cj", "cj0", 4, 2, ["state", *EP])}
+CAT_JOINT = WALD_SQL.format(k=3, y="y0", src="(SELECT a.state, a.v1 AS v0, a.v2 AS v1, b.v3 AS y0 FROM cj2 a JOIN cj1 b USING (hospital_id, signal_week))")
 
 
-@query("est26_categorical_heterogeneity", "level:s n:i theta:f", ssql("big", """
-SELECT era AS level, (SELECT count(*) FROM big) AS n, sum(tres * yres) / sum(tres * tres) AS theta FROM big GROUP BY 1""", CAT))
+@query("est26_categorical_heterogeneity", "level:s n:i theta:f joint_stat:f5", ssql("big cj1 cj2", f"""
+SELECT era AS level, (SELECT count(*) FROM big) AS n, sum(tres * yres) / sum(tres * tres) AS theta, any_value(j.stat) AS joint_stat FROM big, ({CAT_JOINT}) j GROUP BY 1""", CAT))
 def _(spark, sf):
     era = F.when(F.col("yr") < "1997", "early").when(F.col("yr") < "1999", "mid").otherwise("recent")
     return suites.categorical_heterogeneity(residuals(spark, sf).withColumn("era", era), "era", "tres", "yres", "state")
@@ -442,7 +448,14 @@ def _(spark, sf):
     return dml.robustness(dml.robustness(out, 1.0, 1.0, prefix="rv"), 0.5, 1.0, prefix="rv_half")
 
 
-@query("est28_robustness_value_alpha", "rv05:f rv05_extreme:f")
+#: Two-sided 5 % quantiles of Student's t by degrees of freedom.
+T05 = {10: 2.228138851964939, 15: 2.131449545559323, 20: 2.085963447265837, 21: 2.079613844727662, 22: 2.073873067904015, 23: 2.068657610419041, 24: 2.063898561628021}
+
+
+@query("est28_robustness_value_alpha", "rv05:f rv05_extreme:f", ssql("res", f"""
+SELECT CASE WHEN f < c THEN 0 WHEN f > 1 / c THEN extreme ELSE 2 / (1 + sqrt(1 + 4 / ((f - c) * (f - c)))) END AS rv05, extreme AS rv05_extreme FROM (
+SELECT *, CASE WHEN f <= c THEN 0 ELSE (f * f - c * c) / (1 + f * f) END AS extreme FROM (
+SELECT abs(stat) / sqrt(dof) AS f, CASE CAST(dof - 1 AS INT) {' '.join(f'WHEN {d} THEN {t}' for d, t in T05.items())} END / sqrt(dof - 1) AS c FROM ({SENS})))""", CROSS))
 def _(spark, sf):
     out = dml.slope_through_origin(residuals(spark, sf), "yres", "tres", "state", "hospital_id")
     return dml.robustness(out.withColumn("dof", (F.col("clusters") - 1).cast("double")), 1.0, 0.05, prefix="rv05")

@@ -12,16 +12,19 @@ import hashlib
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crestline.functions.tails import chi2_upper, normal_two_sided, t_two_sided
-from crestline.operators.gram import ClusterGrams, cluster_grams, reduce_arrays, unpack
+from crestline.operators.gram import ClusterGrams, cluster_grams, reduce_arrays, triangle, unpack
 from crestline.operators.windows import demean
 from crestline.session import cut_lineage
 
+#: Entries of a cluster's matrix up to which left-out errors come from summed outer products; models of a block beyond.
+SQUARES, MODELS = 800, 512
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
 
 ESTIMATES = (
@@ -147,14 +150,23 @@ class Regression:
 
     # -- designs ---------------------------------------------------------------------------
 
+    def net_variances(self, columns: Sequence[str]) -> list[tuple[str, float, bool]]:
+        """Columns in order, with what is left of each one's sum of squares net of the absorbed effects and of the
+        columns kept before it, and whether it is kept: one Cholesky factorisation that leaves out dependent columns."""
+        idx = self.grams.index(columns)
+        net = project(self.total.gram, int(idx[0]), idx, self.grams.absorbed).xx.copy()
+        whole, out = np.diag(net).copy(), []
+        for q, c in enumerate(columns):
+            left = max(float(net[q, q]), 0.0)
+            keep = left > 1e-10 * whole[q] and whole[q] > 1e-20 * self.total.n
+            out.append((c, left * self.grams.scale[c] ** 2, bool(keep)))
+            if keep:
+                net -= np.outer(net[:, q], net[q]) / net[q, q]
+        return out
+
     def varying(self, columns: Sequence[str]) -> list[str]:
         """Columns with variance left after the absorbed effects."""
-        keep = []
-        for c in columns:
-            net = project(self.total.gram, int(self.grams.index([c])[0]), np.array([], int), self.grams.absorbed)
-            if float(net.y @ self.total.gram @ net.y) > 1e-20 * self.total.n:
-                keep.append(c)
-        return keep
+        return [c for c in columns if self.net_variances([c])[0][2]]
 
     def rank(self, columns: Sequence[str]) -> int:
         idx = self.grams.index(columns)
@@ -162,11 +174,7 @@ class Regression:
 
     def full_rank_subset(self, columns: Sequence[str]) -> list[str]:
         """Columns in order, each kept when it adds to the rank."""
-        keep: list[str] = []
-        for c in columns:
-            if self.rank([*keep, c]) > len(keep):
-                keep.append(c)
-        return keep
+        return [c for c, _, kept in self.net_variances(columns) if kept]
 
     def _projection(self, outcome: str, regressors: Sequence[str], gram: np.ndarray | None = None) -> Projection:
         g = self.grams
@@ -245,41 +253,72 @@ class Regression:
         schema = "excluded string, n long, entities long, coef double, se double, p_value double"
         if not g.nested:
             return self._refit_each(outcome, regressors, schema)
-        y, x, absorbed = int(g.index([outcome])[0]), g.index(regressors), g.absorbed
-        gram_all = t.gram
+        used = np.concatenate([g.index([outcome]), g.index(regressors), g.absorbed]).astype(int)
+        x, absorbed, gram_all = np.arange(1, 1 + k), np.arange(1 + k, len(used)), t.gram[np.ix_(used, used)]
+        i, j = triangle(len(used))
+        clusters, n_all, e_all, back = t.clusters, t.n, t.entities, float(self._back(outcome, regressors)[0])
+
+        def own(p, v) -> np.ndarray:
+            return unpack(p, v, width)[np.ix_(used, used)]
+
+        # (a' G r)^2 over all clusters is a quadratic form of the sum of outer products of their matrices
+        spread = len(i) <= SQUARES
+
+        def part(b: pd.DataFrame) -> dict[str, np.ndarray]:
+            flat = np.array([own(p, v)[i, j] for p, v in zip(b["pos"], b["val"])]).reshape(-1, len(i))
+            return {"t": flat.T @ flat}
+
+        squares = reduce_arrays(g.table, part)["t"].reshape(len(i), len(i)) if spread else None
 
         def solve(batches):
             for b in batches:
                 rows = []
                 for c, n, e, p, v in zip(b["c"], b["n"], b["entities"], b["pos"], b["val"]):
-                    plan = project(gram_all - unpack(p, v, width), y, x, absorbed)
-                    rows.append((c, n, e, float(plan.beta[0]), list(plan.x @ plan.bread[0]), list(plan.residual)))
-                yield pd.DataFrame(rows, columns=["c", "n", "e", "beta", "a", "r"])
-
-        left = g.table.mapInPandas(solve, "c string, n long, e long, beta double, a array<double>, r array<double>").toPandas()
-        if left.empty:
-            return spark.createDataFrame([], schema)
-        names = {c: i for i, c in enumerate(left["c"])}
-        a, r = np.array(left["a"].tolist()), np.array(left["r"].tolist())
-
-        def part(b: pd.DataFrame) -> dict[str, np.ndarray]:
-            q = np.zeros(len(names))
-            for c, p, v in zip(b["c"], b["pos"], b["val"]):
-                s = np.einsum("ij,ij->i", a @ unpack(p, v, width), r) ** 2
-                s[names[c]] = 0.0
-                q += s
-            return {"q": q}
-
-        q = reduce_arrays(g.table, part)["q"]
-        back = float(self._back(outcome, regressors)[0])
-        rows = []
-        for i, c in enumerate(left["c"]):
-            n, e = t.n - int(left["n"][i]), t.entities - int(left["e"][i])
-            beta = float(left["beta"][i]) * back
-            var = q[i] * small_sample(t.clusters - 1, n, k) if t.clusters > 2 else float("nan")
-            se = math.sqrt(var) * back
-            rows.append((c, n, e, beta, se, normal_two_sided(beta / se) if se > 0 else None))
-        return spark.createDataFrame(rows, schema)
+                    mine = own(p, v)
+                    plan = project(gram_all - mine, 0, x, absorbed)
+                    left = plan.x @ plan.bread[0]
+                    pairs = np.outer(left, plan.residual)
+                    weight = pairs[i, j] + np.where(i != j, pairs[j, i], 0.0)
+                    q = float(weight @ squares @ weight) - float(weight @ mine[i, j]) ** 2 if spread else np.nan
+                    beta = float(plan.beta[0]) * back
+                    var = max(q, 0.0) * small_sample(clusters - 1, n_all - n, k) if clusters > 2 else np.nan
+                    se = math.sqrt(var) * back if var == var else np.nan
+                    rows.append((c, n_all - n, e_all - e, beta, se if se == se else None, normal_two_sided(beta / se) if se > 0 else None, list(left), list(plan.residual)))
+                yield pd.DataFrame(rows, columns=["excluded", "n", "entities", "coef", "se", "p_value", "a", "r"])
+
+        found = cut_lineage(g.table.mapInPandas(solve, f"{schema}, a array<double>, r array<double>"))
+        if spread:
+            return found.drop("a", "r")
+        return self._wide_errors(found, own, back, k).select(*found.columns[:6])
+
+    def _wide_errors(self, found: DataFrame, own, back: float, k: int) -> DataFrame:
+        """Errors of left-out fits of designs too wide for squared moments: scores of every model, models in blocks.
+
+        A block of models goes to the clusters, each task adds its squared scores, and only these sums come back.
+        """
+        t, spark = self.total, found.sparkSession
+        block = F.pmod(F.xxhash64("excluded"), F.lit(max(1, -(-t.clusters // MODELS))))
+        parts = []
+        for (number,) in found.select(block).distinct().collect():
+            some = found.where(block == number).select("excluded", "n", "coef", "a", "r").toPandas()
+            a, r, names = np.array(some["a"].tolist()), np.array(some["r"].tolist()), {c: q for q, c in enumerate(some["excluded"])}
+
+            def part(b: pd.DataFrame, a=a, r=r, names=names) -> dict[str, np.ndarray]:
+                q = np.zeros(len(names))
+                for c, p, v in zip(b["c"], b["pos"], b["val"]):
+                    s = np.einsum("ij,ij->i", a @ own(p, v), r) ** 2
+                    s[names.get(c, [])] = 0.0
+                    q += s
+                return {"q": q}
+
+            q = reduce_arrays(self.grams.table, part)["q"]
+            rows = []
+            for c, n, coef, value in zip(some["excluded"], some["n"], some["coef"], q):
+                se = math.sqrt(value * small_sample(t.clusters - 1, int(n), k)) * back if t.clusters > 2 else None
+                rows.append((c, se, normal_two_sided(coef / se) if se else None))
+            parts.append(spark.createDataFrame(rows, "excluded string, se double, p_value double"))
+        errors = reduce(DataFrame.unionByName, parts)
+        return found.drop("se", "p_value").join(errors, "excluded")
 
     def _refit_each(self, outcome: str, regressors: Sequence[str], schema: str) -> DataFrame:
         g, rows = self.grams, []
