@@ -25,6 +25,8 @@ SIZE, PART = 100, 32
 CHUNK_BYTES, PARTITION_BYTES = 1 << 20, 32 << 20
 #: Pieces of an anchor from which on they are split and dealt apart; pieces laid out together.
 HOT, BLOCK = 1 << 16, 1 << 14
+#: In a packed place: the chunk holds the anchor several times.
+KNOWN = 1 << 62
 
 
 def part_values(data: np.ndarray) -> np.ndarray:
@@ -94,8 +96,7 @@ def _anchor_rows(size: int):
                 dealt = np.concatenate([np.where(known, apart, value), once]).astype(np.int64)
                 yield pa.record_batch({
                     "k": pa.array(dealt), "h": pa.array(h, mask=h == dealt),
-                    "id": pa.array(np.concatenate([ids, np.zeros(len(once), np.int64)])), "p": pa.array(np.concatenate([packed, np.full(len(once), -1)])),
-                    "known": pa.array(np.concatenate([known, np.ones(len(once), bool)])),
+                    "id": pa.array(np.concatenate([ids, np.zeros(len(once), np.int64)])), "p": pa.array(np.concatenate([np.where(known, packed | KNOWN, packed), np.full(len(once), -1)])),
                 })
 
     return emit
@@ -103,22 +104,23 @@ def _anchor_rows(size: int):
 
 def _repeated_only(batches):
     """Of a partition's anchors those whose value is there more than once, or is known to repeat."""
-    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("k", "h", "id", "p", "known")}
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("k", "h", "id", "p")}
     for batch in batches:
         for c, held in columns.items():
             values = pc.coalesce(batch.column("h"), batch.column("k")) if c == "h" else batch.column(c)
             held.append(values.to_numpy(zero_copy_only=False))
     if not columns["h"]:
         return
-    k, h, ids, p, known = (np.concatenate(v) for v in columns.values())
+    k, h, ids, p = (np.concatenate(v) for v in columns.values())
     order = np.argsort(k, kind="stable")
-    k, h, ids, p, known = k[order], h[order], ids[order], p[order], known[order]
+    k, h, ids, p = k[order], h[order], ids[order], p[order]
+    known = p & KNOWN != 0  # also markers
     head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(k))))
     keep = (known | (np.bincount(group)[group] > 1) | (np.bincount(group, known) > 0)[group]) & (p >= 0)
     for first in range(0, int(keep.sum()), 1 << 17):
         at = np.flatnonzero(keep)[first : first + (1 << 17)]
-        yield pa.record_batch({"id": pa.array(ids[at]), "a": pa.StructArray.from_arrays([pa.array(h[at]), pa.array(p[at])], names=["h", "p"])})
+        yield pa.record_batch({"id": pa.array(ids[at]), "a": pa.StructArray.from_arrays([pa.array(h[at]), pa.array(p[at] & ~KNOWN)], names=["h", "p"])})
 
 
 def _region(value: np.ndarray, begin: np.ndarray, last: np.ndarray, seed: np.ndarray, reach: int) -> np.ndarray:
@@ -147,55 +149,76 @@ def _descend(value: np.ndarray, place: np.ndarray, h: np.ndarray, far: np.ndarra
         item, lo, hi, level = item[meets], lo[meets], hi[meets], level + 1
 
 
-def _in_slots(bits: int, slots: list[np.ndarray]):
-    return lambda level, key: np.isin(key >> np.uint64(64 - bits), slots[level]) if level < len(slots) else np.zeros(len(key), bool)
+def _among(values: list[np.ndarray]):
+    """Whether a value of a level is one of the hot ones."""
+    return lambda level, key: np.isin(key, values[level]) if level < len(values) else np.zeros(len(key), bool)
 
 
-def _slot_counts(size: int, bits: int, first: np.ndarray | None):
-    """How many different pieces of text, chunk by chunk, a task has for values of each of 2^bits slots it meets: of
-    anchors, or if ``first`` is given, of all splits of anchors in these slots."""
+def _piece_counts(size: int, values: list[np.ndarray]):
+    """How many different pieces of text a task holds under each value of the level after ``values``.
+
+    Counted chunk by chunk, as chunks send them; a text that the task had before and values with one
+    piece in a task are left out.
+    """
+    level, hot = len(values), _among(values)
 
     def count(batches):
-        times: dict[int, np.ndarray] = {}
-        begins = _in_slots(bits, [] if first is None else [first])
-        hot = begins if first is None else lambda level, key: begins(0, key) if level == 0 else np.ones(len(key), bool)
+        seen: set[int] = set()
+        keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        held = 0
+
+        def summed():
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(back, np.concatenate(times), len(key)).astype(np.int64)
+
         for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES):
+            names = batch.column("name").to_pylist()
+            fresh = [name not in seen and not seen.add(name) for name in names]
+            for part in slices(batch.filter(pa.array(fresh, pa.bool_())), "text", CHUNK_BYTES):
                 data, offsets = flat(part.column("text"))
                 row, place, far, near, anchor = anchors(data, offsets, size)
+                if level:
+                    some = hot(0, anchor)
+                    row, place, far, near, anchor = (v[some] for v in (row, place, far, near, anchor))
                 if not len(row):
                     continue
                 value, place = part_values(data), offsets[row] + place
-                for level, item, f, n, key, _ in _descend(value, place, anchor, far, near, size, hot):
-                    if first is not None and level == 0:
+                for at, item, f, n, key, _ in _descend(value, place, anchor, far, near, size, hot):
+                    if at != level or not len(item):
                         continue
-                    piece = _region(value, place[item] - f, place[item] - n + size - PART, key ^ ((f << 7) | n).astype(np.uint64), 2 * size)
-                    _, once = np.unique(piece, return_index=True)
-                    found = np.bincount((key[once] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                    times[level] = times[level] + found if level in times else found
-        for level, held in times.items():
-            met = np.flatnonzero(held)
-            yield pa.record_batch({"level": pa.array(np.full(len(met), level, np.int32)), "slot": pa.array(met), "n": pa.array(held[met])})
+                    own, back, often = np.unique(key, return_inverse=True, return_counts=True)
+                    many = np.flatnonzero(often[back] > 1)  # what is there once is one piece
+                    piece = _region(value, place[item[many]] - f[many], place[item[many]] - n[many] + size - PART, key[many] ^ ((f[many] << 7) | n[many]).astype(np.uint64), 2 * size)
+                    first = np.unique(piece, return_index=True)[1]
+                    often[:] = 1
+                    found, pieces = np.unique(back[many[first]], return_counts=True)
+                    often[found] = pieces
+                    keys.append(own)
+                    times.append(often)
+                    held += len(own)
+                if held > 1 << 22:
+                    keys, times = ([v] for v in summed())
+                    held = 0
+        key, n = summed()
+        yield pa.record_batch({"value": pa.array(key[n > 1].astype(np.int64)), "n": pa.array(n[n > 1])})
 
     return count
 
 
-def hot_slots(texts: DataFrame, size: int, total: int, hot: int) -> tuple[int, list[np.ndarray]]:
-    """By level of splitting, the slots of values that ``hot`` pieces or more fall into, and the bits that name a slot.
+def hot_values(texts: DataFrame, size: int, hot: int) -> list[np.ndarray]:
+    """By level of splitting, the exact values that ``hot`` pieces or more lie under, as far as tasks hold two of them.
 
-    What is rarer and shares a slot is split like a hot one, which costs bytes and changes no result;
-    slots are so many that one has about ``hot`` / 8 pieces.
+    A value that is not listed has fewer than ``hot`` pieces and at most one more from each task; copies
+    of a text count once for each task, so they alone make nothing hot.  Each level is one combining aggregate, and the next one looks only under the hot values of this one.  What
+    comes to the driver is one number for every ``hot`` pieces.
     """
-    bits = min(24, max(12, (8 * total // (16 * hot)).bit_length()))
-    found: dict[int, list[int]] = {}
-    for again in (False, True):
-        first = np.array(sorted(found.get(0, [])), np.uint64) if again else None
-        if again and not len(first):
-            break
-        counts = texts.select("text").mapInArrow(_slot_counts(size, bits, first), "level int, slot long, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
-        for r in counts.where(F.col("n") >= hot).collect():
-            found.setdefault(r["level"], []).append(r["slot"])
-    return bits, [np.array(sorted(found.get(level, [])), np.uint64) for level in range(max(found, default=-1) + 1)]
+    found: list[np.ndarray] = []
+    while True:
+        counts = texts.select("text", F.xxhash64("text").alias("name")).mapInArrow(_piece_counts(size, found), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+        level = np.sort(np.array([r["value"] for r in counts.where(F.col("n") >= hot).select("value").collect()], np.int64).astype(np.uint64))
+        if not len(level):
+            return found
+        found.append(level)
 
 
 def _cut(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -227,14 +250,14 @@ def _split_pieces(data: np.ndarray, place: np.ndarray, h: np.ndarray, p: np.ndar
         })
 
 
-def _contexts(size: int, bits: int, slots: list[np.ndarray]):
+def _contexts(size: int, values: list[np.ndarray]):
     """Rows (k, id, p, bytes): the bytes of all strings filed under an anchor, in one piece, dealt by its value k.
 
     Of pieces that a chunk holds several times only the earliest is compared further; the others
-    repeat it and pass with p negated.  Pieces of anchors in hot slots are split.
+    repeat it and pass with p negated.  Pieces of hot anchors are split.
     """
 
-    hot = _in_slots(bits, slots)
+    hot = _among(values)
 
     def emit(batches):
         for batch in batches:
@@ -255,7 +278,7 @@ def _contexts(size: int, bits: int, slots: list[np.ndarray]):
                 _, first = np.unique(key, return_index=True)
                 again = np.ones(len(key), bool)
                 again[first] = False
-                if slots:
+                if values:
                     apart = ~again & hot(0, h.astype(np.uint64))
                     if apart.any():
                         yield from _split_pieces(data, (offsets[row] + (p >> 14))[apart], h[apart], p[apart], ids[apart], size, hot)
@@ -385,8 +408,8 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     A byte goes if a string of ``size`` bytes (33 to 127) over it also starts earlier, in a document of smaller
     key or before it in the same one.  Strings never cross documents and are judged on the input.
     Null texts are empty; equal texts are looked at once, the copies after the first lose all they
-    have if they are long enough.  Repeated rows of a key are one document; documents without a
-    key take no part and stay whole; an empty table gives no rows; other columns are not read.
+    have if they are long enough.  Repeated rows of a key are one document, of different texts that
+    of the least SHA-256; documents without a key take no part and stay whole; an empty table gives no rows; other columns are not read.
     """
     if not PART < size < 128:
         raise ValueError("size must be from 33 to 127")
@@ -395,16 +418,19 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     total = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     named = base.where("id is not null")
-    hashed = named.select("id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n"))
+    sha = F.unhex(F.sha2("text", 256))
+    hashed = named.select("id", sha.alias("sha"), F.octet_length("text").cast("long").alias("n"))
+    hashed = hashed.groupBy("id").agg(F.min(F.struct("sha", "n")).alias("r")).select("id", "r.sha", "r.n")
     firsts = hashed.groupBy("sha").agg(F.min("id").alias("first"))
-    whole = named.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    bits, slots = hot_slots(named, size, total, HOT)
-    found = whole.mapInArrow(_anchor_rows(size), "k long, h long, id long, p long, known boolean").repartition(parts, "k")
+    # by id alone, so that texts are shuffled once
+    whole = named.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").groupBy("id").agg(F.min_by("text", sha).alias("text"))
+    values = hot_values(named, size, HOT)
+    found = whole.mapInArrow(_anchor_rows(size), "k long, h long, id long, p long").repartition(parts, "k")
     found = found.mapInArrow(_repeated_only, "id long, a struct<h: long, p: long>").groupBy("id").agg(F.collect_list("a").alias("found"))
-    pieces = whole.join(found, "id").mapInArrow(_contexts(size, bits, slots), "k long, id long, p long, bytes binary").repartition(parts, "k")
+    pieces = whole.join(found, "id").mapInArrow(_contexts(size, values), "k long, id long, p long, bytes binary").repartition(parts, "k")
     spans = pieces.mapInArrow(_later_strings(size), "id long, a long, b long").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     kept = whole.join(spans, "id", "left").mapInArrow(_kept, RESULT)
-    copies = hashed.join(firsts, "sha").where("id != first").dropDuplicates(["id"])
+    copies = hashed.join(firsts, "sha").where("id != first")
     gone = copies.select(
         "id", "n", F.when(F.col("n") >= size, F.col("n")).otherwise(0).alias("n_removed"), (F.col("n") >= size).cast("long").alias("n_spans"),
         F.when(F.col("n") >= size, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crestline.llm import repeated_spans as rs
@@ -104,3 +105,35 @@ def test_strings_dealt_one_by_one_against_brute_force(spark, monkeypatch, seed,
     docs = corpus(seed)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     assert sorted(map(tuple, rs.repeated_spans(frame, size).collect())) == brute(docs, size)
+
+
+def test_copies_make_no_anchor_hot(spark):
+    rnd = random.Random(21)
+    text = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    copy, line = text(2000), text(80)
+    texts = [copy] * 400 + [text(150) + line + text(150) for _ in range(300)]
+    frame = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(4)
+    levels = rs.hot_values(frame, 100, 100)
+    anchors_of = lambda t: set(rs.anchors(*rs.flat(pa.array([t.encode()])), 100)[4].tolist())
+    assert levels and not set(levels[0].tolist()) & anchors_of(copy)
+    assert set(levels[0].tolist()) & anchors_of(texts[-1])
+    assert rs.hot_values(frame.limit(0), 100, 100) == []
+
+
+def test_rows_of_one_key_and_different_texts(spark):
+    rnd = random.Random(22)
+    a, b = ("".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(2))
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b)]
+    kept = min((a, b), key=lambda t: hashlib.sha256(t.encode()).digest())
+    other = b if kept == a else a
+    got = sorted(map(tuple, rs.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == brute([(1, kept), (2, a), (3, b)], 100) and got[0][2] == 0
+    assert {r[0]: r[2] for r in got}[2 if kept == a else 3] == 300 and {r[0]: r[2] for r in got}[3 if kept == a else 2] == 0 and other
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(23)
+    body = "".join(rnd.choice("abcdefgh ") for _ in range(3_000_000))
+    docs = [(1, body), (2, "x" + body[1_500_000:1_500_400] + "y" * 50), (3, body[-250:] + body[:250])]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in rs.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0), 2: (400, 1), 3: (500, 1)}
