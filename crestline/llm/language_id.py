@@ -17,17 +17,31 @@ from crestline.llm.sampling import smallest_hashes
 from crestline.llm.texts import Words, flat, slices, words
 
 # fixed values: families by ISO 639-1 code; a code that is not here is a family of its own
-FAMILIES = {
-    "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "is": "germanic",
-    "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
-    "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "sk": "slavic", "bg": "slavic", "sr": "slavic", "hr": "slavic",
-}
+FAMILIES = {code: family for family, codes in {
+    "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
+    "romance": "an ca co es fr gl it la oc pt rm ro sc wa",
+    "slavic": "be bg bs cs cu hr mk pl ru sh sk sl sr uk",
+    "baltic": "lt lv",
+    "celtic": "br cy ga gd gv kw",
+    "indo-aryan": "as bh bn dv gu hi ks mr ne or pa pi sa sd si ur",
+    "iranian": "ae fa ku os ps tg",
+    "turkic": "az ba cv kk ky tk tr tt ug uz",
+    "uralic": "et fi hu kv se",
+    "semitic": "am ar he mt ti",
+    "dravidian": "kn ml ta te",
+    "austronesian": "ch fj haw id jv mg mh mi ms na sm su tl to ty",
+    "bantu": "hz kg ki kj lg ln lu nd ng nr ny rn rw sn ss st sw tn ts ve xh zu",
+    "tai": "lo th za",
+    "sinitic": "zh yue wuu",
+    "tibeto-burman": "bo dz ii my",
+    "inuit": "ik iu kl",
+}.items() for code in codes.split()}
 UNDETERMINED = "und"
 
 #: Buckets of the trigrams; documents of each language the machines are fitted on, those of smallest key hash.
 BUCKETS, SAMPLE_PER_LANGUAGE = 1 << 14, 500
-#: Longest text (bytes) that may be in the sample; predictions are for whole texts of any length.  Steps of fitting.
-FIT_BYTES, STEPS = 1 << 18, 200
+#: Steps of fitting.
+STEPS = 200
 
 
 def trigram_codes(found: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -109,21 +123,36 @@ def _machine(x: np.ndarray, y: np.ndarray, steps: int, reg: float = 1e-4) -> tup
     return w, b
 
 
-def fit(texts: list[pa.Array], langs: list[str], steps: int = STEPS) -> Machines:
+def shares(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the buckets it has, ascending, and their shares of its trigrams; row r has ``first[r]:first[r + 1]``."""
+    found = words(*flat(column))
+    code, word = trigram_codes(found)
+    row = found.row_of()[word]
+    pair, times = np.unique(row.astype(np.int64) * BUCKETS + code, return_counts=True)
+    first = np.searchsorted(pair // BUCKETS, np.arange(len(column) + 1))
+    whole = np.maximum(np.bincount(row, minlength=len(column)), 1)
+    return first, pair % BUCKETS, (times / whole[pair // BUCKETS]).astype(np.float32)
+
+
+def fit(first: np.ndarray, bucket: np.ndarray, share: np.ndarray, langs: list[str], steps: int = STEPS) -> Machines:
+    """Machines from the shares of all sampled rows; only the rows of one pair of classes are laid out in full at a time."""
     known = sorted(set(langs))
     family_of = {c: FAMILIES.get(c.lower().replace("_", "-").split("-")[0], c) for c in known}
     families = sorted(set(family_of.values()))
     members = [[c for c in known if family_of[c] == f] for f in families]
-    rows = []
-    for part in texts:
-        found = words(*flat(part))
-        code, word = trigram_codes(found)
-        row = found.row_of()[word]
-        counts = np.bincount(row * BUCKETS + code, minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS).astype(np.float32)
-        rows.append(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-    x = np.concatenate(rows) if rows else np.zeros((0, BUCKETS), np.float32)
-    used = np.flatnonzero((x > 0).sum(axis=0) >= 3)
-    x = x[:, used] * 30
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS) >= 3)
+    column = np.full(BUCKETS, -1, np.int64)
+    column[used] = np.arange(len(used))
+    row = np.repeat(np.arange(len(langs)), np.diff(first))
+
+    def laid_out(mine: np.ndarray) -> np.ndarray:
+        place = np.full(len(langs), -1)
+        place[mine] = np.arange(mine.sum())
+        keep = mine[row] & (column[bucket] >= 0)
+        x = np.zeros((int(mine.sum()), len(used)), np.float32)
+        x[place[row[keep]], column[bucket[keep]]] = share[keep] * 30
+        return x
+
     lang, fam = np.array(langs, object), np.array([family_of[c] for c in langs], object)
     pairs, weights, bias, scale = [], [], [], []
     for classes, owner in [(families, fam)] + [(m, lang) for m in members]:
@@ -131,7 +160,7 @@ def fit(texts: list[pa.Array], langs: list[str], steps: int = STEPS) -> Machines
             for b in classes[i + 1 :]:
                 mine = (owner == a) | (owner == b)
                 y = np.where(owner[mine] == a, 1.0, -1.0).astype(np.float32)
-                w, c = _machine(x[mine], y, steps)
+                w, c = _machine(laid_out(mine), y, steps)
                 pairs.append((a, b))
                 full = np.zeros(BUCKETS)
                 full[used] = w * 30
@@ -144,21 +173,36 @@ def fit(texts: list[pa.Array], langs: list[str], steps: int = STEPS) -> Machines
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Machines:
     """Fit in one task on at most ``per_language`` documents of each language, those of smallest key hash.
 
-    Rows without a language, without text or with a text of over FIT_BYTES are not used.
+    Texts of any length may be in the sample: their trigrams are counted where they lie, and only the
+    counts go to the fitting task.  Rows without a key, a language or text are not used; of rows of
+    one key and language one is.
     """
-    marked = docs.where(F.col(lang).isNotNull() & F.octet_length(text).between(1, FIT_BYTES)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sample = smallest_hashes(marked, "k", per_language, F.col("l"))
+    marked = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.octet_length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    sample = F.broadcast(smallest_hashes(marked.select("k", "l").distinct(), "k", per_language, F.col("l")))  # at most so many keys of each language
+
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch, "t"):
+                first, bucket, share = shares(part.column("t"))
+                at = pa.array(first, pa.int32())
+                yield pa.record_batch({
+                    "k": part.column("k"), "l": part.column("l"),
+                    "bucket": pa.ListArray.from_arrays(at, pa.array(bucket, pa.int32())), "share": pa.ListArray.from_arrays(at, pa.array(share, pa.float32())),
+                })
 
     def train(batches):
-        texts, codes = [], []
+        parts, langs = [], []
         for batch in batches:
-            for part in slices(batch, "t", 1 << 20):
-                texts.append(part.column("t"))
-                codes += part.column("l").to_pylist()
-        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(texts, codes))], pa.binary())})
+            parts.append((np.diff(batch.column("bucket").offsets.to_numpy()), batch.column("bucket").flatten().to_numpy(), batch.column("share").flatten().to_numpy()))
+            langs += batch.column("l").to_pylist()
+        size, bucket, share = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), bucket.astype(np.int64), share, langs))], pa.binary())})
 
-    made = sample.repartition(1).sortWithinPartitions("k", "t").select("t", "l").mapInArrow(train, "model binary").first()
-    return pickle.loads(made[0]) if made else fit([], [])
+    kind = docs.schema[key].dataType.simpleString()
+    rows = marked.join(sample, ["k", "l"], "left_semi").mapInArrow(count, f"k {kind}, l string, bucket array<int>, share array<float>")
+    one = rows.groupBy("k", "l").agg(F.min(F.struct("bucket", "share")).alias("r")).select("k", "l", "r.*")
+    made = one.repartition(1).sortWithinPartitions("k", "l").select("l", "bucket", "share").mapInArrow(train, "model binary").first()
+    return pickle.loads(made[0]) if made else fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), [])
 
 
 def predict(docs: DataFrame, machines: Machines, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -87,7 +87,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = lambda c: F.crc32(F.col(c).cast("string")) % 4 == 2
     machine = toxicity.learn(docs, labels.where(~held("doc_id")))
-    return toxicity.score(docs, machine).select("doc_id", held("doc_id").alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, machine).select("doc_id", F.coalesce(held("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @registered("op8_language")
@@ -99,7 +99,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     machines = language_id.learn(docs.where(~held))
-    return language_id.predict(docs, machines).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, machines).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 VECTORS_SQL = """

@@ -28,9 +28,9 @@ KINDS = ("assign", "access", "hex", "tagged")
 
 #: Sampled documents the field is fitted on, lines taken from them, tokens per line, rounds of fitting.
 SAMPLE_DOCUMENTS, SAMPLE_LINES, LINE_TOKENS, ROUNDS = 4000, 600, 32, 50
+#: Lines of each sort that one document gives.
+LINES_PER_DOCUMENT = 8
 BUCKETS, SHAPES, FILES = 4096, 8 * 8 + 128, 8
-#: A tagged span shorter than this is no secret.
-LEAST_TAGGED = 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -229,43 +229,76 @@ def decode(field: Field, t: Tokens) -> np.ndarray:
     return tags
 
 
-def _training(batches, text: str, lines: int) -> list:
-    """Lines with labelled tokens and as many without, clipped to a bounded number of tokens."""
-    with_secret, without = [], []
-    for batch in batches:
-        for part in slices(batch, text):
-            data, offsets = flat(part.column(text))
-            t = tokens_of(data, offsets)
-            tags = np.zeros(len(t.code), np.int64)
-            for r, value in enumerate(part.column(text).to_pylist()):
-                for _, _, end, begin in base_spans(value or ""):
-                    a, b = (offsets[r] + len(value[:x].encode()) for x in (begin, end))
-                    i, j = np.searchsorted(t.starts, a), np.searchsorted(t.ends, b, "right")
-                    tags[i:j] = IN
-                    tags[i : i + (j > i)] = BEGIN
-            fresh = np.flatnonzero(np.concatenate([[True], t.line[1:] != t.line[:-1]])) if len(tags) else []
-            for a, b in zip(fresh, np.append(fresh[1:], len(tags)) if len(tags) else [], strict=True):
-                hot = np.flatnonzero(tags[a:b])
-                into = with_secret if len(hot) else without
-                if len(into) < lines // 2:
-                    a = max(a, a + (hot[0] if len(hot) else 0) - LINE_TOKENS // 2)
-                    at = np.arange(a, min(b, a + LINE_TOKENS))
-                    into.append((features(t, at), tags[at]))
-    return with_secret + without[: max(len(with_secret), 1)]
+def _training(column: pa.Array) -> Iterator[tuple[int, bool, list]]:
+    """Per row some lines with labelled tokens and as many without, each clipped to a bounded number of tokens: (row, labelled, line)."""
+    data, offsets = flat(column)
+    t = tokens_of(data, offsets)
+    tags = np.zeros(len(t.code), np.int64)
+    for r, value in enumerate(column.to_pylist()):
+        for _, _, end, begin in base_spans(value or ""):
+            a, b = (offsets[r] + len(value[:x].encode()) for x in (begin, end))
+            i, j = np.searchsorted(t.starts, a), np.searchsorted(t.ends, b, "right")
+            tags[i:j] = IN
+            tags[i : i + (j > i)] = BEGIN
+    if not len(tags):
+        return
+    fresh = np.flatnonzero(np.concatenate([[True], t.line[1:] != t.line[:-1]]))
+    taken: dict[tuple[int, bool], int] = {}
+    for a, b in zip(fresh.tolist(), [*fresh[1:].tolist(), len(tags)], strict=True):
+        hot = np.flatnonzero(tags[a:b])
+        key = (int(t.row[a]), bool(len(hot)))
+        if taken.setdefault(key, 0) < LINES_PER_DOCUMENT:
+            taken[key] += 1
+            a = max(a, a + (int(hot[0]) if len(hot) else 0) - LINE_TOKENS // 2)
+            at = np.arange(a, min(b, a + LINE_TOKENS))
+            yield (*key, (features(t, at), tags[at]))
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_LINES) -> Field:
-    """Fit the field in one task on at most ``documents`` documents (those of smallest key hash) and ``lines`` lines."""
-    small = docs.where(F.octet_length(text).between(1, 65536)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    small = smallest_hashes(small, "k", documents)
+    """Fit the field in one task on ``lines`` lines of at most ``documents`` documents, those of smallest key hash.
+
+    Documents of any length may be in the sample: their lines are cut where they lie, and only these go
+    to the fitting task.  Rows without a key are not in the sample.
+    """
+    named = docs.where(F.col(key).isNotNull() & (F.octet_length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    sample = F.broadcast(smallest_hashes(named.select("k").distinct(), "k", documents))  # at most so many keys
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "t"):
+                found = list(_training(part.column("t")))
+                yield pa.record_batch({
+                    "k": part.column("k").take(pa.array([r for r, _, _ in found], pa.int64())), "hot": pa.array([h for _, h, _ in found], pa.bool_()),
+                    "line": pa.array([pickle.dumps(line) for *_, line in found], pa.binary()),
+                })
 
     def train(batches):
-        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(_training(batches, "t", lines)))], pa.binary())})
+        held: dict[bool, list] = {True: [], False: []}
+        for batch in batches:
+            for hot, line in zip(batch.column("hot").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if len(held[hot]) < lines // 2:
+                    held[hot].append(pickle.loads(line))
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(held[True] + held[False][: max(len(held[True]), 1)]))], pa.binary())})
 
-    made = small.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "t").select("t").mapInArrow(train, "model binary").first()
+    kind = docs.schema[key].dataType.simpleString()
+    made = named.join(sample, "k", "left_semi").mapInArrow(cut, f"k {kind}, hot boolean, line binary")
+    made = made.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", "line").select("hot", "line").mapInArrow(train, "model binary").first()
     return pickle.loads(made[0]) if made else fit([])
 
 
+def outside(a: int, b: int, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a to b that no covered span holds; spans are sorted."""
+    for s, e in covered:
+        if s >= b:
+            break
+        if e > a:
+            if s > a:
+                yield a, s
+            a = max(a, e)
+    if a < b:
+        yield a, b
+
+
 def all_spans(column: pa.Array, field: Field) -> Iterator[list[tuple[int, int, int, int]]]:
     """Per row: (start, kind, end, value start), the patterns' spans and those only the field finds."""
     data, offsets = flat(column)
@@ -286,8 +319,7 @@ def all_spans(column: pa.Array, field: Field) -> Iterator[list[tuple[int, int, i
             covered = sorted((a, e) for a, _, e, _ in spans)
             for a, b in tagged[r]:
                 a, b = (x if value.isascii() else len(raw[:x].decode()) for x in (a, b))
-                if b - a >= LEAST_TAGGED and not any(a < e and s < b for s, e in covered):
-                    spans.append((a, 3, b, a))
+                spans += [(s, 3, e, s) for s, e in outside(a, b, covered) if any(c.isalnum() for c in value[s:e])]
             spans.sort()
         yield spans
 
@@ -300,7 +332,7 @@ def find_secrets(docs: DataFrame, field: Field | None = None, key: str = "doc_id
     """Per input row: the key, counts by pattern, ``base_spans`` and ``spans`` as ``kind:start:end`` joined by commas.
 
     Offsets are code points, ends exclusive; assign spans run from the key word to the end of the
-    value.  A span of the field that touches a pattern's is left out.  Null texts are empty;
+    value.  Of a span of the field that reaches into a pattern's, the parts outside are kept where they hold a letter or digit.  Null texts are empty;
     repeated rows and null keys keep a row each; an empty table gives no rows; other columns are
     not read.
     """
