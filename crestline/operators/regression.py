@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crestline.functions.tails import chi2_upper, normal_two_sided, t_two_sided
 from crestline.operators.gram import ClusterGrams, cluster_grams, reduce_arrays, triangle, unpack
@@ -512,20 +512,56 @@ def absorb(
 def absorb_iterative(
     df: DataFrame, columns: Sequence[str], effects: Sequence[str], tol: float = 1e-10, rounds: int = 1000, suffix: str = "_abs"
 ) -> DataFrame:
-    """Alternating group demeaning for several effects that all have many levels.
+    """Rows net of several crossed effects that all have many levels (complete rows only).
 
-    Each sweep is a combining aggregate and a join per effect; lineage is cut per sweep.
-    Raises if ``rounds`` sweeps do not bring the largest change under ``tol``.
+    Rows collapse to one cell per combination of levels.  The normal equations of all effects are solved
+    by conjugate gradients, scaled by the level sizes: a round joins the cells to the direction of
+    each effect and sums them back by level, vectors are written tables, and a handful of inner
+    products per column come to the driver.  Raises if ``rounds`` rounds do not bring every
+    column's gradient under ``tol`` of where it began.
     """
-    made = [c + suffix for c in columns]
-    out = df.dropna(subset=[*columns, *effects]).withColumns({m: F.col(c).cast("double") for c, m in zip(columns, made)})
-    for _ in range(rounds):
-        out = out.withColumns({f"_old_{m}": F.col(m) for m in made})
-        for e in effects:
-            out = demean(out, [e], made, "_in").drop(*made).withColumnsRenamed({f"{m}_in": m for m in made})
-        out = cut_lineage(out)
-        change = out.agg(F.max(F.greatest(*[F.abs(F.col(m) - F.col(f"_old_{m}")) for m in made], F.lit(0.0)))).first()[0]
-        out = out.drop(*[f"_old_{m}" for m in made])
-        if change is None or change < tol:
-            return out
-    raise RuntimeError(f"no convergence in {rounds} sweeps: the last changed a value by {change:g}")
+    columns, effects, k = list(columns), list(effects), range(len(columns))
+    kept = df.dropna(subset=[*columns, *effects])
+    keys = [f"e{i}" for i in range(len(effects))]
+    cells = cut_lineage(kept.select(*[F.col(e).cast("string").alias(c) for e, c in zip(effects, keys)], *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(columns)])
+                        .groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in k]))
+
+    def by_level(values: DataFrame, names: Sequence[str]) -> DataFrame:
+        parts = [values.groupBy(F.col(c).alias("level")).agg(*[F.sum(v).alias(v) for v in names]).select(F.lit(i).alias("e"), "*") for i, c in enumerate(keys)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def at_cells(vector: DataFrame, name: str) -> DataFrame:
+        """The cells with the sum over effects of a vector, per column ``f0..``."""
+        out = cells.withColumns({f"f{i}": F.lit(0.0) for i in k})
+        for e, c in enumerate(keys):
+            part = vector.where(F.col("e") == e).select(F.col("level").alias(c), *[F.col(f"{name}{i}").alias(f"_{i}") for i in k])
+            out = out.join(part, c).withColumns({f"f{i}": F.col(f"f{i}") + F.col(f"_{i}") for i in k}).drop(*[f"_{i}" for i in k])
+        return out
+
+    start = by_level(cells, ["n", *[f"y{i}" for i in k]])
+    vector = cut_lineage(start.select("e", "level", "n", *[F.lit(0.0).alias(f"x{i}") for i in k], *[F.col(f"y{i}").alias(f"r{i}") for i in k], *[(F.col(f"y{i}") / F.col("n")).alias(f"p{i}") for i in k]))
+    first: list[float] | None = None
+    for done in range(rounds + 1):
+        moved = at_cells(vector, "p").select(*keys, *[(F.col("n") * F.col(f"f{i}")).alias(f"q{i}") for i in k])
+        both = cut_lineage(vector.join(by_level(moved, [f"q{i}" for i in k]), ["e", "level"]))
+        dot = lambda a, b, i: F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}") / F.col("n"))
+        row = both.agg(*[x for i in k for x in (dot("r", "r", i).alias(f"rr{i}"), dot("r", "q", i).alias(f"rq{i}"), dot("q", "q", i).alias(f"qq{i}"), F.sum(F.col(f"p{i}") * F.col(f"q{i}")).alias(f"pq{i}"))]).first()
+        now = [max(row[f"rr{i}"] or 0.0, 0.0) for i in k]
+        first = first or now
+        if all(a <= tol * tol * b for a, b in zip(now, first)):
+            break
+        if done == rounds:
+            raise RuntimeError(f"no convergence in {rounds} rounds: the gradient is still {max(math.sqrt(a / b) for a, b in zip(now, first) if b):g} of the first")
+        made: dict[str, Column] = {}
+        for i in k:
+            pq = row[f"pq{i}"] or 0.0
+            step = now[i] / pq if pq > 0 and now[i] > tol * tol * first[i] else 0.0
+            after = max(now[i] - 2 * step * (row[f"rq{i}"] or 0.0) + step * step * (row[f"qq{i}"] or 0.0), 0.0)
+            rest = F.col(f"r{i}") - F.lit(step) * F.col(f"q{i}")
+            made[f"x{i}"] = F.col(f"x{i}") + F.lit(step) * F.col(f"p{i}")
+            made[f"r{i}"] = rest
+            made[f"p{i}"] = rest / F.col("n") + F.lit(after / now[i] if now[i] else 0.0) * F.col(f"p{i}") if step else F.col(f"p{i}")
+        vector = cut_lineage(both.withColumns(made).drop(*[f"q{i}" for i in k]))
+    fitted = at_cells(vector, "x").select(*keys, *[f"f{i}" for i in k])
+    out = kept.withColumns({c: F.col(e).cast("string") for c, e in zip(keys, effects)}).join(fitted, keys)
+    return out.withColumns({c + suffix: F.col(c).cast("double") - F.col(f"f{i}") for i, c in enumerate(columns)}).drop(*keys, *[f"f{i}" for i in k])

@@ -167,3 +167,60 @@ def test_robustness_values(spark):
     df = spark.createDataFrame([(4.18445, 783.0)], "stat double, dof double")
     row = dml.robustness(dml.robustness(df, 1.0, 1.0), 1.0, 0.05, prefix="rva").first()
     assert row["rv"] == pytest.approx(0.13878, abs=1e-4) and row["rva"] == pytest.approx(0.07626, abs=1e-4)
+
+
+def test_left_out_fits_of_many_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 60_000
+    d = pd.DataFrame({"cl": np.arange(n) % 20_000, "x": rng.normal(size=n), "c": rng.normal(size=n)})
+    d["y"] = 0.4 * d.x - 0.2 * d.c + rng.normal(size=n)
+    d["ent"] = d.cl * 2 + rng.integers(0, 2, n)
+    df = spark.createDataFrame(d)
+    found = reg.Regression(cluster_grams(df, ["y", "x", "c"], "cl", "ent")).leave_one_out("y", ["x", "c"])
+    got = found.where("excluded IN ('7', '19999')").collect()
+    assert found.count() == 20_000
+    for r in got:
+        rest = d[d.cl != int(r["excluded"])]
+        z = demean(rest, ["y", "x", "c"], ["ent"])
+        b, se = clustered_fast(z["y"].to_numpy(), z[["x", "c"]].to_numpy(), rest.cl.to_numpy())
+        assert r["coef"] == pytest.approx(b[0], abs=1e-10) and r["se"] == pytest.approx(se[0], rel=1e-8)
+
+
+def clustered_fast(y, x, g):
+    b = np.linalg.solve(x.T @ x, x.T @ y)
+    scores = pd.DataFrame(x * (y - x @ b)[:, None]).groupby(g).sum().to_numpy()
+    bread, m = np.linalg.inv(x.T @ x), len(scores)
+    v = bread @ (scores.T @ scores) @ bread * m / (m - 1) * (len(y) - 1) / (len(y) - x.shape[1])
+    return b, np.sqrt(np.diag(v))
+
+
+def test_wide_left_out_fits_equal_narrow_ones(spark, data, monkeypatch):
+    model = reg.Regression(cluster_grams(spark.createDataFrame(data), ["y", "x", "c"], "cl", "ent", ["q"]))
+    narrow = {r["excluded"]: (r["n"], r["coef"], r["se"]) for r in model.leave_one_out("y", ["x", "c"]).collect()}
+    monkeypatch.setattr(reg, "SQUARES", 1)
+    monkeypatch.setattr(reg, "MODELS", 4)
+    wide = {r["excluded"]: (r["n"], r["coef"], r["se"]) for r in model.leave_one_out("y", ["x", "c"]).collect()}
+    assert wide.keys() == narrow.keys() and all(np.allclose(wide[c], narrow[c], rtol=1e-8) for c in narrow)
+
+
+def test_crossed_effects_of_many_levels(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    a, n = 60, 200
+    i = rng.integers(0, a, n)
+    # a level meets few, near ones: alternation is slow here
+    j = np.clip((i / a * 12 + rng.normal(size=n) * 0.5).astype(int), 0, 11)
+    d = pd.DataFrame({"i": i, "j": j, "x": rng.normal(size=n) + i * 1e-3, "y": rng.normal(size=n) + j * 0.05, "id": np.arange(n)})
+    rounds, cut = [], reg.cut_lineage
+    monkeypatch.setattr(reg, "cut_lineage", lambda f: rounds.append(1) or cut(f))
+    got = reg.absorb_iterative(spark.createDataFrame(d), ["x", "y"], ["i", "j"], tol=1e-9).toPandas().sort_values("id")
+    z, sweeps = d[["x", "y"]].to_numpy(), 0
+    while True:
+        old = z.copy()
+        for e in (i, j):
+            sums = np.column_stack([np.bincount(e, z[:, c]) for c in range(2)])
+            z = z - (sums / np.maximum(np.bincount(e), 1)[:, None])[e]
+        sweeps += 1
+        if np.abs(z - old).max() < 1e-9:
+            break
+    assert np.allclose(got[["x_abs", "y_abs"]].to_numpy(), z, atol=1e-5)
+    assert len(rounds) / 2 * 5 < sweeps
