@@ -158,15 +158,18 @@ def _(spark, sf):
 
 @query("src11_row_gate", "state:s weeks:i", sql("fw", "SELECT state, count(*) AS weeks FROM fw GROUP BY 1"))
 def _(spark, sf):
-    panel = quality.require_rows(facility_week(spark, sf), "facility weeks", at_least=500)
+    panel, seen = quality.write_measured(facility_week(spark, sf), scratch(spark, "weeks"), {"rows": F.count("*")})
+    quality.gate("facility weeks", seen, rows=(500, None))
     return panel.groupBy("state").agg(F.count("*").alias("weeks"))
 
 
 @query("src12_total_gate", "total:f2", "SELECT sum(l_quantity) AS total FROM lineitem")
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    n = lines.count()  # a line holds 1 to 50 pieces
-    return quality.assert_total(lines, "l_quantity", 20.0 * n, 31.0 * n)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+    quantity = F.col("l_quantity").cast("double")
+    _, seen = quality.write_measured(lines, scratch(spark, "lines"), {"rows": F.count("*"), "total": F.sum(quantity)})
+    quality.gate("lines", seen, total=(20.0 * seen["rows"], 31.0 * seen["rows"]))  # a line holds 1 to 50 pieces
+    return spark.createDataFrame([(float(seen["total"]),)], "total double")
 
 
 @query("src13_stage_summary", "stage:s metric:s value:f", sql("epi", """
@@ -177,10 +180,13 @@ UNION ALL SELECT 'episodes', 'mean_signal', avg(signal_admissions) FROM epi"""))
 def _(spark, sf):
     from checks.standins import episodes
 
-    return quality.stage_summary({
-        "panel": (facility_week(spark, sf), {"rows": F.count("*"), "hospitals": F.count_distinct("hospital_id")}),
-        "episodes": (episodes(spark, sf), {"rows": F.count("*"), "mean_signal": F.avg("signal_admissions")}),
-    })
+    signal = F.col("signal_admissions")
+    panel, weeks = quality.write_measured(facility_week(spark, sf), scratch(spark, "weeks"), {"rows": F.count("*")})
+    _, found = quality.write_measured(episodes(spark, sf), scratch(spark, "episodes"), {"rows": F.count("*"), "mean_signal": F.avg(signal), "quartiles": F.percentile_approx(signal, [0.25, 0.5, 0.75])})
+    low, _, high = found.pop("quartiles")
+    quality.gate("episodes", {**found, "spread": high - low}, rows=(1, None), spread=(0, None))
+    weeks["hospitals"] = panel.select("hospital_id").distinct().count()  # no combining sum: one column of what was written
+    return quality.measured_summary(spark, {"panel": weeks, "episodes": found})
 
 
 @query("snk1_table_round_trip", "state:s n:i", sql("fw", "SELECT state, count(*) AS n FROM fw GROUP BY 1"))

@@ -4,7 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+
+def write_measured(df: DataFrame, path: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict[str, float]]:
+    """Write a stage and return it as read back, with aggregates of its rows that were taken while they were written.
+
+    The metrics are combining aggregates without distinct ones (counts, sums, averages, quantile
+    sketches); they cost no scan of their own.
+    """
+    seen = Observation()
+    df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def gate(stage: str, seen: dict[str, float], **bounds: tuple[float | None, float | None]) -> None:
+    """Fail unless every named metric lies within its bounds (None: open)."""
+    for name, (low, high) in bounds.items():
+        value = seen[name]
+        if value is None or (low is not None and value < low) or (high is not None and value > high):
+            raise ValueError(f"{stage}: {name} is {value}, wanted {'any' if low is None else low} to {'any' if high is None else high}")
+
+
+def measured_summary(spark: SparkSession, stages: dict[str, dict[str, float]]) -> DataFrame:
+    """Rows ``(stage, metric, value)`` from metrics that are already there."""
+    rows = [(s, k, None if v is None else float(v)) for s, seen in stages.items() for k, v in seen.items()]
+    return spark.createDataFrame(rows, "stage string, metric string, value double")
 
 
 def require_rows(df: DataFrame, name: str, at_least: int = 1) -> DataFrame:

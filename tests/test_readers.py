@@ -46,3 +46,26 @@ def test_stage_is_reused_only_for_the_same_input(spark, tmp_path):
     for f in (tmp_path / "stage").glob("manifest-*/part-*"):
         f.write_text("")  # as if the write had not come to its end
     assert readers.stage(made(), path).count() == 12 and runs.value == 44
+
+
+def test_gates_ride_on_the_write(spark, tmp_path):
+    from crestline.sources import quality
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(v):
+        read.add(1)
+        return v
+
+    rows = spark.range(100).select(counted("id").alias("v"))
+    back, seen = quality.write_measured(rows, str(tmp_path / "t"), {"rows": F.count("*"), "total": F.sum("v"), "half": F.percentile_approx("v", 0.5)})
+    quality.gate("t", seen, rows=(100, None), total=(0, 5000))
+    assert read.value == 100 and back.count() == 100 and seen["total"] == 4950 and abs(seen["half"] - 49.5) < 2
+    with pytest.raises(ValueError, match="t: rows is 100"):
+        quality.gate("t", seen, rows=(101, None))
+    with pytest.raises(ValueError):
+        quality.gate("t", {"x": None}, x=(0, None))
+    _, empty = quality.write_measured(rows.limit(0), str(tmp_path / "e"), {"rows": F.count("*"), "total": F.sum("v")})
+    assert empty == {"rows": 0, "total": None}
+    assert [tuple(r) for r in quality.measured_summary(spark, {"e": empty}).collect()] == [("e", "rows", 0.0), ("e", "total", None)]
