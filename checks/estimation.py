@@ -610,16 +610,32 @@ def _(spark, sf):
     return fit_frame(spark, reg.panel_regression(study(spark, sf), "delta", "base", ["adm_mean"], "state", "hospital_id")[1])
 
 
-@query("est37_sign_pattern", "exposure:s delta:s volatility:s", ssql("study", """
-SELECT 'x' AS exposure, CASE WHEN sum(x * delta) < 0 THEN 'negative' WHEN sum(x * delta) > 0 THEN 'positive' ELSE 'zero' END AS delta,
-CASE WHEN sum(x * volatility) < 0 THEN 'negative' WHEN sum(x * volatility) > 0 THEN 'positive' ELSE 'zero' END AS volatility FROM study""", {}))
+WINDOWS = {"w1_2": (1, 2), "w3_4": (3, 4), "w5_6": (5, 6)}
+EXPOSURES = {"relative": "e.signal_rel_change", "absolute": "e.signal_admissions - e.baseline_admissions"}
+SIGNS = {"wn": ("ew epi", f"""SELECT ew.hospital_id, ew.signal_week, {', '.join(f'any_value({x}) AS {n}' for n, x in EXPOSURES.items())},
+    avg(occupancy) FILTER (event_week BETWEEN -4 AND -2) AS pre, {', '.join(f'avg(occupancy) FILTER (event_week BETWEEN {a} AND {b}) AS {w}' for w, (a, b) in WINDOWS.items())}
+    FROM ew JOIN epi e USING (hospital_id, signal_week) GROUP BY 1, 2""")}
+
+
+def sign_sql(value: str) -> str:
+    return f"CASE WHEN sum({value}) < 0 THEN 'negative' WHEN sum({value}) > 0 THEN 'positive' WHEN sum({value}) = 0 THEN 'zero' END"
+
+
+@query("est37_sign_pattern", "exposure:s weeks:s change:s log_change:s", ssql("wn", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS exposure, '{w}' AS weeks, {sign_sql(f'{n} * ({w} - pre)')} AS change, {sign_sql(f'{n} * CASE WHEN {w} > 0 AND pre > 0 THEN ln({w} / pre) END')} AS log_change FROM wn"
+    for n in EXPOSURES for w in WINDOWS), SIGNS))
 def _(spark, sf):
-    rows = study(spark, sf)
-    parts = [
-        dml.slope_through_origin(rows, y, "x", "state", "hospital_id").select(F.lit("x").alias("exposure"), F.lit(y).alias("outcome"), "theta")
-        for y in ("delta", "volatility")
-    ]
-    return dml.sign_pattern(parts[0].unionByName(parts[1]), ["exposure"], "outcome", ["delta", "volatility"])
+    panel = cut_lineage(facility_week(spark, sf))
+    rows = panels.event_time_panel(panels.hospital_surges(panel), panels.with_ratios(panel), ["signal_rel_change", "signal_admissions", "baseline_admissions"])
+    within = lambda a, b: F.avg(F.when(F.col("event_week").between(a, b), F.col("occupancy")))
+    wide = rows.groupBy(*EP, "state", F.col("signal_rel_change").alias("relative"), (F.col("signal_admissions") - F.col("baseline_admissions")).alias("absolute")).agg(
+        within(-4, -2).alias("pre"), *[within(*ab).alias(w) for w, ab in WINDOWS.items()])
+    pre = F.col("pre")
+    outcomes = lambda w: {"change": F.col(w) - pre, "log_change": F.when((F.col(w) > 0) & (pre > 0), F.ln(F.col(w) / pre))}
+    cells = F.array(*[F.struct(F.lit(n).alias("exposure"), F.lit(w).alias("weeks"), F.lit(o).alias("outcome"), F.col(n).cast("double").alias("t"), y.alias("y"))
+                      for n in EXPOSURES for w in WINDOWS for o, y in outcomes(w).items()])
+    found = dml.slope_through_origin(wide.select(*EP, "state", F.inline(cells)), "y", "t", "state", "hospital_id", ["exposure", "weeks", "outcome"])
+    return dml.sign_pattern(found, ["exposure", "weeks"], "outcome", ["change", "log_change"])
 
 
 @query("est38_reference_difference", "theta:f difference:f relative_difference:f", ssql("res", f"""
