@@ -739,12 +739,12 @@ def forest_repeats(spark, sf, seeds, trees):
 
 @query("est29_repeated_forest", "seed:i n:i theta:f se:f exposure_r2:f outcome_r2:f")
 def _(spark, sf):
-    return forest_repeats(spark, sf, SEEDS, 300)
+    return forest_repeats(spark, sf, SEEDS, 25)
 
 
 @query("est30_partially_linear_forest", "theta:f se:f")
 def _(spark, sf):
-    return suites.partially_linear(forest_repeats(spark, sf, PLR_SEEDS, 400))
+    return suites.partially_linear(forest_repeats(spark, sf, PLR_SEEDS, 25))
 
 
 @query("est21_falsification_boosted", "outcome:s n:i theta:f se:f")
