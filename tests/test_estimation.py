@@ -201,26 +201,3 @@ def test_wide_left_out_fits_equal_narrow_ones(spark, data, monkeypatch):
     monkeypatch.setattr(reg, "MODELS", 4)
     wide = {r["excluded"]: (r["n"], r["coef"], r["se"]) for r in model.leave_one_out("y", ["x", "c"]).collect()}
     assert wide.keys() == narrow.keys() and all(np.allclose(wide[c], narrow[c], rtol=1e-8) for c in narrow)
-
-
-def test_crossed_effects_of_many_levels(spark, monkeypatch):
-    rng = np.random.default_rng(12)
-    a, n = 60, 200
-    i = rng.integers(0, a, n)
-    # a level meets few, near ones: alternation is slow here
-    j = np.clip((i / a * 12 + rng.normal(size=n) * 0.5).astype(int), 0, 11)
-    d = pd.DataFrame({"i": i, "j": j, "x": rng.normal(size=n) + i * 1e-3, "y": rng.normal(size=n) + j * 0.05, "id": np.arange(n)})
-    rounds, cut = [], reg.cut_lineage
-    monkeypatch.setattr(reg, "cut_lineage", lambda f: rounds.append(1) or cut(f))
-    got = reg.absorb_iterative(spark.createDataFrame(d), ["x", "y"], ["i", "j"], tol=1e-9).toPandas().sort_values("id")
-    z, sweeps = d[["x", "y"]].to_numpy(), 0
-    while True:
-        old = z.copy()
-        for e in (i, j):
-            sums = np.column_stack([np.bincount(e, z[:, c]) for c in range(2)])
-            z = z - (sums / np.maximum(np.bincount(e), 1)[:, None])[e]
-        sweeps += 1
-        if np.abs(z - old).max() < 1e-9:
-            break
-    assert np.allclose(got[["x_abs", "y_abs"]].to_numpy(), z, atol=1e-5)
-    assert len(rounds) / 2 * 5 < sweeps
