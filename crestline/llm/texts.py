@@ -109,8 +109,8 @@ def piece_hashes(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return mixed(sums + sizes.astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of every row, lower-cased; no word spans two rows."""
+def edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of every row; no word spans two rows."""
     inside = IN_WORD[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
     if len(data):
@@ -119,8 +119,50 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
         first = offsets[:-1][offsets[:-1] < len(data)]
         before[first] = False
         after[offsets[1:][offsets[1:] > 0] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words of every row, lower-cased; no word spans two rows."""
+    starts, ends = edges(data, offsets)
     bounds = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=bounds[1:])
-    return Words(LOWER[data[inside]], bounds, starts, ends, np.searchsorted(starts, offsets))
+    return Words(LOWER[data[IN_WORD[data]]], bounds, starts, ends, np.searchsorted(starts, offsets))
+
+
+LOWER_VALUES = BYTE_VALUES[LOWER]
+_BASE, _CHUNK = 0x5851F42D4C957F2D, 1 << 18
+_ROWS_OF_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least ``n`` of each."""
+    global _ROWS_OF_POWERS
+    if not _ROWS_OF_POWERS or n > len(_ROWS_OF_POWERS[0]):
+        rows = [np.full(max(n, _CHUNK + 1), x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for row in rows:
+            row[0] = 1
+        with np.errstate(over="ignore"):
+            _ROWS_OF_POWERS = [np.cumprod(row, dtype=np.uint64) for row in rows]
+    return _ROWS_OF_POWERS
+
+
+def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value of every lower-cased word, the same everywhere, and the n + 1 places of rows among the words.
+
+    Values are differences of running sums, so bytes are looked at once and words are never copied.
+    """
+    starts, ends = edges(data, offsets)
+    values, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        begin = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, begin + _CHUNK, "right")))
+        size = int(ends[last - 1] - begin)
+        power, inverse = _powers(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(LOWER_VALUES[data[begin : begin + size]] * power[:size], out=sums[1:])
+            at = starts[first:last] - begin
+            values[first:last] = (sums[ends[first:last] - begin] - sums[at]) * inverse[at]
+        first = last
+    return mixed(values), np.searchsorted(starts, offsets)
