@@ -117,3 +117,14 @@ def test_nested_json(spark):
     many = spark.createDataFrame([("b", 2), ("a", 1)], "k string, v int")
     got = sinks.nested_json(spark, {"panel": one}, {"rows": many}).first()[0]
     assert got == '{"panel":{"n":3,"note":null},"rows":[{"k":"a","v":1},{"k":"b","v":2}]}'
+
+
+def test_a_group_of_most_rows_meets_its_bracket_in_many_tasks(spark):
+    rows = spark.range(3000).select(F.lit("all").alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).cast("double").alias("x"))
+    out = exact_quantiles(rows, "x", [0.25, 0.9], ["g"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert any("_salt" in line for line in joins)  # by the group alone one task would get all its rows
+    got = {r["prob"]: r["quantile"] for r in out.collect()}
+    values = [r["x"] for r in rows.collect()]
+    assert np.allclose([got[0.25], got[0.9]], np.quantile(values, [0.25, 0.9]))
