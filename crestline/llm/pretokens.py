@@ -24,8 +24,9 @@ CLASS[65:91] = CLASS[97:123] = CLASS[128:] = LETTER
 
 #: Pieces longer than this are not kept in a worker's cache.
 KEPT_BYTES = 64
-#: Distinct pieces a worker keeps before it starts afresh.
-CACHE_PIECES = 1_000_000
+#: Distinct pieces a worker keeps before it starts afresh; pieces given to the library at once (its answer
+#: holds far more than the ids).
+CACHE_PIECES, ADDED_PIECES = 500_000, 4096
 
 
 def _odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -176,7 +177,9 @@ class Encoder:
         found = np.array([self.known.get(p, -1) for p in distinct], np.int64)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            found[missing] = self._add([distinct[i] for i in missing.tolist()])
+            for first in range(0, len(missing), ADDED_PIECES):
+                some = missing[first : first + ADDED_PIECES]
+                found[some] = self._add([distinct[i] for i in some.tolist()])
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -83,3 +83,20 @@ def test_null_keys_are_written_and_read_back(spark, tmp_path):
     keys = [r["doc_id"] for r in got]
     nulls = keys.count(None)
     assert keys[:nulls] == [None] * nulls and keys[nulls:] == sorted(keys[nulls:])
+
+
+def test_library_gets_few_pieces_at_once():
+    """Its answer for all pieces of a slice took hundreds of MB of a worker."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from crestline.llm import pretokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, lots = pretokens.Encoder(path), []
+    add = coder._add
+    coder._add = lambda pieces: lots.append(len(pieces)) or add(pieces)
+    text = " ".join(f"w{'abcdefghij'[i % 10]}x{i}" for i in range(20_000))
+    ids, at = coder.encode(pa.array([text, None, "end"]))
+    assert max(lots) <= 4096 and len(lots) > 3
+    assert ids[at[0] : at[1]].tolist() == coder.library.encode(text, add_special_tokens=False).ids and at[1] == at[2]
