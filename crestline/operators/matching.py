@@ -17,6 +17,8 @@ from crestline.session import cut_lineage
 
 #: Stretches of letters that are searched side by side.
 STRETCHES = 4096
+#: Candidates that a task sorts into leaves.
+ROWS_OF_TASK = 500_000
 RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "  # fixed value: letters from rare to common in English
 
 
@@ -266,6 +268,29 @@ def _median_with(x: Column, axis: str) -> Column:
     return F.when(x.isNull(), mid).when(n.isNull(), x).otherwise(F.when(n % 2 == 0, even).otherwise(odd))
 
 
+def candidate_leaves(candidates: DataFrame, pool_key: Sequence[str], control: str, axes: Sequence[str], k: int, leaf: int) -> DataFrame:
+    """Leaves of a pool, ``leaf`` candidates at most, with the box over all axes (``_lo_``, ``_hi_``, ``_no_`` for missing values) and
+    the ``_points``.
+
+    Of candidates of a pool that agree in every axis only the first ``k`` are kept.  Leaves are runs of equal length along one
+    axis after the other.
+    """
+    pool_key = list(pool_key)
+    rows = candidates.select(*pool_key, control, *axes)
+    tasks = -(-rows.count() // ROWS_OF_TASK)
+    dealt = (lambda df: df.repartition(tasks, *pool_key)) if tasks > 1 else (lambda df: df)
+    alike = Window.partitionBy(*pool_key, *axes).orderBy(control)
+    apart = cut_lineage(dealt(rows).withColumn("_k", F.row_number().over(alike)).where(F.col("_k") <= k).drop("_k"))
+    placed = dealt(apart.join(apart.groupBy(*pool_key).agg(F.count("*").alias("_run")), pool_key)).withColumn("_leaf", F.lit(0).cast("long"))
+    for i, a in enumerate(axes):
+        parts = F.greatest(F.ceil(F.pow(F.col("_run") / F.lit(leaf), F.lit(1.0 / (len(axes) - i)))), F.lit(1))
+        place = F.row_number().over(Window.partitionBy(*pool_key, "_leaf").orderBy(a, control)) - 1
+        placed = placed.withColumns({"_parts": parts, "_place": place}).withColumn("_run", F.ceil(F.col("_run") / F.col("_parts")))
+        placed = placed.withColumn("_leaf", F.col("_leaf") * F.col("_parts") + F.floor(F.col("_place") / F.col("_run"))).drop("_parts", "_place")
+    boxes = [x for a in axes for x in (F.min(a).alias(f"_lo_{a}"), F.max(a).alias(f"_hi_{a}"), F.count_if(F.col(a).isNull()).alias(f"_no_{a}"))]
+    return cut_lineage(placed.groupBy(*pool_key, "_leaf").agg(F.count("*").alias("_size"), *boxes, F.collect_list(F.struct(control, *axes)).alias("_points")))
+
+
 def nearest_controls(
     cohorts: DataFrame,
     features: DataFrame,
@@ -280,22 +305,22 @@ def nearest_controls(
     optional_gate: str | None = None,
     k: int = 3,
     min_weeks: int = 3,
-    cells_per_sd: int = 8,
+    leaf: int = 32,
 ) -> DataFrame:
     """``(cohort, control, distance)``: the k never-treated entities nearest to the treated one.
 
     Distances are Euclidean over features scaled by the deviation of candidates and treated
     unit together; missing features take the median of candidates and treated unit together.
-    Candidates need all of ``needed`` (by default every axis that is not a slope).  Search is by
-    a grid on the first axis: the nearest non-empty cells around the treated unit hold k
-    candidates and give an upper bound, and only cells within that bound are compared; cells
-    whose box over all axes lies outside the bound are left out as well.  Exact.
+    Candidates need all of ``needed`` (by default every axis that is not a slope).  A pool's
+    candidates lie in leaves of ``leaf`` at most, split over all axes; the leaf nearest to the treated
+    unit gives an upper bound, and only leaves whose box is within it are compared, each giving its k
+    nearest, so that no task holds the pairs.  Exact.
     """
     axes, optional_axes = list(axes), list(optional_axes)
     every = axes + optional_axes
     needed = list(needed or [a for a in axes if not a.endswith("_slope")])
     if axes[0] not in needed:
-        raise ValueError("the first axis must be needed: the grid is on it")
+        raise ValueError("the first axis must be needed: treated units have it")
     pool_key = [block, start]
     usable = features.where(F.col("pre_weeks") >= min_weeks)
     candidates = usable.join(treated.select(entity).distinct(), entity, "left_anti").dropna(subset=needed)
@@ -310,9 +335,8 @@ def nearest_controls(
     around_middle = near.groupBy(*pool_key).pivot("axis", every).agg(*[F.first(c).alias(c) for c in ("n", "mid", "lt", "gt", "lo", "hi", "eq")])
     around_middle = cut_lineage(around_middle)
     gate = optional_gate or (optional_axes[0] if optional_axes else axes[0])
-    filled = candidates.withColumn(f"_raw_{gate}", F.col(gate))
-    observed = filled.groupBy(*pool_key).agg(F.count(f"_raw_{gate}").alias("_gate"), F.count("*").alias("_all"))
-    moments = filled.groupBy(*pool_key).agg(
+    observed = candidates.groupBy(*pool_key).agg(F.count(gate).alias("_gate"), F.count("*").alias("_all"))
+    moments = candidates.groupBy(*pool_key).agg(
         *[x for a in every for x in (F.count(a).alias(f"_n_{a}"), F.avg(a).alias(f"_m_{a}"), F.var_pop(a).alias(f"_v_{a}"))]
     )
     own = usable.where(F.col(axes[0]).isNotNull())
@@ -336,47 +360,27 @@ def nearest_controls(
         weights[f"_w_{a}"] = F.coalesce(scale, F.lit(0.0))
         weights[f"_t_{a}"] = x
         weights[f"_f_{a}"] = fill
-    lead = axes[0]
-    step = F.coalesce(F.nullif(F.sqrt(F.col(f"_v_{lead}")), F.lit(0.0)), F.lit(1.0)) / cells_per_sd
-    probe = cut_lineage(probe.withColumns(weights).withColumn("_step", step).select(
-        cohort, *pool_key, F.col(entity).alias("_treated"), "_step", *weights
-    ))
-    steps = moments.select(*pool_key, step.alias("_step"))
-    placed = filled.join(steps, pool_key).withColumn("_cell", F.floor(F.col(lead) / F.col("_step"))).select(
-        *pool_key, "_cell", F.col(entity).alias("control"), *every
-    )
-    # an axis that neither side has weighs nothing; a missing value is the joint median
-    squares = [F.coalesce((F.col(f"_w_{a}") * (F.coalesce(F.col(a), F.col(f"_f_{a}")) - F.col(f"_t_{a}"))) ** 2, F.lit(0.0)) for a in every]
-    distance = F.sqrt(sum(squares[1:], squares[0]))
-    boxes = [x for a in every for x in (F.min(a).alias(f"_lo_{a}"), F.max(a).alias(f"_hi_{a}"), F.count_if(F.col(a).isNull()).alias(f"_no_{a}"))]
-    sizes = placed.groupBy(*pool_key, "_cell").agg(F.count("*").alias("_size"), *boxes)
-    around = probe.join(sizes, pool_key).withColumn(
-        "_ring", F.abs(F.col("_cell") - F.floor(F.col(f"_t_{lead}") / F.col("_step")))
-    )
-    growing = Window.partitionBy(cohort).orderBy("_ring").rangeBetween(Window.unboundedPreceding, -1)
-    ring = around.withColumn("_inner", F.coalesce(F.sum("_size").over(growing), F.lit(0))).where(F.col("_inner") < k)
-
-    def closest(pairs: DataFrame) -> DataFrame:
-        order = Window.partitionBy(cohort).orderBy("distance", "control")
-        ranked = pairs.withColumn("distance", distance).withColumn("_k", F.row_number().over(order))
-        return ranked.where(F.col("_k") <= k)
-
-    bound = closest(ring.join(placed, [*pool_key, "_cell"])).groupBy(cohort).agg(
-        F.when(F.count("*") >= k, F.max("distance")).alias("_bound")
-    )
-    reach = F.try_divide(F.col("_bound") * (1 + 1e-9) + 1e-12, F.nullif(F.col(f"_w_{lead}"), F.lit(0.0)))
-    t = F.col(f"_t_{lead}")
-    outside = [  # least distance of the cell's box along each axis; a cell with a missing value may hold the median
+    probe = cut_lineage(probe.withColumns(weights).select(cohort, *pool_key, F.col(entity).alias("_treated"), *weights))
+    leaves = candidate_leaves(candidates.withColumnRenamed(entity, "control"), pool_key, "control", every, k, leaf)
+    outside = [  # least distance of the leaf's box along each axis; a leaf with a missing value may hold the median
         F.coalesce(F.when(F.col(f"_no_{a}") == 0, F.col(f"_w_{a}") * F.greatest(F.col(f"_lo_{a}") - F.col(f"_t_{a}"), F.col(f"_t_{a}") - F.col(f"_hi_{a}"), F.lit(0.0))) ** 2, F.lit(0.0))
         for a in every
     ]
-    within = F.sqrt(sum(outside[1:], outside[0])) <= F.col("_bound") * (1 + 1e-9) + 1e-12
-    near = around.join(bound, cohort).where(
-        (reach.isNull()
-         | F.col("_cell").between(F.floor((t - reach) / F.col("_step")), F.floor((t + reach) / F.col("_step"))))
-        & F.coalesce(within, F.lit(True))
-    ).select(*around.columns)
-    return closest(near.join(placed, [*pool_key, "_cell"])).select(cohort, *pool_key, "control", "distance")
+    apart_by = F.sqrt(sum(outside[1:], outside[0]))
+
+    def distance(point: Column) -> Column:
+        # an axis that neither side has weighs nothing; a missing value is the joint median
+        squares = [F.coalesce((F.col(f"_w_{a}") * (F.coalesce(point[a], F.col(f"_f_{a}")) - F.col(f"_t_{a}"))) ** 2, F.lit(0.0)) for a in every]
+        return F.sqrt(sum(squares[1:], squares[0]))
+
+    closest = F.slice(F.array_sort(F.transform("_points", lambda p: F.struct(distance(p).alias("distance"), p["control"].alias("control")))), 1, k)
+    first = probe.join(leaves.where(F.col("_size") >= k).drop("_points"), pool_key).groupBy(cohort, *pool_key).agg(F.min_by("_leaf", apart_by).alias("_leaf"))
+    bound = probe.join(first, [cohort, *pool_key]).join(leaves.select(*pool_key, "_leaf", "_points"), [*pool_key, "_leaf"]).select(
+        cohort, (closest[k - 1]["distance"] * (1 + 1e-9) + 1e-12).alias("_bound"))
+    near = probe.join(cut_lineage(bound), cohort, "left").join(leaves, pool_key).where(F.col("_bound").isNull() | (apart_by <= F.col("_bound")))
+    pairs = near.select(cohort, *pool_key, "_bound", F.inline(closest)).where(F.col("_bound").isNull() | (F.col("distance") <= F.col("_bound")))
+    order = Window.partitionBy(cohort).orderBy("distance", "control")
+    return pairs.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select(cohort, *pool_key, "control", "distance")
 
 
 def matched_cohorts(cohorts: DataFrame, controls: DataFrame, cohort: str, block: str, entity: str, start: str) -> DataFrame:

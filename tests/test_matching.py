@@ -87,3 +87,32 @@ def test_nearest_controls_equal_brute_force(spark):
         got = out[out.cohort == t].sort_values(["distance", "control"])
         assert got["control"].tolist() == want["h"].tolist()
         assert np.allclose(got["distance"], want["d"])
+
+
+def test_leaves_of_candidates_are_bounded_and_ties_go_to_the_first(spark):
+    """Many candidates alike on the first axis, repeated points and missing values: leaves stay small, controls equal brute force."""
+    rng = np.random.default_rng(8)
+    start, n, axes = dt.date(2021, 1, 3), 1500, ["a", "b", "c", "m"]
+    feats = pd.DataFrame({"state": "s", "start": start, "h": rng.permutation(n), "pre_weeks": 4, "a": 1.0, "b": rng.normal(size=n), "c": rng.normal(size=n), "m": rng.normal(size=n)})
+    feats.loc[300:599, axes] = feats.loc[300, axes].tolist()
+    feats.loc[600:699, ["b", "m"]] = np.nan
+    feats.loc[:9, "a"] += rng.normal(size=10)
+    table = spark.createDataFrame(feats.astype(object).where(feats.notna(), None), "state string, start date, h long, pre_weeks long, a double, b double, c double, m double")
+    leaves = matching.candidate_leaves(table, ["state", "start"], "h", axes, 3, 16).toPandas()
+    assert leaves["_size"].max() <= 16 and leaves["_size"].sum() == n - 300 + 3 and len(leaves) < 2 * n / 16
+    alike = [p for points in leaves["_points"] for p in points if p["b"] == feats.b[300]]
+    assert sorted(p["h"] for p in alike) == sorted(feats.h[300:600])[:3]
+
+    treated = feats.h[[0, 5, 20, 299, 301, 700, 1400]].tolist()
+    cohorts = spark.createDataFrame([(h, "s", start, h) for h in treated], "cohort long, state string, start date, h long")
+    out = matching.nearest_controls(cohorts, table, cohorts, "state", "h", "start", "cohort", ["a", "b", "c"], ["m"], needed=["a", "c"], leaf=16).toPandas()
+    pool = feats[~feats.h.isin(treated)]
+    for t in treated:
+        own = feats[feats.h == t]
+        both = pd.concat([own, pool])[axes]
+        both = both.fillna(both.median())
+        d = np.sqrt((((both.iloc[1:] - both.iloc[0]) / both.std(ddof=1)) ** 2).sum(axis=1))
+        want = pool.assign(d=d).sort_values(["d", "h"]).head(3)
+        got = out[out.cohort == t].sort_values(["distance", "control"])
+        assert got["control"].tolist() == want["h"].tolist()
+        assert np.allclose(got["distance"], want["d"])
