@@ -13,6 +13,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from crestline.llm.texts import flat, pieces_array
 
@@ -24,7 +25,7 @@ CLASS[65:91] = CLASS[97:123] = CLASS[128:] = LETTER
 
 #: Pieces longer than this are not kept in a worker's cache.
 KEPT_BYTES = 64
-#: Distinct pieces a worker keeps before it starts afresh; pieces given to the library at once (its answer
+#: Distinct pieces a worker keeps before it drops those not met again; pieces given to the library at once (its answer
 #: holds far more than the ids).
 CACHE_PIECES, ADDED_PIECES = 500_000, 4096
 
@@ -76,6 +77,15 @@ def byte_level_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_PLAIN = bytes(i for i in range(128) if CLASS[i] in (LETTER, DIGIT))
+_LED, _ENDS = frozenset(_PLAIN + b"\xc3"), frozenset(bytes([i]) for i in _PLAIN)
+
+
+def _joins(before: bytes, piece: bytes) -> bool:
+    """Whether the byte-level pattern surely cuts between two pieces: after a letter or digit, before a blank that leads one."""
+    return len(piece) > 1 and piece[0] == 32 and piece[1] in _LED and before[-1:] in _ENDS
+
+
 def word_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of letter runs, digits and sign runs; stretches with an apostrophe stay whole between white space."""
     kind = CLASS[data]
@@ -121,35 +131,69 @@ class Encoder:
         self.library.no_padding()
         self.rule = cut_rule(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        self.widths = self._byte_widths() if self.rule is byte_level_cuts else None
         self._clear()
 
+    def _byte_widths(self) -> np.ndarray:
+        """Bytes of text that each id stands for; a byte-level token has one character per byte."""
+        widths = np.zeros(self.vocabulary, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            if i < len(widths):
+                widths[i] = len(token)
+        for i, token in self.library.get_added_tokens_decoder().items():
+            if i < len(widths):
+                widths[i] = len(token.content.encode())
+        return widths
+
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        #: Pieces kept, their places and whether they were met again.
+        self.table, self.at, self.again = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.n_ids = self.n_pieces = 0
 
-    def _add(self, pieces: list[bytes]) -> np.ndarray:
-        """Encode new pieces; their places in the table."""
-        texts = [p.decode("utf-8") for p in pieces]
-        coded = self.library.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(coded.ids, np.uint32)
-        sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(pieces)) if len(ids) else np.zeros(len(pieces), np.int64)
+    def _drop(self) -> None:
+        """Keep the pieces that were met again, none if these are too many."""
+        rows = np.flatnonzero(self.again)
+        table, at, ids, start, size = self.table, self.at[rows], self.ids, self.start, self.size
+        self._clear()
+        if 0 < len(rows) <= CACHE_PIECES // 2:
+            kept, sizes = table.take(pa.array(rows)), size[at]
+            self._keep(ids[spread(start[at], sizes)], sizes)
+            self.table, self.at, self.again = kept, np.arange(len(rows)), np.zeros(len(rows), bool)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of new pieces, given their ids one after the other."""
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n_pieces + len(pieces) > len(self.size):
+        while self.n_pieces + len(sizes) > len(self.size):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        places = np.arange(self.n_pieces, self.n_pieces + len(pieces))
+        places = np.arange(self.n_pieces, self.n_pieces + len(sizes))
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.size[places] = sizes
         self.start[places] = self.n_ids + np.cumsum(sizes) - sizes
         self.n_ids += len(ids)
-        self.n_pieces += len(pieces)
-        self.known.update((p, int(k)) for p, k in zip(pieces, places, strict=True) if len(p) <= KEPT_BYTES)
+        self.n_pieces += len(sizes)
         return places
 
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces; their places in the table."""
+        texts = [p.decode("utf-8") for p in pieces]
+        if self.widths is not None:  # ids end where their bytes do, so the library need not follow the pieces
+            begin = [i for i, p in enumerate(pieces) if not i or not _joins(pieces[i - 1], p)] + [len(pieces)]
+            texts_joined = ["".join(texts[a:b]) for a, b in zip(begin, begin[1:])]
+            ids = np.array(self.library.encode_batch_fast([texts_joined], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends, wanted = np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in pieces])
+            upto = np.searchsorted(ends, wanted, "right")
+            if np.array_equal(np.concatenate([[0], ends])[upto], wanted) and upto[-1] == len(ids):
+                return self._keep(ids, np.diff(upto, prepend=0))
+        coded = self.library.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, np.uint32)
+        sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(pieces)) if len(ids) else np.zeros(len(pieces), np.int64)
+        return self._keep(ids, sizes)
+
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces start."""
         if not len(data):
@@ -171,15 +215,26 @@ class Encoder:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         return codes, coded.dictionary, np.searchsorted(cut, offsets), offsets
 
-    def places(self, distinct: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHE_PIECES:
-            self._clear()
-        found = np.array([self.known.get(p, -1) for p in distinct], np.int64)
-        missing = np.flatnonzero(found < 0)
+    def places(self, distinct: pa.Array | list[bytes]) -> np.ndarray:
+        """Where the ids of each of some distinct pieces are, until the next call."""
+        if not isinstance(distinct, pa.Array):
+            distinct = pa.array(distinct, pa.large_binary())
+        if max(len(self.table), self.n_pieces // 2, self.n_ids // 16) > CACHE_PIECES:
+            self._drop()
+        row = pc.fill_null(pc.index_in(distinct, value_set=self.table), -1).to_numpy(zero_copy_only=False)
+        met = row[row >= 0]
+        self.again[met] = True
+        found = np.full(len(row), -1, np.int64)
+        found[row >= 0] = self.at[met]
+        missing = np.flatnonzero(row < 0)
         if len(missing):
+            new = distinct.take(pa.array(missing))
             for first in range(0, len(missing), ADDED_PIECES):
-                some = missing[first : first + ADDED_PIECES]
-                found[some] = self._add([distinct[i] for i in some.tolist()])
+                found[missing[first : first + ADDED_PIECES]] = self._add(new.slice(first, ADDED_PIECES).to_pylist())
+            short = pc.less_equal(pc.binary_length(new), KEPT_BYTES)
+            self.table = pa.concat_arrays([self.table, new.filter(short)])
+            self.at = np.concatenate([self.at, found[missing[short.to_numpy(zero_copy_only=False)]]])
+            self.again = np.concatenate([self.again, np.zeros(len(self.at) - len(self.again), bool)])
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -187,11 +242,19 @@ class Encoder:
         codes, distinct, rows, _ = self.pieces(column)
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
-        places = self.places(distinct.to_pylist())[codes]
-        sizes = self.size[places]
-        ends = np.cumsum(sizes)
-        where = np.repeat(self.start[places] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return self.ids[where], np.concatenate([[0], ends])[rows]
+        places = self.places(distinct)
+        each = self.size[places]
+        ids = self.ids[spread(self.start[places], each)]  # of the distinct pieces side by side, small enough to be read at random
+        sizes = each.astype(np.int32)[codes]
+        return ids[spread((np.cumsum(each) - each)[codes], sizes)], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[rows]
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs, one run after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) < 1 << 31) else np.int64
+    return np.repeat((start - (ends - size)).astype(kind), size) + np.arange(total, dtype=kind)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -25,6 +25,8 @@ from crestline.llm.texts import SLICE_BYTES, flat, mixed, slices, word_values
 WINDOW, SHARD_BYTES, SHARDS_OF_TASK = 2048, 4 << 20, 2
 #: Terms are words hashed to so many values; this bounds the table of weights that is broadcast.
 TERMS = 1 << 20
+#: Terms of a block of counts, and tasks that add the blocks up.
+BLOCK, COUNTING = 1 << 14, 16
 #: Terms held by fewer documents deal as if so many held them: then repeats in the document decide.
 RARE = 64
 #: How much more than others the terms that tell most deal.
@@ -82,22 +84,38 @@ class Counts:
 
 
 def corpus_of(docs: DataFrame, text: str, limit: int) -> Corpus:
-    """One pass and a combining sum; the driver gets at most ``TERMS`` rows, however large the corpus is."""
+    """One pass and a combining sum; the driver gets at most ``TERMS`` rows, however large the corpus is.
+
+    A task's sums travel as one row per block of terms; the last block is that of the totals.
+    """
+    schema = pa.schema({"block": pa.int32(), "at": pa.binary(), "held": pa.binary(), "bytes": pa.binary()})
 
     def count(batches):
         sums = Counts()
         for batch in batches:
             for part in slices(batch, "t"):
                 sums.add(part.column("t"))
-        at = np.flatnonzero(sums.held)
-        yield pa.record_batch({
-            "term": pa.array(np.append(at, -1).astype(np.int32)), "held": pa.array(np.append(sums.held[at], sums.n)), "bytes": pa.array(np.append(sums.bytes[at], sums.words)),
-        })
-
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(count, "term int, held long, bytes long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("bytes").alias("bytes"))
-    got = rows.select("term", "held", F.when(F.col("term") < 0, F.col("bytes")).alias("words"), (F.col("bytes") > limit).alias("heavy")).toArrow()
+        held, sizes = np.append(sums.held, sums.n), np.append(sums.bytes, sums.words)
+        at = np.flatnonzero(held)
+        for these in np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1):
+            if len(these):
+                yield pa.record_batch([[int(these[0]) // BLOCK], [(these % BLOCK).astype("<i4").tobytes()], [held[these].tobytes()], [sizes[these].tobytes()]], schema=schema)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, held, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = sums.setdefault(block, np.zeros((2, BLOCK), np.int64))
+                total[:, np.frombuffer(at, "<i4")] += np.stack([np.frombuffer(held, np.int64), np.frombuffer(sizes, np.int64)])
+        for block, (held, sizes) in sums.items():
+            at = np.flatnonzero(held)
+            yield pa.record_batch({"term": pa.array((at + block * BLOCK).astype(np.int32)), "held": pa.array(held[at]), "bytes": pa.array(sizes[at])})
+
+    sums = docs.select(F.col(text).alias("t")).mapInArrow(count, "block int, at binary, held binary, bytes binary")
+    got = sums.repartition(COUNTING, "block").mapInArrow(add, "term int, held long, bytes long").withColumn("heavy", F.col("bytes") > limit)
+    got = got.select("term", "held", F.when(F.col("term") >= TERMS, F.col("bytes")).alias("words"), "heavy").toArrow()
     term, number = got.column("term").to_numpy(), got.column("held").to_numpy()
-    every = term < 0
+    every = term >= TERMS
     n, n_words = int(number[every].sum()), sum(x or 0 for x in got.filter(pa.array(every)).column("words").to_pylist())
     held, heavy = np.zeros(TERMS, np.int64), np.zeros(TERMS, bool)
     held[term[~every]] = number[~every]

@@ -100,3 +100,21 @@ def test_library_gets_few_pieces_at_once():
     ids, at = coder.encode(pa.array([text, None, "end"]))
     assert max(lots) <= 4096 and len(lots) > 3
     assert ids[at[0] : at[1]].tolist() == coder.library.encode(text, add_special_tokens=False).ids and at[1] == at[2]
+
+
+def test_pieces_met_again_outlast_a_full_table(monkeypatch):
+    """Rare pieces fill the table over and over; frequent ones go to the library once, joined pieces give its ids."""
+    from crestline.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CACHE_PIECES", 400)
+    coder, given = pretokens.Encoder(tokenizer("byte_bpe_50k.json")), []
+    add = coder._add
+    coder._add = lambda pieces: given.extend(pieces) or add(pieces)
+    often = " ".join(f"often{'abcdefghij'[i]}" for i in range(10)) + " it's 12 'x' end"
+    for r in range(12):
+        rare = " ".join("rare" + "".join("abcdefghij"[int(d)] for d in str(r * 100 + i)) for i in range(100))
+        rows = [f"a {often} {rare}", " \u4e2d b", "end\u00a0", " c<|endoftext|>", " d"]
+        ids, at = coder.encode(pa.array(rows))
+        for i, row in enumerate(rows):
+            assert ids[at[i] : at[i + 1]].tolist() == coder.library.encode(row, add_special_tokens=False).ids
+    assert len(given) > 1200 and given.count(b" oftenb") == 1
