@@ -6,7 +6,7 @@ from checks import estimation
 from checks.registry import QUERIES
 
 
-@pytest.mark.parametrize("name, repeats, trees", [("est29_repeated_forest", 20, 300)])
+@pytest.mark.parametrize("name, repeats, trees", [("est29_repeated_forest", 20, 300), ("est30_partially_linear_forest", 10, 400)])
 def test_forests_of_full_size(spark, monkeypatch, name, repeats, trees):
     asked = []
 
