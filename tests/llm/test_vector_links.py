@@ -56,3 +56,37 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (300, 400), (7, 7)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in (100, 200, 300, 400)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def group_of_near_vectors():
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    near = [(i, (centre + rng.normal(size=64) * 0.15).astype(np.float32).tolist(), 1) for i in range(200)]
+    return near + [(200 + i, rng.normal(size=64).astype(np.float32).tolist(), i % 2) for i in range(40)] + [(300, near[7][1], 1), (301, [1e-200] * 64, 1), (302, [-1e-200] * 64, 1)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"tile": 30}, {"whole": 0}, {"whole": 60, "tile": 30}])
+def test_whole_labels_and_cells(spark, sizes):
+    rows = group_of_near_vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows[:-2], 0.93) + [(i, 0, i, True) for i in (301, 302)]  # their squares are zero as doubles
+    assert sorted(map(tuple, vl.near_vectors(frame, 0.93, **sizes).collect())) == want
+
+
+def test_pairs_stay_in_their_tasks(spark, monkeypatch):
+    sizes, staged = [], vl.staged
+    monkeypatch.setattr(vl, "staged", lambda df, purpose="stage": sizes.append((purpose, df.count())) or staged(df, purpose))
+    frame = spark.createDataFrame(group_of_near_vectors(), "vec_id long, embedding array<double>, label int")
+    out = vl.near_vectors(frame, 0.93)
+    assert out.agg({"n_links": "sum"}).first()[0] > 30_000
+    assert dict(sizes)["links"] <= 201  # before, a row for each of the pairs
+
+
+def test_component_joins_are_not_broadcast(spark, monkeypatch):
+    from crestline.llm import components as module
+
+    plans, staged = [], module.staged
+    monkeypatch.setattr(module, "staged", lambda df, purpose="stage": plans.append(df._jdf.queryExecution().sparkPlan().toString()) or staged(df, purpose))
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    assert components(links).count() == 51
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
