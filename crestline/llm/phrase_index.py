@@ -19,6 +19,8 @@ INDEX = "segment long, keys array<{key}>, firsts array<long>, terms array<binary
 MATCHES = "segment long, row int, item_id {item}, start long, end long"
 #: Text bytes of the test items that one pass over the index looks for.
 BLOCK_BYTES = 8 << 20
+#: Segments of a row group: a writer looks at sizes after a hundred rows only, and a reader takes a row group's rows at once.
+GROUP_SEGMENTS = 4
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,7 +54,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     path = new_folder(spark, "phrase-index")
     made = docs.select(key, text).mapInArrow(build, schema)
-    made.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    made.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.block.row.count.limit", GROUP_SEGMENTS).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

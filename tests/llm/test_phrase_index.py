@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from crestline.llm import phrase_index as px
 
@@ -77,3 +78,17 @@ def test_proximity(spark):
     found = px.find_phrases(index, spark.createDataFrame([(0, "green blue red")], "item_id int, text string"), slop=4)
     keys = {r["row"]: r["doc_id"] for r in px.documents_of(index).collect()}
     assert {keys[r["row"]] for r in found.collect()} == {1, 3}
+
+
+def test_row_groups_hold_few_segments(spark):
+    import pyarrow.parquet as pq
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.repeat(F.lit(text + " "), 40_000).alias("text")).repartition(1)  # a segment each
+    index = px.build_index(docs)
+    files = [f.removeprefix("file:") for f in index.inputFiles()]
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 20
+    for f in files:
+        m = pq.ParquetFile(f).metadata
+        assert max(m.row_group(i).num_rows for i in range(m.num_row_groups)) <= 4
+    assert px.documents_of(index).agg({"n_words": "sum"}).first()[0] == 20 * 30 * 40_000
